@@ -5,12 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.llm import packing, sketch, tokens
-from spindrift.session import read_table
+from spindrift.llm import clusters, neighbours, packing, sketch, tokens, vectors
+from spindrift.session import cut, read_table
 
 #: Relative error of the percentiles.
 REL_ERROR = 0.005
 
+#: Elements of a usable express vector.
+DIM = 64
+
+#: Least cosine of a near pair, and neighbours per query.
+NEAR_COS, K = 0.992, 10
+
 #: Tokens of one container.
 CAPACITY = 2048
 
@@ -58,6 +64,33 @@ def p3_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return day.select(columns).unionByName(total.withColumn("run_day", F.lit("all")).select(columns))
 
 
+def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, vec): the usable express vectors, scaled to length one."""
+    return vectors.unit_vectors(read_table(spark, sf_dir, "gene_data_set"), "cell_id", "express", DIM)
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.cluster(cells(spark, sf_dir), DIM).select(F.col("id").alias("cell_id"), "cluster_id")
+
+
+def p2_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size, most typical cells and most frequent label of each cluster."""
+    labels = read_table(spark, sf_dir, "gene_data_set").groupBy(F.col("cell_id").alias("id")).agg(F.min("label").alias("label"))
+    return clusters.describe(cut(clusters.cluster(cells(spark, sf_dir), DIM), "clusters"), labels)
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = neighbours.near_pairs(cells(spark, sf_dir), NEAR_COS)
+    return pairs.select(F.col("id_a").alias("cell_id_a"), F.col("id_b").alias("cell_id_b"))
+
+
+def p4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The most similar cells of every cell whose id is divisible by 100, searched among all cells."""
+    all_cells = cut(cells(spark, sf_dir), "cells")
+    near = neighbours.nearest(all_cells, all_cells.where("id % 100 = 0"), K)
+    return near.select(F.col("id").alias("cell_id"), "neighbour", "rank", "cos")
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return tokens.encode_ids(docs, "text", "ids").select("doc_id", "ids")
@@ -79,8 +112,12 @@ def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "p2_found": p2_found,
+    "p2_clusters": p2_clusters,
     "p3_found": p3_found,
     "p3_percentiles": p3_percentiles,
+    "p4_found": p4_found,
+    "p4_nearest": p4_nearest,
     "p7_ids": p7_ids,
     "p8_containers": p8_containers,
     "p8_fill": p8_fill,
@@ -100,6 +137,16 @@ total as (
   union all select regime, method, 90::int, quantile_disc(error, 0.9), count(*) from results group by 1, 2)
 """
 
+#: Usable vectors in double precision, one row per cell.
+_CELLS = """
+with cells as (
+  select cell_id, any_value(express)::double[64] as v from gene_data_set
+  where len(express) = 64 and len(list_filter(express, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(express, lambda x: x <> 0)) > 0
+  group by 1),
+pairs as (
+  select a.cell_id as a, b.cell_id as b, array_cosine_similarity(a.v, b.v) as cos from cells a join cells b on a.cell_id <> b.cell_id)
+"""
+
 #: The exact percentile, moved to the middle of its bucket.
 _SNAP = (
     "case when value < 1e-9 then 0.0 else "
@@ -107,6 +154,8 @@ _SNAP = (
 )
 
 SQL = {
+    "p2_found": _CELLS + "select a as cell_id, least(a, min(b)) as cluster_id from pairs where cos >= 0.7 group by a",
+    "p4_found": _CELLS + "select a as cell_id_a, b as cell_id_b from pairs where a < b and cos >= 0.992",
     "p3_found": _ERRORS
     + "select regime, method, run_day, pct from per_day d join total t using (regime, method, pct) where d.value >= 1.5 * t.value",
     "p3_percentiles": _ERRORS
