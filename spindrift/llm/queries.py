@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.llm import clusters, neighbours, packing, sketch, tokens, vectors
+from spindrift.llm import canonical, clusters, neighbours, packing, sketch, tokens, vectors
 from spindrift.session import cut, read_table
 
 #: Relative error of the percentiles.
@@ -91,6 +91,24 @@ def p4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select(F.col("id").alias("cell_id"), "neighbour", "rank", "cos")
 
 
+def typed_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(value, label) of each distinct cell_type that isn't blank."""
+    meta = read_table(spark, sf_dir, "cell_meta")
+    return canonical.map_values(meta, "cell_type", read_table(spark, sf_dir, "label_mapping_filtered"), "label", "celltype")
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    meta = read_table(spark, sf_dir, "cell_meta").select("meta_id", F.col("cell_type").alias("value"))
+    # Rows delivered twice agree; should they not, each meta_id still has one label.
+    return meta.join(typed_labels(spark, sf_dir), "value").groupBy("meta_id").agg(F.max("label").alias("label"))
+
+
+def p6_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Typed values that name no entry, with the number of their rows."""
+    meta = read_table(spark, sf_dir, "cell_meta").groupBy(F.col("cell_type").alias("value")).agg(F.count(F.lit(1)).alias("n_rows"))
+    return meta.join(typed_labels(spark, sf_dir).where("label = -1").select("value"), "value")
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return tokens.encode_ids(docs, "text", "ids").select("doc_id", "ids")
@@ -118,6 +136,8 @@ QUERIES = {
     "p3_percentiles": p3_percentiles,
     "p4_found": p4_found,
     "p4_nearest": p4_nearest,
+    "p6_found": p6_found,
+    "p6_unmatched": p6_unmatched,
     "p7_ids": p7_ids,
     "p8_containers": p8_containers,
     "p8_fill": p8_fill,
