@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.llm import canonical, clusters, neighbours, packing, sketch, tokens, vectors
+from spindrift.llm import canonical, clusters, cuts, neighbours, packing, sketch, tokens, vectors
 from spindrift.session import cut, read_table
 
 #: Relative error of the percentiles.
@@ -129,6 +129,15 @@ def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.fill_report(containers(spark, sf_dir), CAPACITY)
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cuts.judge(read_table(spark, sf_dir, "documents")).where("is_cut").select("doc_id")
+
+
+def p9_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of cut texts per source."""
+    return cuts.cut_share(cuts.judge(read_table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     "p2_found": p2_found,
     "p2_clusters": p2_clusters,
@@ -141,6 +150,8 @@ QUERIES = {
     "p7_ids": p7_ids,
     "p8_containers": p8_containers,
     "p8_fill": p8_fill,
+    "p9_found": p9_found,
+    "p9_share": p9_share,
 }
 
 _ERRORS = r"""
