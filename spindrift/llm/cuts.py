@@ -77,7 +77,7 @@ def prepare(docs: DataFrame) -> DataFrame:
     opened = F.regexp_replace("text", _DECOR, "").rlike(r"\s[“„«「『(（\"]$")
     ending = F.when(opened, "open").when(dots, "dots").when(F.col("_bare").rlike(f"[{_END}]$"), "full").otherwise("open")
     body = F.when(dots, F.regexp_replace("_bare", r"(?:\.\.\.|…)+$", "")).otherwise(F.col("_bare"))
-    return shown.select("doc_id", "source", F.length(F.rtrim("text")).alias("n_chars"), ending.alias("ending"), tokens(body).alias("t"))
+    return shown.select("doc_id", "source", F.length(F.rtrim("text")).alias("n_chars"), ending.alias("ending"), opened.alias("opened"), tokens(body).alias("t"))
 
 
 def word_table(prepared: DataFrame, e: Evidence) -> DataFrame:
@@ -161,7 +161,7 @@ def judge(docs: DataFrame, e: Evidence = Evidence()) -> DataFrame:
     words = cut(word_table(prepared, e), "words")
     n = F.size("t")
     ask = prepared.where("ending <> 'full' and size(t) > 0").select(
-        "doc_id", "source", "ending", "n_chars", final_key(F.col("t"), n).alias("key"), (F.element_at("t", -1) == ".").alias("at_end")
+        "doc_id", "source", "ending", "n_chars", final_key(F.col("t"), n).alias("key"), ((F.element_at("t", -1) == ".") & ~F.col("opened")).alias("at_end")
     )
     known = words.select("key", F.col("n").alias("n_word"), "n_end")
     candidates = cut(headings(prepared, opening_table(prepared), e), "headings")
