@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spindrift.plans import problems
+from spindrift.plans import matrix, problems, reports
 
-_MODULES = [problems]
+_MODULES = [problems, reports, matrix]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -26,4 +26,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return problems.p1_layout(spark, sf_dir)
+    return matrix.e_methods(spark, sf_dir)
