@@ -137,7 +137,7 @@ def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(cell, batch, pred, true): registered cluster and label of each cell."""
     meta = read_table(spark, sf_dir, "cell_meta").where("deleted_at is null").groupBy(name_key(F.col("barcode")).alias("cell")).agg(F.min("assigned_cluster").alias("pred"), F.min("batch").alias("batch"))
     data = read_table(spark, sf_dir, "gene_data_set").groupBy(name_key(F.col("sample")).alias("cell")).agg(F.min("label").alias("true"))
-    return meta.join(data, "cell").where("pred is not null and true is not null and batch is not null")
+    return meta.join(data, "cell").where(F.col("pred").isNotNull() & F.col("true").isNotNull() & F.col("batch").isNotNull())
 
 
 def q6_rand(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -419,7 +419,8 @@ SQL = {
     "q as (select row_id, k, u / sum(u) over (partition by row_id) as q from d), s as (select *, q * q / sum(q) over (partition by k) as v from q), "
     "p as (select *, v / sum(v) over (partition by row_id) as p from s) "
     "select k::int as k, round(sum(q), 6) as sum_q, round(sum(p), 6) as sum_p, round(max(p), 7) as max_p from p group by k",
-    "q1_sign": _LABELLED + 'select batch, round(least(avg(((pred % 2 = 0) <> ("true" % 2 = 0))::int), avg(((pred % 2 = 0) = ("true" % 2 = 0))::int)), 9) as error from l group by batch',
+    "q1_sign": _LABELLED
+    + 'select batch, round(least(avg(((pred % 2 = 0) <> ("true" % 2 = 0))::int), avg(((pred % 2 = 0) = ("true" % 2 = 0))::int)), 9) as error from l group by batch',
     "q4_contrast": _LABELLED
     + ', c as (select batch, pred, "true" % 3 as part, count(*) as n from l where "true" % 3 in (0, 1) group by all), b as (select batch, pred, max(n) as m, sum(n) as n from c group by all) '
     "select batch, round(1 - sum(m) / sum(n), 9) as error from b group by batch",
