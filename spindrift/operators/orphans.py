@@ -10,6 +10,7 @@ at which their key was there.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -99,37 +100,58 @@ def key_times(parents: DataFrame) -> DataFrame:
     )
 
 
+def _parent_rows(parent: DataFrame, ref: Reference, loaded: str, deleted: str) -> DataFrame:
+    """(stem, block, num, from_ts, to_ts): the codes of the parent's keys under this reference, with their times."""
+    ts = "timestamp_ntz"
+    gone = F.col(deleted) if deleted in parent.columns else F.lit(None)
+    rows = parent.select(
+        normal_key(F.col(ref.parent_field)).alias("_key"),
+        F.coalesce(F.col(loaded).cast(ts), F.lit("0001-01-01").cast(ts)).alias("from_ts"),
+        gone.cast(ts).alias("to_ts"),
+    )
+    return _coded(rows.where("_key is not null"), ref, "from_ts", "to_ts")
+
+
+def _coded(rows: DataFrame, ref: Reference, *keep: str) -> DataFrame:
+    """Codes of ``_key``; the reference's name before the stem keeps references apart in one table."""
+    code = rows.select(key_code(F.col("_key")).alias("_c"), *keep)
+    stem = F.concat(F.lit(ref.name), F.col("_c.stem"))
+    return code.select(stem.alias("stem"), F.col("_c.block").alias("block"), F.col("_c.num").alias("num"), *keep)
+
+
 def find_orphans(
-    child: DataFrame,
-    parent: DataFrame,
-    reference: Reference,
-    row_id: str,
+    children: list[tuple[str, DataFrame, str, list[tuple[Reference, DataFrame]]]],
     loaded: str = "loaded_at",
     deleted: str = "deleted_at",
 ) -> DataFrame:
-    """One row (row_id, field, kind, loaded_at) for each child row whose reference is not good.
-
-    A reference made at the child's ``loaded`` is good if some parent row with the
-    key was loaded at or before it and is not deleted by it.  Otherwise ``kind`` is
-    ``missing`` (no parent row has the key), ``deleted`` (one was loaded by then)
-    or ``late``.  Null and blank keys are no references; a child row delivered
-    several times (the same ``row_id``) is reported once, for its earliest load; a
-    parent without the ``deleted`` column has no deletions; a child row without a
-    time counts as made at the end of time.  A parent row without ``loaded`` is
-    taken to have been there always.  Empty tables give no rows, except that
-    every reference to an empty parent is missing.
-
-    The distinct references are matched, not the rows: a key that a third of all
-    rows name is one row there.  The rows then meet their key's short result in a
-    join that Spark broadcasts if it measures it to be small, and otherwise splits
-    where it is skewed.
+    """(child, row_id, field, kind, loaded_at): one row for each child row and reference that isn't good.
+
+    ``children`` are (name, rows, row id, [(reference, parent rows), ...]).  A
+    reference made at the child's ``loaded`` is good if some parent row with the key
+    was loaded at or before it and is not deleted by it.  Otherwise ``kind`` is
+    ``missing`` (no parent row has the key), ``deleted`` (one was loaded by then) or
+    ``late``.  Null and blank keys are no references; a child row delivered several
+    times (the same row id) is reported once, for its earliest load; a parent
+    without the ``deleted`` column has no deletions; a child row without a time
+    counts as made at the end of time.  A parent row without ``loaded`` is taken to
+    have been there always.  Empty tables give no rows, except that every reference
+    to an empty parent is missing.
+
+    All references go through one plan, told apart by their stems; a child table is
+    read once for all its fields.  The distinct references are matched, not the
+    rows: a key that a third of all rows name is one row there.  The rows then meet
+    their key's short result in a join that Spark broadcasts if it measures it to be
+    small, and otherwise splits where it is skewed.
     """
-    gone = F.col(deleted) if deleted in parent.columns else F.lit(None).cast("timestamp_ntz")
     ts = "timestamp_ntz"
-    parents = parent.select(normal_key(F.col(reference.parent_field)).alias("_key"), F.coalesce(F.col(loaded).cast(ts), F.lit("0001-01-01").cast(ts)).alias("from_ts"), gone.cast(ts).alias("to_ts")).where("_key is not null")
-    parents = parents.select(key_code(F.col("_key")).alias("_c"), "from_ts", "to_ts").select("_c.*", "from_ts", "to_ts")
-    rows = child.select(F.col(row_id).alias("row_id"), normal_key(F.col(reference.child_field)).alias("_key"), F.coalesce(F.col(loaded).cast(ts), F.lit("9999-12-31").cast(ts)).alias("at")).where("_key is not null")
-    rows = rows.select("row_id", "at", key_code(F.col("_key")).alias("_c")).select("row_id", "at", "_c.*")
+    parents = reduce(DataFrame.unionByName, [_parent_rows(p, ref, loaded, deleted) for _, _, _, refs in children for ref, p in refs])
+    tables = []
+    for name, rows, row_id, refs in children:
+        fields = F.array(*[F.struct(F.lit(ref.name).alias("ref"), F.lit(ref.child_field).alias("field"), normal_key(F.col(ref.child_field)).alias("key")) for ref, _ in refs])
+        each = rows.select(F.lit(name).alias("child"), F.col(row_id).cast("long").alias("row_id"), F.coalesce(F.col(loaded).cast(ts), F.lit("9999-12-31").cast(ts)).alias("at"), F.explode(fields).alias("_f"))
+        each = each.where("_f.key is not null").select("child", "row_id", "at", "_f.field", "_f.ref", key_code(F.col("_f.key")).alias("_c"))
+        tables.append(each.select("child", "row_id", "at", "field", F.concat("ref", "_c.stem").alias("stem"), F.col("_c.block").alias("block"), F.col("_c.num").alias("num")))
+    rows = reduce(DataFrame.unionByName, tables)
 
     runs = key_runs(parents.select("stem", "block", "num").distinct())
     known = match_runs(rows.select("stem", "block", "num").distinct(), runs)
@@ -138,7 +160,6 @@ def find_orphans(
     found = rows.join(keys, ["stem", "num"])
     good = F.exists("spans", lambda s: (s["from_ts"] <= F.col("at")) & (s["to_ts"].isNull() | (s["to_ts"] > F.col("at"))))
     kind = F.when(~F.col("known"), "missing").when(good, None).when(F.col("first_ts") <= F.col("at"), "deleted").otherwise("late")
-    found = found.select("row_id", kind.alias("kind"), "at").where("kind is not null")
+    found = found.select("child", "row_id", "field", kind.alias("kind"), "at").where("kind is not null")
     # Only orphans, a small part, are looked at for double delivery.
-    once = found.groupBy("row_id").agg(F.min_by("kind", "at").alias("kind"), F.min("at").alias("loaded_at"))
-    return once.select("row_id", F.lit(reference.child_field).alias("field"), "kind", "loaded_at")
+    return found.groupBy("child", "row_id", "field").agg(F.min_by("kind", "at").alias("kind"), F.min("at").alias("loaded_at"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,11 +53,10 @@ def p1_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = [
-        find_orphans(read_table(spark, sf_dir, child), read_table(spark, sf_dir, parent), ref, row_id).withColumn("child", F.lit(child))
-        for child, row_id, ref, parent in REFERENCES
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    children: dict[str, tuple] = {}
+    for child, row_id, ref, parent in REFERENCES:
+        children.setdefault(child, (child, read_table(spark, sf_dir, child), row_id, []))[3].append((ref, read_table(spark, sf_dir, parent)))
+    return find_orphans(list(children.values()))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
