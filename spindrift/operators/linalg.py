@@ -20,7 +20,8 @@ MAX_DIM = 5000
 
 def sign_no_zero(value: Column) -> Column:
     """-1 below zero, +1 from zero on; null stays null."""
-    return F.when(value < 0, -1).when(value >= 0, 1)
+    # The value is used once: signs of signs would double their expression at each step otherwise.
+    return (value >= 0).cast("int") * 2 - 1
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -218,8 +218,8 @@ def spectral_means(side: Side, k: int, seed: int = 0, steps: int = 20) -> np.nda
         if total < cost:
             best, cost = c, total
     centres = lloyd(flat, best, steps)
-    labelled = side.rows.join(flat.select("row_id", nearest_mean(centres).alias("k")), "row_id")
-    first = np.stack([np.array(r["mean"]) for r in cluster_means(labelled, "k", k).orderBy("k").collect()])
+    labelled = side.rows.select("row_id", "features").join(flat.select("row_id", nearest_mean(centres).alias("_label")), "row_id")
+    first = np.stack([np.array(r["mean"]) for r in cluster_means(labelled, "_label", k).orderBy("k").collect()])
     return lloyd(side.rows, first, max(1, round(2 * math.log(max(side.n, 2)))))
 
 

@@ -54,7 +54,9 @@ def read_bodies(files: DataFrame, body: str, keep: list[str], text_fields: list[
     counts = F.array(*[F.struct(_occurrences(head, s).alias("n"), F.lit(-i).alias("k"), F.lit(s).alias("s")) for i, s in enumerate(SEPARATORS)])
     lines = lines.withColumn("_sep", F.array_max(counts)["s"])
     names = F.transform(_fields(F.col("_lines")[0], F.col("_sep")), lambda x: F.lower(_clean(x)))
-    rows = lines.select(*keep, "_sep", names.alias("_names"), F.explode(F.slice("_lines", 2, F.size("_lines"))).alias("_line"))
+    # The header is read before the lines are parted, else each line would carry the whole body.
+    lines = lines.select(*keep, "_sep", names.alias("_names"), F.slice("_lines", 2, F.size("_lines")).alias("_rest"))
+    rows = lines.select(*keep, "_sep", "_names", F.explode("_rest").alias("_line"))
     rows = rows.withColumn("_fields", _fields(F.col("_line"), F.col("_sep")))
     rows = rows.where((F.size("_fields") == F.size("_names")) & (_occurrences(F.col("_line"), '"') % 2 == 0))
 
