@@ -86,13 +86,13 @@ def word_table(prepared: DataFrame, e: Evidence) -> DataFrame:
     The last word of a text counts only where the text has a full end.
     """
     n = F.size("t")
-    rows = prepared.select("t", "ending", n.alias("n"), F.explode(F.sequence(F.lit(1), F.greatest(n, F.lit(1)))).alias("i")).where("n > 0")
-    nxt = F.try_element_at("t", F.col("i") + 1)
-    rows = rows.select(
-        final_key(F.col("t"), F.col("i")).alias("key"),
-        ((nxt == ".") | ((F.col("i") == F.col("n") - 1) & (F.col("ending") == "full") & nxt.isNull())).alias("ends"),
-        (F.col("i") == F.col("n")).alias("last"),
-    )
+
+    def place(i: Column) -> Column:
+        nxt = F.try_element_at("t", i + 1)
+        return F.struct(final_key(F.col("t"), i).alias("key"), F.coalesce(nxt == ".", F.lit(False)).alias("ends"), (i == n).alias("last"))
+
+    # One small struct per word: a row never carries its whole text along.
+    rows = prepared.where(n > 0).select(F.explode(F.transform(F.sequence(F.lit(1), n), place)).alias("w")).select("w.*")
     rows = rows.where((F.col("key") != ".") & ~F.col("last"))
     return rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.count_if("ends").alias("n_end"))
 
@@ -111,10 +111,15 @@ def opening_table(prepared: DataFrame) -> DataFrame:
     count as openings of sentences.
     """
     n = F.size("t")
-    rows = prepared.where("ending = 'full' or array_contains(t, '.')").select("t", n.alias("n"), F.explode(F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1)))).alias("i"))
-    words = [F.try_element_at("t", F.col("i") + k) for k in range(3)]
-    before = F.when(F.col("i") > 1, F.try_element_at("t", F.greatest(F.col("i") - 1, F.lit(1))))
-    rows = rows.where((words[0] != ".") & (words[1] != ".") & (words[2] != ".")).select(F.concat_ws(" ", *words).alias("triple"), (before.isNull() | (before == ".")).alias("start"))
+
+    def place(i: Column) -> Column:
+        words = [F.try_element_at("t", i + k) for k in range(3)]
+        inside = (words[0] != ".") & (words[1] != ".") & (words[2] != ".")
+        before = F.when(i > 1, F.try_element_at("t", F.greatest(i - 1, F.lit(1))))
+        return F.struct(F.when(inside, F.concat_ws(" ", *words)).alias("triple"), (before.isNull() | (before == ".")).alias("start"))
+
+    texts = prepared.where("(ending = 'full' or array_contains(t, '.')) and size(t) > 2")
+    rows = texts.select(F.explode(F.transform(F.sequence(F.lit(1), n - 2), place)).alias("w")).select("w.*").where("triple is not null")
     return rows.groupBy("triple").agg(F.count_if("start").alias("n_start"), F.count_if(~F.col("start")).alias("n_within"))
 
 
@@ -134,8 +139,8 @@ def headings(prepared: DataFrame, openings: DataFrame, e: Evidence) -> DataFrame
 
 def heading_ends(candidates: DataFrame) -> DataFrame:
     """(key, n_heading, n_last): places of a word in such texts, and those at their end."""
-    rows = candidates.select("t", "n", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("i"))
-    rows = rows.select(final_key(F.col("t"), F.col("i")).alias("key"), (F.col("i") == F.col("n")).alias("last"))
+    place = lambda i: F.struct(final_key(F.col("t"), i).alias("key"), (i == F.col("n")).alias("last"))
+    rows = candidates.select(F.explode(F.transform(F.sequence(F.lit(1), F.col("n")), place)).alias("w")).select("w.*")
     return rows.groupBy("key").agg(F.count(F.lit(1)).alias("n_heading"), F.count_if("last").alias("n_last"))
 
 
