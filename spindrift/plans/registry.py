@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from spindrift.plans import matrix, problems, reports
+from spindrift.streaming import scoring
 
-_MODULES = [problems, reports, matrix]
+_MODULES = [problems, reports, matrix, scoring]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
