@@ -11,6 +11,7 @@ left over that names another entry.  The best reading is kept.
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -25,6 +26,9 @@ from spindrift.session import cut
 #: Least Jaccard similarity of the letter pairs of a candidate.
 MIN_JACCARD = 0.3
 
+#: Typed values whose candidates one task reads.
+VALUES_PER_TASK = 5000
+
 #: Most different words of a reference list.
 MAX_WORDS = 100_000
 
@@ -248,6 +252,8 @@ def map_values(values: DataFrame, value: str, entries: DataFrame, label: str, na
     Entries with a null or blank name or a null label are ignored.
     """
 
+    spark = values.sparkSession
+
     @F.pandas_udf("string")
     def folded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
@@ -276,13 +282,17 @@ def map_values(values: DataFrame, value: str, entries: DataFrame, label: str, na
     if len(vocabulary) > MAX_WORDS:
         raise ValueError(f"the list has more than {MAX_WORDS} different words")
     others = frozenset(vocabulary)
+    # Reading candidates is Python work on few bytes: spread it by the number of values, not by size.
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(typed.count() / VALUES_PER_TASK))
+    pairs = pairs.repartition(tasks, "left_key")
 
     @F.pandas_udf("double")
     def cost(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for typed_, names in batches:
             yield pd.Series([reading_cost(k, n, others) for k, n in zip(typed_, names, strict=True)], dtype="float64")
 
-    scored = pairs.withColumn("cost", cost("left_key", "name")).where("cost is not null and not isnan(cost)")
+    # Not to be moved below the repartition, nor worked out once for the filter and once for the column.
+    scored = pairs.withColumn("cost", cost.asNondeterministic()("left_key", "name")).where("cost is not null and not isnan(cost)")
     w = Window.partitionBy("left_key").orderBy("cost", F.desc("jaccard"), "label")
     best = scored.withColumn("_r", F.row_number().over(w)).where("_r = 1").select(F.col("left_key").alias("key"), "label")
     return typed.join(best, "key", "left").select("value", F.coalesce("label", F.lit(-1)).alias("label"))
