@@ -46,7 +46,7 @@ def adjusted_rand(table: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     both = _meet(_meet(cells, rows, keys), columns, keys)
     expected = F.col("a") * F.col("b") / F.nullif(_choose2(F.col("n")), F.lit(0.0))
     most = (F.col("a") + F.col("b")) / 2
-    return both.select(*keys, F.when(most == expected, 1.0).otherwise((F.col("c") - expected) / (most - expected)).alias("ari"))
+    return both.select(*keys, F.when(expected.isNull() | (most == expected), 1.0).otherwise((F.col("c") - expected) / (most - expected)).alias("ari"))
 
 
 def v_measure(table: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

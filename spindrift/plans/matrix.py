@@ -427,7 +427,8 @@ SQL = {
     "q6_rand": _LABELLED
     + ', c as (select batch, sum(n * (n - 1) / 2) as c, sum(n) as n from t group by 1), a as (select batch, sum(n * (n - 1) / 2) as a from (select batch, pred, sum(n) as n from t group by all) group by 1), '
     'b as (select batch, sum(n * (n - 1) / 2) as b from (select batch, "true", sum(n) as n from t group by all) group by 1) '
-    "select batch, round((c - a * b / (n * (n - 1) / 2)) / ((a + b) / 2 - a * b / (n * (n - 1) / 2)), 9) as ari from c join a using (batch) join b using (batch)",
+    "select batch, case when coalesce((a + b) / 2 - a * b / nullif(n * (n - 1) / 2, 0), 0) = 0 then 1.0 "
+    "else round((c - a * b / (n * (n - 1) / 2)) / ((a + b) / 2 - a * b / (n * (n - 1) / 2)), 9) end as ari from c join a using (batch) join b using (batch)",
     "q7_v": _LABELLED
     + ', s as (select *, sum(n) over (partition by batch, pred) as np, sum(n) over (partition by batch, "true") as nt, sum(n) over (partition by batch) as a from t), '
     "e as (select batch, -sum(n / a * ln(n / np)) as tp, -sum(n / a * ln(n / nt)) as pt, -sum(n / a * ln(nt / a)) as ht, -sum(n / a * ln(np / a)) as hp from s group by 1) "
