@@ -282,9 +282,10 @@ def map_values(values: DataFrame, value: str, entries: DataFrame, label: str, na
     if len(vocabulary) > MAX_WORDS:
         raise ValueError(f"the list has more than {MAX_WORDS} different words")
     others = frozenset(vocabulary)
-    # Reading candidates is Python work on few bytes: spread it by the number of values, not by size.
+    # Reading candidates is Python work on few bytes: spread it by the number of values, not by size (by the
+    # pair, as rows that lie by key already would stay where they are, in few tasks).
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(typed.count() / VALUES_PER_TASK))
-    pairs = pairs.repartition(tasks, "left_key")
+    pairs = pairs.repartition(tasks, "left_key", "name")
 
     @F.pandas_udf("double")
     def cost(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
