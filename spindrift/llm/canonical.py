@@ -52,7 +52,7 @@ def fold(value: str | None) -> str:
     """
     if value is None:
         return ""
-    text = unicodedata.normalize("NFKC", value[:4096])
+    text = unicodedata.normalize("NFKC", value)
     text = re.sub(r"(?<=[a-zа-я])(?=[A-ZΑ-Ω0-9])", " ", text) if re.search(r"^\W*[A-Z][a-zа-я]+\.?[A-Z]", text) else text
     text = re.sub(r"(?<=\.)(?=[^\W\d_]{2})", " ", text).lower()
     text = re.sub(r"(?<!ty)(?<!type)(?<=[^\W\d_]\.)[^\W\d_](?![^\W_])", "", text)
