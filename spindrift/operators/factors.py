@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spindrift.operators.linalg import dot, literal_vector
+from spindrift.session import cut
 
 _TINY = 1e-12
 
@@ -80,22 +81,45 @@ def mixed(obs: DataFrame, coded: DataFrame, w: np.ndarray, mix: float) -> DataFr
     return both.withColumn("features", F.zip_with("features", table[F.col("component")], lambda x, y: x * (1 - mix) + y * mix))
 
 
+def log_odds(mu0: np.ndarray, mu1: np.ndarray, pi1: float, sigma2: float) -> tuple[np.ndarray, float]:
+    """(slope, offset) of the log-odds of the second of two round normal groups."""
+    return (mu1 - mu0) / sigma2, float(np.log(pi1 / (1 - pi1)) - (mu1 @ mu1 - mu0 @ mu0) / (2 * sigma2))
+
+
 def responsibility(mu0: np.ndarray, mu1: np.ndarray, pi1: float, sigma2: float) -> Column:
     """Probability of the second of two round normal groups: the logistic of the log-odds."""
-    odds = dot(F.col("features"), literal_vector((mu1 - mu0) / sigma2)) + float(np.log(pi1 / (1 - pi1)) - (mu1 @ mu1 - mu0 @ mu0) / (2 * sigma2))
-    return 1 / (1 + F.exp(-odds))
+    slope, offset = log_odds(mu0, mu1, pi1, sigma2)
+    return 1 / (1 + F.exp(-(dot(F.col("features"), literal_vector(slope)) + offset)))
+
+
+def logistic_sums(obs: DataFrame, slope: np.ndarray, offset: float) -> tuple[int, float, np.ndarray, np.ndarray]:
+    """(n, sum of g, sum of g x, sum of x) for g the logistic of slope.x + offset.
+
+    A task adds up its rows before anything is shuffled.  The slope travels as data,
+    so the steps of an iteration share one compiled plan.
+    """
+    d = len(slope)
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n, n1, s1, s = 0, 0.0, np.zeros(d), np.zeros(d)
+        for part in batches:
+            if len(part):
+                x = np.stack(part["features"].to_numpy())
+                g = 1 / (1 + np.exp(-np.clip(x @ slope + offset, -700, 700)))
+                n, n1, s1, s = n + len(x), n1 + g.sum(), s1 + g @ x, s + x.sum(0)
+        yield pd.DataFrame({"n": [n], "n1": [n1], "s1": [s1], "s": [s]})
+
+    parts = obs.select("features").mapInPandas(add, "n long, n1 double, s1 array<double>, s array<double>")
+    got = parts.agg(F.sum("n"), F.sum("n1"), *[F.array(*[F.sum(F.col(c)[i]) for i in range(d)]) for c in ("s1", "s")]).first()
+    return got[0] or 0, got[1] or 0.0, np.array(got[2]), np.array(got[3])
 
 
 def spherical_em(obs: DataFrame, start: tuple[np.ndarray, np.ndarray], sigma2: float, rounds: int) -> tuple[np.ndarray, np.ndarray, float]:
     """Means and share of the second group after ``rounds`` steps with a known variance; a step is one aggregate."""
     mu0, mu1 = start
-    pi1, d = 0.5, len(mu0)
+    pi1 = 0.5
     for _ in range(rounds):
-        g = responsibility(mu0, mu1, pi1, sigma2)
-        got = obs.select("features", g.alias("g")).agg(
-            F.count(F.lit(1)), F.sum("g"), F.array(*[F.sum(F.col("features")[i] * F.col("g")) for i in range(d)]), F.array(*[F.sum(F.col("features")[i]) for i in range(d)])
-        ).first()
-        n, n1, s1, s = got[0], got[1], np.array(got[2]), np.array(got[3])
+        n, n1, s1, s = logistic_sums(obs, *log_odds(mu0, mu1, pi1, sigma2))
         mu1, mu0 = s1 / max(n1, 1e-8), (s - s1) / max(n - n1, 1e-8)
         pi1 = min(max(n1 / n, 1e-6), 1 - 1e-6)
     return mu0, mu1, pi1
@@ -123,3 +147,73 @@ def sharpened(q: DataFrame, k: int) -> DataFrame:
     both = q.join(F.broadcast(sums), how="cross")
     p = F.zip_with("q", "f", lambda x, f: x * x / f)
     return both.select("row_id", F.transform(p, lambda v: v / F.aggregate(p, F.lit(0.0), lambda s, y: s + y)).alias("p"))
+
+
+def reconstruction(obs: DataFrame, coded: DataFrame, w: np.ndarray) -> DataFrame:
+    """(n, mean_absolute, frobenius): error of h w over all elements; both are divided by the number of elements."""
+    both = obs.select("row_id", "features").join(coded.select("row_id", "h"), "row_id")
+    gap = F.zip_with("features", _product(F.col("h"), w), lambda x, y: x - y)
+    total = lambda f: F.sum(F.aggregate(gap, F.lit(0.0), lambda s, v: s + f(v)))
+    size = F.count(F.lit(1)) * w.shape[1]
+    return both.agg(F.count(F.lit(1)).alias("n"), (total(F.abs) / size).alias("mean_absolute"), (F.sqrt(total(lambda v: v * v)) / size).alias("frobenius"))
+
+
+def _product(h: Column, w: np.ndarray) -> Column:
+    return F.array(*[dot(h, literal_vector(c)) for c in w.T])
+
+
+def rejection_scores(obs: DataFrame, coded: DataFrame, w: np.ndarray) -> DataFrame:
+    """Eight scores per row (row_id, ...) of how well the factor explains it; low ones are to be rejected.
+
+    ``error`` (of the row's component alone, scaled to 0..1 and weighted down for rows
+    of large sums), ``kurtosis`` of h, ``entropy`` of h (scaled, negative), ``gap``
+    between the largest and smallest of h, and negative squared and absolute
+    distances to h w and to the component.  Scales come from one row of extremes; a
+    scale of width 0 gives 0.
+    """
+
+    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in batches:
+            if not len(part):
+                continue
+            x, h = np.stack(part["features"].to_numpy()), np.stack(part["h"].to_numpy())
+            full, alone = x - h @ w, x - w[part["component"].to_numpy()]
+            p = h / np.maximum(h.sum(1, keepdims=True), _TINY)
+            low = h - h.mean(1, keepdims=True)
+            yield pd.DataFrame({
+                "row_id": part["row_id"], "total": x.sum(1), "kurtosis": (low**4).mean(1) / np.maximum((low**2).mean(1) ** 2, _TINY),
+                "entropy": -(p * np.log(np.maximum(p, _TINY))).sum(1), "gap": h.max(1) - h.min(1),
+                "square_h": -(full**2).sum(1), "square_component": -(alone**2).sum(1), "absolute_h": -np.abs(full).sum(1), "absolute_component": -np.abs(alone).sum(1),
+            })
+
+    names = ["total", "kurtosis", "entropy", "gap", "square_h", "square_component", "absolute_h", "absolute_component"]
+    both = obs.select("row_id", "features").join(coded.select("row_id", "h", "component"), "row_id")
+    each = cut(both.mapInPandas(measure, "row_id long, " + ", ".join(f"{n} double" for n in names)), "scores")
+    wide = {"_t": F.col("total"), "_e": F.col("entropy"), "_a": -F.col("absolute_component")}
+    ends = each.agg(*[f(v).alias(k + s) for k, v in wide.items() for s, f in (("0", F.min), ("1", F.max))])
+    scaled = lambda k: F.when(F.col(k + "1") > F.col(k + "0"), (wide[k] - F.col(k + "0")) / (F.col(k + "1") - F.col(k + "0"))).otherwise(0.0)
+    # The one row of extremes is a scalar.
+    return each.join(F.broadcast(ends), how="cross").select("row_id", (-(1 - scaled("_t")) / 2 * scaled("_a")).alias("error"), "kurtosis", (-scaled("_e")).alias("entropy"), *names[3:])
+
+
+def transferability(obs: DataFrame, w: np.ndarray, k: int, permutations: int = 20, rounds: int = 8, seed: int = 0) -> tuple[float, float]:
+    """(score, p): how near a foreign factor comes to the best one, between 1 and 0 for the worst of shuffled ones; share of shuffled ones that are better.
+
+    All shuffled factors are tried in the same pass over the rows.
+    """
+    rng = np.random.default_rng(seed)
+    tried = [w, *(w[:, rng.permutation(w.shape[1])] for _ in range(permutations)), fit_factors(obs, k, rounds, seed)[0]]
+
+    def errors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total, n = np.zeros(len(tried)), 0
+        for part in batches:
+            if len(part):
+                x = np.stack(part["features"].to_numpy())
+                total, n = total + [np.abs(x - coefficients(x, t) @ t).sum() for t in tried], n + x.size
+        yield pd.DataFrame({"t": range(len(tried)), "total": total, "n": n})
+
+    got = obs.select("features").mapInPandas(errors, "t int, total double, n long").groupBy("t").agg(F.sum("total") / F.sum("n")).orderBy("t").collect()
+    own, *shuffled, best = (r[1] for r in got)
+    shuffled = np.maximum(shuffled, best)
+    width = float(shuffled.max() - best)
+    return (1 - max(own - best, 0.0) / width if width > 0 else 0.0), float((shuffled < own).mean())

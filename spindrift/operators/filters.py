@@ -7,11 +7,15 @@ rows is added up before the shuffle.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spindrift.operators.linalg import feature_sums
+
 
 def cell_filter(rows: DataFrame, n_genes: int, threshold: float) -> DataFrame:
     """(cell): cells in which at least ``n_genes`` values reach ``threshold``; null and NaN count as 0."""
@@ -81,3 +85,33 @@ def variable_genes(rows: DataFrame, batch: str, n_top: int, n_bins: int = 20) ->
     ranked = scaled.withColumn("rank", F.row_number().over(Window.partitionBy(batch).orderBy(F.desc_nulls_last("norm"), "gene")))
     top = ranked.where(F.col("rank") <= n_top).groupBy("gene").agg(F.count(F.lit(1)).alias("n_batches"), F.percentile("rank", F.lit(0.5)).alias("median_rank"))
     return top.orderBy(F.desc("n_batches"), "median_rank", "gene").limit(n_top)
+
+
+def library_scale(rows: DataFrame, total: float = 1e6) -> DataFrame:
+    """log2(1 + value per ``total`` of its cell); a cell without any value stays 0."""
+    sums = rows.groupBy("cell").agg(F.sum("value").alias("_sum"))
+    scaled = F.when(F.col("_sum") > 0, F.log2(F.col("value") / (F.col("_sum") / total) + 1)).otherwise(0.0)
+    return rows.join(sums, "cell").withColumn("value", scaled).drop("_sum")
+
+
+def quantile_normalise(obs: DataFrame, d: int) -> DataFrame:
+    """Rows whose d features get the same distribution: a feature takes the mean, over all rows, of its rank's values.
+
+    Equal features of a row share the mean of their ranks.  Rows keep their other columns.
+    """
+    got = feature_sums(obs.select(F.array_sort("features").alias("features")), [], d=d).first()
+    if not got["n"]:
+        return obs
+    added = np.concatenate([[0.0], np.cumsum(np.array(got["s"]) / got["n"])])
+
+    @F.pandas_udf("array<double>")
+    def ranked(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            out = []
+            for x in s:
+                order = np.sort(x)
+                low, high = np.searchsorted(order, x, "left"), np.searchsorted(order, x, "right")
+                out.append((added[high] - added[low]) / (high - low))
+            yield pd.Series(out, dtype=object)
+
+    return obs.withColumn("features", ranked("features"))

@@ -7,6 +7,7 @@ and a method, so one plan scores a whole grid.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Sequence
 
 import numpy as np
@@ -34,6 +35,16 @@ def contrast_error(table: DataFrame, a: int, b: int, keys: Sequence[str] = ()) -
     return best.groupBy(*keys).agg((1 - F.sum("m") / F.sum("n")).alias("error"))
 
 
+def permutation_error(table: DataFrame, k: int, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, error): least share of wrong rows over all k! renamings of the predictions 0..k-1, for k up to 6."""
+    if k > 6:
+        raise ValueError("too many renamings: use matched_accuracy")
+    maps = F.array(*[F.array(*map(F.lit, p)) for p in itertools.permutations(range(k))])
+    each = table.select(*keys, "pred", "true", "n", F.posexplode(maps).alias("_map", "_to"))
+    hit = F.when(F.try_element_at("_to", F.col("pred").cast("int") + 1) == F.col("true"), F.col("n")).otherwise(0)
+    return each.groupBy(*keys, "_map").agg((1 - F.sum(hit) / F.sum("n")).alias("e")).groupBy(*keys).agg(F.min("e").alias("error"))
+
+
 def _choose2(n: Column) -> Column:
     return n * (n - 1) / 2
 
