@@ -101,17 +101,18 @@ def logistic_sums(obs: DataFrame, slope: np.ndarray, offset: float) -> tuple[int
     d = len(slope)
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n, n1, s1, s = 0, 0.0, np.zeros(d), np.zeros(d)
+        # Place d holds the sums of 1, places before it those of the features.
+        s1, s = np.zeros(d + 1), np.zeros(d + 1)
         for part in batches:
             if len(part):
                 x = np.stack(part["features"].to_numpy())
                 g = 1 / (1 + np.exp(-np.clip(x @ slope + offset, -700, 700)))
-                n, n1, s1, s = n + len(x), n1 + g.sum(), s1 + g @ x, s + x.sum(0)
-        yield pd.DataFrame({"n": [n], "n1": [n1], "s1": [s1], "s": [s]})
+                s1, s = s1 + [*(g @ x), g.sum()], s + [*x.sum(0), len(x)]
+        yield pd.DataFrame({"i": range(d + 1), "s1": s1, "s": s})
 
-    parts = obs.select("features").mapInPandas(add, "n long, n1 double, s1 array<double>, s array<double>")
-    got = parts.agg(F.sum("n"), F.sum("n1"), *[F.array(*[F.sum(F.col(c)[i]) for i in range(d)]) for c in ("s1", "s")]).first()
-    return got[0] or 0, got[1] or 0.0, np.array(got[2]), np.array(got[3])
+    got = obs.select("features").mapInPandas(add, "i int, s1 double, s double").groupBy("i").agg(F.sum("s1"), F.sum("s")).orderBy("i").collect()
+    s1, s = np.array([r[1] for r in got] or [0.0] * (d + 1)), np.array([r[2] for r in got] or [0.0] * (d + 1))
+    return int(s[d]), float(s1[d]), s1[:d], s[:d]
 
 
 def spherical_em(obs: DataFrame, start: tuple[np.ndarray, np.ndarray], sigma2: float, rounds: int) -> tuple[np.ndarray, np.ndarray, float]:

@@ -11,6 +11,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,15 +41,55 @@ def dimension(obs: DataFrame) -> int:
     return high or 0
 
 
+def _matrix(features: pa.Array, d: int) -> np.ndarray:
+    """Rows of a batch as (n, d); what is null adds nothing."""
+    flat = features.flatten()
+    if not features.null_count and not flat.null_count and len(flat) == len(features) * d:
+        return flat.to_numpy().reshape(-1, d).astype(float)
+    out = np.zeros((len(features), d))
+    for i, row in enumerate(features.to_pylist()):
+        for j, v in enumerate((row or [])[:d]):
+            out[i, j] = 0.0 if v is None else v
+    return out
+
+
 def feature_sums(obs: DataFrame, keys: Sequence[str], weight: Column | None = None, d: int | None = None) -> DataFrame:
-    """(keys, n, w, s): rows, summed weight and weighted sum of the features per group, in one aggregate.
+    """(keys, n, w, s): rows, summed weight and weighted sum of the features per group.
 
-    Without the number of features ``d`` one more pass finds it.
+    Arrow batches are added up per group where they lie; Spark adds these sums place
+    by place, before and after the shuffle.  Without the number of features ``d`` one
+    more pass finds it.  Without keys there is one row, with n = 0 and no sums for an
+    empty input.
     """
     d = dimension(obs) if d is None else d
-    w = F.lit(1.0) if weight is None else weight.cast("double")
-    sums = [F.sum(F.col("features")[i] * F.col("_w")) for i in range(d)]
-    return obs.withColumn("_w", w).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum("_w").alias("w"), F.array(*sums).alias("s"))
+    w = F.lit(1.0) if weight is None else F.coalesce(weight.cast("double"), F.lit(0.0))
+    # Several keys may share their name with the sums: they travel under names of their own.
+    asked = obs.withColumn("_w", w).select(*keys, "_w", "features")
+    names = asked.columns[:-2]
+    own = [f"_k{i}" for i in range(len(names))]
+    work = asked.toDF(*own, "_w", "features")
+    kinds = "".join(f"{c} {t}, " for c, t in work.dtypes[: len(own)])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            code = np.zeros(batch.num_rows, dtype=np.int64)
+            for i in range(len(own)):
+                seen = batch.column(i).dictionary_encode(null_encoding="encode")
+                code = np.unique(code * max(len(seen.dictionary), 1) + seen.indices.to_numpy(zero_copy_only=False), return_inverse=True)[1]
+            _, first, n = np.unique(code, return_index=True, return_counts=True)
+            order, starts = np.argsort(code, kind="stable"), np.cumsum(n) - n
+            one = batch.column(len(own)).to_numpy(zero_copy_only=False)[order]
+            x = _matrix(batch.column(len(own) + 1), d)[order] * one[:, None]
+            sums = np.add.reduceat(x, starts, axis=0).ravel()
+            lists = pa.ListArray.from_arrays(np.arange(0, len(sums) + 1, d, dtype=np.int32) if d else np.zeros(len(n) + 1, dtype=np.int32), sums)
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(pa.array(first)) for i in range(len(own))), pa.array(n), pa.array(np.add.reduceat(one, starts)), lists], names=[*own, "n", "w", "s"])
+
+    parts = work.mapInArrow(add, f"{kinds}n long, w double, s array<double>")
+    places = parts.select(*own, "n", "w", F.posexplode("s").alias("i", "x")).groupBy(*own, "i").agg(F.sum("n").alias("n"), F.sum("w").alias("w"), F.sum("x").alias("x"))
+    lists = places.groupBy(*own).agg(F.coalesce(F.max("n"), F.lit(0)).alias("n"), F.max("w").alias("w"), F.array_sort(F.collect_list(F.struct("i", "x"))).alias("s"))
+    return lists.select(*[F.col(o).alias(k) for o, k in zip(own, names, strict=True)], "n", "w", F.col("s.x").alias("s"))
 
 
 def centre(obs: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from spindrift.operators import factors, filters, metrics, mixtures, splits
+from spindrift.operators import factors, filters, linalg, metrics, mixtures, splits
 from spindrift.plans import comparisons
 from spindrift.sources import files
 
@@ -185,3 +185,16 @@ def test_permutation_error(spark):
 @pytest.mark.parametrize("name", ["g4_mixtures", "g7_alignment", "n13_rejection", "n15_transferability", "w13_modes", "t7_sizes"])
 def test_query_runs(spark, sf, name):
     assert comparisons.QUERIES[name](spark, sf).count() > 0
+
+
+def test_feature_sums_of_odd_rows(spark):
+    rows = [(None, "x", [1.0, 2.0]), (1, None, [3.0, None]), (1, None, None), (1, "x", [float("nan"), 1.0]), (1, "x", [1.0, 1.0])]
+    df = spark.createDataFrame(rows, "n int, s string, features array<double>")
+    got = {(r[0], r[1]): (r[2], r[3], r[4]) for r in linalg.feature_sums(df, ["n", "s"], F.lit(2), 2).collect()}
+    assert got[None, "x"] == (1, 2.0, [2.0, 4.0])
+    assert got[1, None] == (2, 4.0, [6.0, 0.0])
+    assert np.isnan(got[1, "x"][2][0])
+    assert got[1, "x"][2][1] == 4.0
+    none = linalg.feature_sums(df.limit(0), [], d=2).collect()
+    assert [(r.n, r.s) for r in none] == [(0, [])]
+    assert linalg.feature_sums(df.limit(0), ["n"], d=2).count() == 0
