@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spindrift.functions.text import name_key
-from spindrift.operators import factors, linalg, metrics, transfer
+from spindrift.operators import factors, linalg, metrics, splits, transfer
 from spindrift.operators.linalg import dot, feature_sums
 from spindrift.session import cut, read_table
 
@@ -322,9 +322,7 @@ def t6_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 def w5_subsample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of a tenth of each label, at least one, drawn by a hash without replacement."""
     rows = observations(spark, sf_dir).where("label is not null").select("dataset", "label", "row_id")
-    w = Window.partitionBy("dataset", "label")
-    drawn = rows.withColumn("n", F.count(F.lit(1)).over(w)).withColumn("rn", F.row_number().over(w.orderBy(F.xxhash64("row_id"), "row_id")))
-    kept = drawn.where(F.col("rn") <= F.greatest(F.lit(1), F.bround(F.col("n") * 0.1).cast("int")))
+    kept = splits.draw(rows, ["dataset", "label"], 0.1).where("drawn")
     return kept.groupBy("dataset", "label").agg(F.count(F.lit(1)).alias("n_drawn"))
 
 
