@@ -197,7 +197,8 @@ def simplex_projection(v: Column, radius: float = 1.0) -> Column:
         return F.struct(n.alias("n"), s.alias("s"), F.when(x > t, t).otherwise(acc["t"]).alias("t"))
 
     theta = F.aggregate(down, start, step, lambda acc: acc["t"])
-    return F.transform(v, lambda x: F.greatest(x - theta, F.lit(0.0)))
+    # Bound as a variable, the threshold is worked out once per row and not once per element.
+    return F.transform(F.array(theta), lambda t: F.transform(v, lambda x: F.greatest(x - t, F.lit(0.0))))[0]
 
 
 def hollow(gram: DataFrame) -> DataFrame:
