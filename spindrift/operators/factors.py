@@ -135,11 +135,16 @@ def shrink(diff: Column, centre: np.ndarray, sigma2: float, penalty: float) -> C
     return F.zip_with(c, gap, lambda y, g: y + g * keep)
 
 
+def _to_one(weights: Column) -> Column:
+    """Weights divided by their sum; both are bound as variables, so worked out once per row."""
+    return F.transform(F.array(weights), lambda q: F.transform(F.array(F.aggregate(q, F.lit(0.0), lambda s, y: s + y)), lambda t: F.transform(q, lambda v: v / t))[0])[0]
+
+
 def soft_assignment(centres: np.ndarray) -> Column:
     """Student-t weights (one degree) of a row's closeness to each centre, summing to one."""
     x = F.col("features")
     q = F.array(*[1 / (1 + dot(x, x) - 2 * dot(x, literal_vector(c)) + float(c @ c)) for c in centres])
-    return F.transform(q, lambda v: v / F.aggregate(q, F.lit(0.0), lambda s, y: s + y))
+    return _to_one(q)
 
 
 def sharpened(q: DataFrame, k: int) -> DataFrame:
@@ -147,7 +152,7 @@ def sharpened(q: DataFrame, k: int) -> DataFrame:
     sums = q.agg(F.array(*[F.sum(F.col("q")[i]) for i in range(k)]).alias("f"))
     both = q.join(F.broadcast(sums), how="cross")
     p = F.zip_with("q", "f", lambda x, f: x * x / f)
-    return both.select("row_id", F.transform(p, lambda v: v / F.aggregate(p, F.lit(0.0), lambda s, y: s + y)).alias("p"))
+    return both.select("row_id", _to_one(p).alias("p"))
 
 
 def reconstruction(obs: DataFrame, coded: DataFrame, w: np.ndarray) -> DataFrame:
