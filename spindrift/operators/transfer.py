@@ -10,15 +10,17 @@ made, since G v = X (X' v) needs only two passes of sums.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spindrift.operators.linalg import (
-    cluster_means,
+    _matrix,
     dimension,
     dot,
     feature_sums,
@@ -174,53 +176,158 @@ def adaptive(target: Side, sources: Sequence[Side], c0: float = 1.0, choice: str
 # More than two groups
 
 
+def _nearest(x: np.ndarray, means: np.ndarray) -> np.ndarray:
+    """Place of the nearest of the rows of ``means``; the first on a tie."""
+    return (x @ means.T - (means**2).sum(1) / 2).argmax(1)
+
+
 def nearest_mean(means: np.ndarray, features: str = "features") -> Column:
-    """Place of the nearest of the rows of ``means`` (k, r); the first on a tie."""
-    x = F.col(features)
-    scores = [dot(x, literal_vector(m)) - float(m @ m) / 2 for m in means]
-    return (F.array_position(F.array(*scores), F.array_max(F.array(*scores))) - 1).cast("int")
-
-
-def lloyd(rows: DataFrame, means: np.ndarray, steps: int, features: str = "features", tol: float = 1e-6) -> np.ndarray:
-    """Centres after at most ``steps`` rounds; a centre without rows stays where it is."""
-    work = rows.select(F.col(features).alias("features"))
-    for _ in range(steps):
-        got = feature_sums(work.withColumn("k", nearest_mean(means)), ["k"], d=means.shape[1])
-        new = means.copy()
-        for r in got.collect():
-            new[r["k"]] = np.array(r["s"]) / r["n"]
-        if np.abs(new - means).max() <= tol:
-            return new
-        means = new
-    return means
+    """Place of the nearest of the rows of ``means`` (k, d); the means travel as data, however many there are."""
 
+    @F.pandas_udf("int")
+    def near(x: pd.Series) -> pd.Series:
+        return pd.Series(_nearest(np.stack(x.to_numpy()), means) if len(x) else [], dtype="int32")
 
-def spectral_means(side: Side, k: int, seed: int = 0, steps: int = 20) -> np.ndarray:
-    """Means (k, d) of k groups: k-means in the k leading coordinates, then Lloyd steps among all features.
+    return near(F.col(features))
+
+
+def _by_dataset(batch: pa.RecordBatch, d: int) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+    """(dataset, places, features) of the parts of a batch whose first columns are dataset and features."""
+    seen = batch.column(0).dictionary_encode()
+    code, x = seen.indices.to_numpy(zero_copy_only=False), _matrix(batch.column(1), d)
+    for i, name in enumerate(seen.dictionary.to_pylist()):
+        at = np.flatnonzero(code == i)
+        yield name, at, x[at]
+
+
+def _near_sums(rows: DataFrame, jobs: Sequence[tuple[str, np.ndarray, np.ndarray]], d: int, sums: bool = True) -> list[tuple[float, np.ndarray, np.ndarray]]:
+    """Of each job (dataset, map (d, r), centres (k, r)): squared distances to the nearest centres, summed; rows and sums of the features (k, d) per centre.
 
-    The first centres are chosen by k-means++ among rows drawn by a hash of their id.
+    All jobs share one pass.  A task gives one list of numbers per job; these are added up by job.
     """
-    v, _ = top_directions(side.moment, min(k, side.d))
-    flat = side.rows.select("row_id", F.array(*[_score(c) for c in v.T]).alias("features"))
-    few = flat.orderBy(F.xxhash64("row_id", F.lit(seed))).limit(50 * k).toPandas()
-    x = np.stack(few["features"].to_numpy())
-    rng = np.random.default_rng(seed)
-    best, cost = None, math.inf
+    k = len(jobs[0][2])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for name, _, x in _by_dataset(batch, d):
+                for j, (of, along, c) in enumerate(jobs):
+                    if of != name:
+                        continue
+                    y = x @ along
+                    near = _nearest(y, c)
+                    v = np.zeros(1 + (k * (d + 1) if sums else 0))
+                    v[0] = ((y - c[near]) ** 2).sum()
+                    if sums:
+                        n = np.bincount(near, minlength=k)
+                        v[1 : k + 1] = n
+                        starts = (np.cumsum(n) - n)[n > 0]
+                        v[k + 1 :].reshape(k, d)[n > 0] = np.add.reduceat(x[np.argsort(near, kind="stable")], starts, axis=0)
+                    total[j] = total.get(j, 0.0) + v
+        for j, v in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([j], pa.int32()), pa.array([v.tolist()], pa.list_(pa.float64()))], names=["j", "v"])
+
+    def merge(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"j": [key[0]], "v": [np.sum(np.stack(part["v"].to_numpy()), axis=0).tolist()]})
+
+    got = {r["j"]: np.array(r["v"]) for r in rows.select("dataset", "features").mapInArrow(add, "j int, v array<double>").groupBy("j").applyInPandas(merge, "j int, v array<double>").collect()}
+    out = []
+    for j in range(len(jobs)):
+        v = got.get(j, np.zeros(1 + k * (d + 1)))
+        out.append((float(v[0]), v[1 : k + 1], v[k + 1 :].reshape(-1, d)))
+    return out
+
+
+def _lloyd(rows: DataFrame, jobs: Sequence[tuple[str, np.ndarray, np.ndarray]], d: int, steps: Sequence[int], tol: float = 1e-6) -> list[np.ndarray]:
+    """Centres of every job after at most its number of rounds; a centre without rows stays where it is."""
+    centres, active = [c for _, _, c in jobs], [j for j in range(len(jobs)) if steps[j] > 0]
+    taken = 0
+    while active:
+        got = _near_sums(rows, [(jobs[j][0], jobs[j][1], centres[j]) for j in active], d)
+        taken, left = taken + 1, []
+        for j, (_, n, s) in zip(active, got, strict=True):
+            new = np.where(n[:, None] > 0, s @ jobs[j][1] / np.maximum(n, 1)[:, None], centres[j])
+            if np.abs(new - centres[j]).max() > tol and taken < steps[j]:
+                left.append(j)
+            centres[j] = new
+        active = left
+    return centres
+
+
+def _plus_plus(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """k-means++ centres (k, r) among the rows of ``x``, after ten Lloyd rounds there."""
+    c = x[[rng.integers(len(x))]]
+    gap = ((x - c[0]) ** 2).sum(1)
+    while len(c) < k:
+        c = np.vstack([c, x[[rng.choice(len(x), p=gap / gap.sum()) if gap.sum() > 0 else 0]]])
+        gap = np.minimum(gap, ((x - c[-1]) ** 2).sum(1))
     for _ in range(10):
-        c = x[[rng.integers(len(x))]]
-        while len(c) < k:
-            gap = ((x[:, None] - c[None]) ** 2).sum(-1).min(1)
-            c = np.vstack([c, x[[rng.choice(len(x), p=gap / gap.sum()) if gap.sum() > 0 else 0]]])
-        for _ in range(10):
-            near = ((x[:, None] - c[None]) ** 2).sum(-1).argmin(1)
-            c = np.stack([x[near == i].mean(0) if (near == i).any() else c[i] for i in range(k)])
-        total = ((x[:, None] - c[None]) ** 2).sum(-1).min(1).sum()
-        if total < cost:
-            best, cost = c, total
-    centres = lloyd(flat, best, steps)
-    labelled = side.rows.select("row_id", "features").join(flat.select("row_id", nearest_mean(centres).alias("_label")), "row_id")
-    first = np.stack([np.array(r["mean"]) for r in cluster_means(labelled, "_label", k).orderBy("k").collect()])
-    return lloyd(side.rows, first, max(1, round(2 * math.log(max(side.n, 2)))))
+        near = _nearest(x, c)
+        n = np.bincount(near, minlength=k)
+        s = np.zeros_like(c)
+        s[n > 0] = np.add.reduceat(x[np.argsort(near, kind="stable")], (np.cumsum(n) - n)[n > 0], axis=0)
+        c = np.where(n[:, None] > 0, s / np.maximum(n, 1)[:, None], c)
+    return c
+
+
+#: Starts of a search for means; the one of least inertia over all rows goes on.
+RESTARTS = 10
+
+
+def group_means(rows: DataFrame, problems: Sequence[tuple[Side, np.ndarray]], k: int, seed: int = 0, steps: int = 20) -> list[np.ndarray]:
+    """Means (k, d) of k groups for each problem, a side and a basis (d, r) to whose span it is confined.
+
+    k-means in the k leading coordinates, then Lloyd steps in the whole span.  All
+    problems share their passes over ``rows`` (dataset, row_id, features).  The first
+    centres are chosen by k-means++ among 50 k rows of a dataset, drawn by a hash of
+    their id.
+    """
+    d = problems[0][0].d
+    flats = []
+    for side, basis in problems:
+        inner = basis.T @ side.moment @ basis
+        flats.append(basis @ top_directions(inner, min(k, basis.shape[1]))[0])
+    drawn = {}
+    for name in dict.fromkeys(side.name for side, _ in problems):
+        few = rows.where(F.col("dataset") == name).select("row_id", "features").orderBy(F.xxhash64("row_id", F.lit(seed)), "row_id").limit(50 * k).toPandas()
+        drawn[name] = np.stack(few["features"].to_numpy())
+    names = [side.name for side, _ in problems]
+
+    def start(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in batches:
+            for i in part["id"]:
+                j = int(i) // RESTARTS
+                c = _plus_plus(drawn[names[j]] @ flats[j], k, np.random.default_rng([seed, int(i) % RESTARTS]))
+                yield pd.DataFrame({"i": [i], "c": [c.ravel().tolist()]})
+
+    n = len(problems) * RESTARTS
+    began = {r["i"]: np.array(r["c"]) for r in rows.sparkSession.range(0, n, 1, n).mapInPandas(start, "i long, c array<double>").collect()}
+    tried = [(names[i // RESTARTS], flats[i // RESTARTS], began[i].reshape(k, -1)) for i in range(n)]
+    cost = [c for c, _, _ in _near_sums(rows, tried, d, sums=False)]
+    best = [tried[j * RESTARTS + int(np.argmin(cost[j * RESTARTS : (j + 1) * RESTARTS]))] for j in range(len(problems))]
+    centres = _lloyd(rows, best, d, [steps] * len(best))
+    whole = [(name, basis, c @ flat.T @ basis) for name, (_, basis), flat, c in zip(names, problems, flats, centres, strict=True)]
+    first = _near_sums(rows, [(name, flat, c) for name, flat, c in zip(names, flats, centres, strict=True)], d)
+    whole = [(name, basis, np.where(m[:, None] > 0, s @ basis / np.maximum(m, 1)[:, None], c)) for (name, basis, c), (_, m, s) in zip(whole, first, strict=True)]
+    final = _lloyd(rows, whole, d, [max(1, round(2 * math.log(max(side.n, 2)))) for side, _ in problems])
+    return [c @ basis.T for c, (_, basis) in zip(final, problems, strict=True)]
+
+
+def _named(side: Side) -> DataFrame:
+    return side.rows.select(F.lit(side.name).alias("dataset"), "row_id", "features")
+
+
+def spectral_means(side: Side, k: int, seed: int = 0, steps: int = 20) -> np.ndarray:
+    """Means (k, d) of k groups of one dataset: see ``group_means``."""
+    return group_means(_named(side), [(side, np.eye(side.d))], k, seed, steps)[0]
+
+
+def _means_basis(target: Side, found: Sequence[np.ndarray], scale: str) -> np.ndarray:
+    """Basis (d, r) of the span of several datasets' means (k, d)."""
+    turned = [m.T for m in found]
+    if scale == "std":
+        turned = [np.column_stack([std_scale(c, target.moment, target.total, target.n) for c in m.T]) for m in turned]
+    return subspace_basis(turned, normalize=scale != "std")
 
 
 def source_means_labels(target: Side, sources: Sequence[Side], k: int, with_target: bool = False, scale: str = "none", seed: int = 0) -> Column:
@@ -228,16 +335,8 @@ def source_means_labels(target: Side, sources: Sequence[Side], k: int, with_targ
     every = ((target,) if with_target else ()) + tuple(sources)
     if not every:
         raise ValueError("a source is needed")
-    found = [spectral_means(s, k, seed).T for s in every]
-    if scale == "std":
-        found = [np.column_stack([std_scale(c, target.moment, target.total, target.n) for c in m.T]) for m in found]
-    basis = subspace_basis(found, normalize=scale != "std")
-    rows = target.rows.select("row_id", F.array(*[_score(q) for q in basis.T]).alias("features"))
-    inner = Side(target.name, rows, basis.T @ target.moment @ basis, target.total @ basis, target.n)
-    means = spectral_means(inner, k, seed)
-    # Nearest mean within the subspace, as scores of the original features.
-    scores = [_score(basis @ m) - float(m @ m) / 2 for m in means]
-    return (F.array_position(F.array(*scores), F.array_max(F.array(*scores))) - 1).cast("int")
+    basis = _means_basis(target, [spectral_means(s, k, seed) for s in every], scale)
+    return nearest_mean(group_means(_named(target), [(target, basis)], k, seed)[0])
 
 
 def target_means_labels(target: Side, k: int, seed: int = 0) -> Column:
@@ -255,21 +354,60 @@ def validation_threshold_groups(sigma2: float, d: int, k: int, n: int, d0: float
     return d0 * k * sigma2 * (math.sqrt(d * k / n) + 1)
 
 
+def _own_suffice(target: Side, means: np.ndarray, sizes: np.ndarray, k: int, d0: float) -> bool:
+    """Whether the target's own groups pass the threshold."""
+    sigma2 = max(noise_variance(target, k), 0.0)
+    return validation_statistic_groups(means, sizes, sigma2) > validation_threshold_groups(sigma2, target.d, k, target.n, d0)
+
+
 def adaptive_groups(target: Side, sources: Sequence[Side], k: int, d0: float = 1.0, choice: str | None = None, seed: int = 0) -> tuple[Column, str]:
     """(labels, branch) for more than two groups; only the branch that is chosen, or needed to choose, is computed."""
     if choice == "source":
         return source_means_labels(target, sources, k, seed=seed), "source"
     means = spectral_means(target, k, seed)
-    labels = nearest_mean(means)
-    sizes = np.zeros(k)
-    for r in target.rows.groupBy(labels.alias("k")).count().collect():
-        sizes[r["k"]] = r["count"]
-    sigma2 = noise_variance(target, k)
-    if choice == "target" or validation_statistic_groups(means, sizes, sigma2) > validation_threshold_groups(sigma2, target.d, k, target.n, d0):
-        return labels, "target"
+    if choice != "target":
+        sizes = _near_sums(_named(target), [(target.name, np.eye(target.d), means)], target.d)[0][1]
+    if choice == "target" or _own_suffice(target, means, sizes, k, d0):
+        return nearest_mean(means), "target"
     return source_means_labels(target, sources, k, seed=seed), "source"
 
 
+def compare_groups(rows: DataFrame, found: Mapping[str, Side], targets: Mapping[str, Sequence[str]], k: int, methods: Sequence[str], truth: str, constant: float = 1.0, seed: int = 0) -> DataFrame:
+    """(target, method, truth, k): each target's rows under each method of ``AssistedClustering`` for k groups.
+
+    ``targets`` names the sources of each target.  The labels are those of
+    ``AssistedClustering``; every dataset's own means are found once, and all targets
+    and methods share their passes over ``rows`` (dataset, row_id, features, truth).
+    """
+    d = next(iter(found.values())).d
+    needed = list(dict.fromkeys([*targets, *(s for v in targets.values() for s in v)]))
+    own = dict(zip(needed, group_means(rows, [(found[s], np.eye(d)) for s in needed], k, seed), strict=True))
+    inner = []
+    for t, sources in targets.items():
+        wanted = {"source" if m == "adaptive" else m for m in methods if m != "target"}
+        for m in sorted(wanted):
+            with_target = [t] if m != "source" else []
+            inner.append((t, m, _means_basis(found[t], [own[s] for s in (*with_target, *sources)], "std" if m == "pooled_std" else "none")))
+    means = {(t, "target"): own[t] for t in targets}
+    if inner:
+        means |= {(t, m): c for (t, m, _), c in zip(inner, group_means(rows, [(found[t], b) for t, _, b in inner], k, seed), strict=True)}
+    if "adaptive" in methods:
+        sizes = _near_sums(rows, [(t, np.eye(d), own[t]) for t in targets], d)
+        for t, (_, n, _) in zip(targets, sizes, strict=True):
+            means[t, "adaptive"] = own[t] if _own_suffice(found[t], own[t], n, k, constant) else means[t, "source"]
+    kind = dict(rows.dtypes)[truth]
+
+    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, at, x in _by_dataset(batch, d):
+                if name in targets:
+                    for m in methods:
+                        n = len(at)
+                        yield pa.RecordBatch.from_arrays([pa.array([name] * n, pa.string()), pa.array([m] * n, pa.string()), batch.column(2).take(pa.array(at)), pa.array(_nearest(x, means[name, m]).astype("int32"))], names=["target", "method", truth, "k"])
+
+    return rows.select("dataset", "features", truth).mapInArrow(label, f"target string, method string, `{truth}` {kind}, k int")
+
+
 class AssistedClustering:
     """``fit_predict(obs, target, sources)``: labels (row_id, label) of the target's rows.
 

@@ -277,46 +277,31 @@ def e_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def m_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same for the six most frequent labels as groups."""
-    obs = observations(spark, sf_dir).where("label is not null")
-    obs = cut(obs, "obs")
-    top = [r["label"] for r in obs.groupBy("label").count().orderBy(F.desc("count"), "label").limit(6).collect()]
-    found = transfer.sides(cut(linalg.centre(obs.where(F.col("label").isin(top)), ["dataset"]), "groups"))
-    target, sources = found["target"], [found["source"]]
-    out = None
-    for method in ("adaptive", "target", "source", "pooled", "pooled_std"):
-        k = transfer.AssistedClustering(len(top), method).labels(target, sources)
-        one = target.rows.select(F.lit(method).alias("method"), "label", k.alias("k"))
-        out = one if out is None else out.unionByName(one)
+    """The same for all labels as groups: every labelled cell of the target, under every method for more than two groups."""
+    rows = cut(linalg.centre(observations(spark, sf_dir).where("label is not null"), ["dataset"]), "groups")
+    k = rows.select("label").distinct().count()
+    methods = ("adaptive", "target", "source", "pooled", "pooled_std")
+    out = transfer.compare_groups(rows, transfer.sides(rows), {"target": ["source"]}, k, methods, "label")
     return metrics.scores(out, "k", "label", ["method"])
 
 
 def t6_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Leave one batch out: each batch as target with all others as sources, two-group error per method.
+    """Leave one batch out: each batch as target with all others as sources, all labels as groups, scores per method.
 
-    Moments, sums and directions of a batch are found once and serve every target.
+    Statistics and means of a batch are found once and serve every target.
     """
-    rows = contrast(spark, sf_dir)
     batch = read_table(spark, sf_dir, "cell_meta").where("batch is not null").groupBy(name_key(F.col("barcode")).alias("cell")).agg(F.min("batch").alias("batch"))
     cell = read_table(spark, sf_dir, "gene_data_set").groupBy(F.col("cell_id").alias("row_id")).agg(F.min(name_key(F.col("sample"))).alias("cell"))
-    by_batch = rows.drop("dataset").join(cell, "row_id").join(batch, "cell").select(F.col("batch").alias("dataset"), "row_id", "features", "z")
-    found = transfer.sides(cut(linalg.centre(by_batch, ["dataset"]), "batches"))
-    directions = {k: transfer.direction(s) for k, s in found.items() if s.n > 1}
-    out = None
-    for name in sorted(directions):
-        target, others = found[name], [d for k, d in directions.items() if k != name]
-        if not others:
-            continue
-        span = linalg.subspace_basis(others)
-        all_span = linalg.subspace_basis([directions[name], *others], normalize=True)
-        for method, z in (
-            ("target", transfer.target_only(target)),
-            ("source", transfer.in_span(target, span)),
-            ("pooled", transfer.in_span(target, all_span)),
-        ):
-            one = target.rows.select(F.lit(name).alias("target"), F.lit(method).alias("method"), "z", z.alias("z_hat"))
-            out = one if out is None else out.unionByName(one)
-    return metrics.sign_error(out, "z_hat", "z", ["target", "method"])
+    by_batch = observations(spark, sf_dir).where("label is not null").drop("dataset").join(cell, "row_id").join(batch, "cell").select(F.col("batch").alias("dataset"), "row_id", "features", "label")
+    rows = cut(linalg.centre(cut(by_batch, "by_batch"), ["dataset"]), "batches")
+    k = rows.select("label").distinct().count()
+    found = transfer.sides(rows)
+    names = sorted(n for n, s in found.items() if s.n > 1)
+    targets = {n: [o for o in names if o != n] for n in names} if len(names) > 1 else {}
+    out = transfer.compare_groups(rows, found, targets, k, ("target", "source", "pooled", "adaptive"), "label")
+    scores = metrics.scores(out, "k", "label", ["target", "method"])
+    size = out.groupBy("target", "method").agg(F.count(F.lit(1)).alias("n_target"))
+    return scores.join(size, ["target", "method"]).select("target", "method", "n_target", F.lit(k).alias("n_labels"), (1 - F.col("accuracy")).alias("misclustering"), "ari", "v_measure")
 
 
 def w5_subsample(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -228,3 +228,38 @@ def test_matching_ids_follow_the_target(spark):
     t = spark.createDataFrame([("b", 5), ("c", 6), ("a", 7), ("b", 8)], "gene string, o int")
     got = [(r["gene"], r["place"]) for r in filters.matching_ids(s, t, "gene", "o").orderBy("place").collect()]
     assert got == [("b", 0), ("a", 1)]
+
+
+def test_all_groups_of_every_target_are_scored(spark):
+    rng = np.random.default_rng(11)
+    means = 8 * np.linalg.qr(rng.normal(size=(12, 12)))[0][:9]
+    rows = []
+    for b, name in enumerate(("a", "b", "c")):
+        for i in range(270):
+            # The last group has 1 row in 90 only.
+            k = int(rng.integers(0, 8)) if i % 90 else 8
+            rows.append((name, b * 1000 + i, (means[k] + 0.3 * rng.normal(size=12)).tolist(), k))
+    df = spark.createDataFrame(rows, "dataset string, row_id long, features array<double>, label int").repartition(3).cache()
+    found = transfer.sides(df)
+    methods = ("adaptive", "target", "source", "pooled", "pooled_std")
+    out = transfer.compare_groups(df, found, {n: [o for o in found if o != n] for n in found}, 9, methods, "label").cache()
+    assert out.groupBy("target", "method").count().where("count = 270").count() == 3 * len(methods)
+    assert {r["label"] for r in out.select("label").distinct().collect()} == set(range(9))
+    got = metrics.scores(out, "k", "label", ["target", "method"]).collect()
+    assert len(got) == 3 * len(methods) and min(r["accuracy"] for r in got) > 0.95
+    # The shared passes give what each method gives by itself.
+    one = transfer.AssistedClustering(9, "pooled").labels(found["a"], [found["b"], found["c"]])
+    alone = metrics.scores(found["a"].rows.select(F.lit("x").alias("run"), "label", one.alias("k")), "k", "label", ["run"]).first()
+    assert alone["ari"] == pytest.approx(next(r["ari"] for r in got if (r["target"], r["method"]) == ("a", "pooled")))
+
+
+def test_batches_and_methods_keep_all_labelled_cells(spark, sf):
+    from spindrift.plans import matrix
+
+    cells = matrix.observations(spark, sf).where("label is not null").cache()
+    got = matrix.t6_batches(spark, sf).collect()
+    assert {r["method"] for r in got} == {"target", "source", "pooled", "adaptive"}
+    # A label may lie in cells without a batch only.
+    assert min(r["n_labels"] for r in got) >= 0.9 * cells.select("label").distinct().count()
+    assert sum(r["n_target"] for r in got if r["method"] == "target") > 0.9 * cells.count()
+    assert matrix.m_methods(spark, sf).count() == 5
