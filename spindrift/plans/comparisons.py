@@ -75,7 +75,7 @@ def n13_rejection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean of the eight rejection scores per component of the target cells, under the source's factor."""
     obs = cut(observations(spark, sf_dir), "obs")
     target = obs.where("dataset = 'target'")
-    w, _ = factors.fit_factors(obs.where("dataset = 'source'"), 8, rounds=8)
+    w, _ = factors.fit_factors(obs.where("dataset = 'source'"), 8)
     coded = cut(factors.transfer_coefficients(target, w), "coded")
     scores = factors.rejection_scores(target, coded, w).join(coded.select("row_id", "component"), "row_id")
     return scores.groupBy("component").agg(F.count(F.lit(1)).alias("n"), *[F.round(F.avg(c), 6).alias(c) for c in scores.columns if c not in ("row_id", "component")])
@@ -85,8 +85,8 @@ def n15_transferability(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How well the source's factor explains the target, against shuffled ones, with the error of the fit."""
     obs = cut(observations(spark, sf_dir), "obs")
     target = obs.where("dataset = 'target'")
-    w, _ = factors.fit_factors(obs.where("dataset = 'source'"), 8, rounds=8)
-    score, p = factors.transferability(target, w, 8, permutations=20)
+    w, _ = factors.fit_factors(obs.where("dataset = 'source'"), 8)
+    score, p = factors.transferability(target, w, 8)
     report = factors.reconstruction(target, factors.transfer_coefficients(target, w), w)
     return report.select(F.lit(score).alias("score"), F.lit(p).alias("p_value"), "n", "mean_absolute", "frobenius")
 

@@ -234,7 +234,7 @@ def n6_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Factors learnt from the source cells, carried over to the target: component, share and error per label."""
     obs = cut(observations(spark, sf_dir), "obs")
     source, target = obs.where("dataset = 'source'"), obs.where("dataset = 'target'")
-    w, _ = factors.fit_factors(source, 8, rounds=8)
+    w, _ = factors.fit_factors(source, 8)
     coded = factors.transfer_coefficients(target, w)
     return coded.join(target.select("row_id", "label"), "row_id").groupBy("component", "label").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("error"), 6).alias("error"))
 
@@ -243,7 +243,7 @@ def n11_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spread of the target's vectors before and after half of each is taken from its component's factor."""
     obs = cut(observations(spark, sf_dir), "obs")
     source, target = obs.where("dataset = 'source'"), obs.where("dataset = 'target'")
-    w, _ = factors.fit_factors(source, 8, rounds=8)
+    w, _ = factors.fit_factors(source, 8)
     out = []
     for mix in (0.0, 0.5):
         m = factors.mixed(target, factors.transfer_coefficients(target, w), w, mix)

@@ -166,6 +166,16 @@ def test_transferability_ranks_factors(spark):
     assert p == 0
 
 
+def test_factors_end_when_they_have_settled(spark):
+    rng = np.random.default_rng(12)
+    x = obs(spark, rng.random((80, 4)) ** 3 @ rng.random((4, 9)) + 0.05 * rng.random((80, 9))).cache()
+    _, errors = factors.fit_factors(x, 4)
+    falls = -np.diff(errors) / errors[:-1]
+    assert (falls[:-1] > 1e-3).all() and (falls[-1] <= 1e-3 or len(errors) == 100)
+    assert len(errors) > 8
+    assert len(factors.fit_factors(x, 4, rounds=3)[1]) == 3
+
+
 def test_quantile_normalise(spark):
     x = np.array([[5.0, 2, 3], [4, 1, 4], [3, 4, 6]])
     got = np.stack([r.features for r in filters.quantile_normalise(obs(spark, x), 3).orderBy("row_id").collect()])
