@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from spindrift.functions.text import bare, name_key
 from spindrift.session import read_table
 
+#: Length of a usable gene vector.
+PLACES = 20
+
 METHODS = ["target", "source", "adaptive", "pooled", "tlgmm"]
 
 
@@ -277,16 +280,26 @@ def a15_min_max(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scaled.groupBy("gene", "dataset").agg(F.round(F.avg("v"), 7).alias("mean_scaled"), F.count(F.lit(1)).alias("n"))
 
 
-def a16_dot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Expression times gene vector, summed per cell: one value per vector place."""
+def _dots(spark: SparkSession, sf_dir: str, places: int) -> DataFrame:
+    """Expression times gene vector, summed per cell, at the first ``places`` of the vectors' 20 places."""
     ok = F.forall("feas", lambda x: x.isNotNull() & ~F.isnan(x))
     feas = read_table(spark, sf_dir, "gene_gcn_feas").where("deleted_at is null and size(feas) = 20").where(ok).select(name_key(F.col("symbl")).alias("gene"), "gcn_id", "feas")
     feas = feas.groupBy("gene").agg(F.min_by("feas", "gcn_id").alias("feas"))
     rows = expr_rows(spark, sf_dir).where("value > 0").join(feas, "gene")
-    sums = [F.round(F.sum(F.col("value") * F.col("feas")[i].cast("double")), 5).alias(f"v{i}") for i in range(4)]
+    sums = [F.round(F.sum(F.col("value") * F.col("feas")[i].cast("double")), 5).alias(f"v{i}") for i in range(places)]
     return rows.groupBy("cell").agg(*sums)
 
 
+def a16_dot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first four places of ``a16_dot_all``."""
+    return _dots(spark, sf_dir, 4)
+
+
+def a16_dot_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expression times gene vector, summed per cell: one value per vector place."""
+    return _dots(spark, sf_dir, PLACES)
+
+
 def i3_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files and bytes per regime and state of the body."""
     files = read_table(spark, sf_dir, "task_files")
@@ -311,6 +324,7 @@ QUERIES = {
     "a14_flags": a14_flags,
     "a15_min_max": a15_min_max,
     "a16_dot": a16_dot,
+    "a16_dot_all": a16_dot_all,
     "a17_quartiles": a17_quartiles,
     "a18_reps": a18_reps,
     "a19_completeness": a19_completeness,
@@ -386,6 +400,12 @@ SQL = {
     select cell, """
     + ", ".join(f"round(sum(value * feas[{i + 1}]::double), 5) as v{i}" for i in range(4))
     + " from e join f using (gene) where value > 0 group by cell",
+    "a16_dot_all": _EXPR
+    + f""", f as (select {_NORM('symbl')} as gene, arg_min(feas, gcn_id) as feas from gene_gcn_feas
+      where deleted_at is null and len(feas) = 20 and len(list_filter(feas, lambda x: x is null or isnan(x))) = 0 group by 1)
+    select cell, """
+    + ", ".join(f"round(sum(value * feas[{i + 1}]::double), 5) as v{i}" for i in range(PLACES))
+    + " from e join f using (gene) where value > 0 group by cell",
     "a17_quartiles": _EXPR + "select gene, " + ", ".join(f"round(quantile_cont(value, {q}), 6) as {n}" for q, n in ((0.25, "q25"), (0.5, "q50"), (0.75, "q75"), (1.0, "q100"))) + " from e group by gene",
     "a18_reps": _RESULTS + "select regime, method, round(avg(error), 8) as mean_error, round(stddev_pop(error) / sqrt(count(error)), 8) as se_error from results group by all",
     "a19_completeness": _RESULTS

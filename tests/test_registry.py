@@ -37,3 +37,7 @@ def test_query_without_sql_runs(spark, sf, name):
 
 def test_every_sql_has_a_query():
     assert set(SQL) <= set(QUERIES)
+
+
+def test_every_place_of_the_gene_vectors_is_summed(spark, sf):
+    assert set(QUERIES["a16_dot_all"](spark, sf).columns) == {"cell", *(f"v{i}" for i in range(20))}
