@@ -1,21 +1,25 @@
 """Clusters of mutually similar vectors by bisecting k-means on the sphere.
 
 The rows stay where they are; the tree of splits lives on the driver and holds
-centres only.  In each pass a task sends its rows down the tree and returns, for
-every node that is being split, the counts and vector sums of its two sides; a
-few passes of two-means settle a split, of all nodes at once.  A node is
+centres only.  A node is
 
-* done, if every member lies so near to its centre that any two members must be
+* a leaf, if every member lies so near to its centre that any two members must be
   similar (the compactness limit);
 * split by distance, if at least half of its members do: those are a leaf, the
   others a node of their own;
-* finished within one task by the same rules, once it has at most ``local_rows``
-  rows;
-* split in two otherwise.
-
-The tree has a few nodes per ``local_rows`` rows.  A split can run through a
-group of similar vectors; so the leaves are compared afterwards by one member
-each, in blocks, and joined where these are similar.
+* split in two by two-means otherwise, the node of the largest dispersion first.
+
+``bisect`` applies these rules to the rows it is given until every part is a leaf.
+All open nodes of the tree are bisected at once: on a sample of each node, which
+gives first centres for several levels of splits; then a pass over all rows moves
+every centre to the mean of its rows, and a second one counts what lies within the
+limit.  A node of at most ``local_rows`` rows is its own sample: ``bisect`` runs on
+all its rows, many such nodes in one task.  So the tree has a few nodes per
+``local_rows`` rows, and copies of one vector, however many, are a leaf at once.
+
+A split can run through a group of similar vectors; so every leaf's most typical
+member goes down the tree again, to all nodes whose bounding angle it reaches, and
+is compared with the leaves there.
 """
 
 from __future__ import annotations
@@ -34,16 +38,21 @@ from pyspark.sql import functions as F
 from spindrift.llm.vectors import arrow_vectors, matrix, stack
 from spindrift.session import cut
 
+#: Room for single precision in comparisons with the compactness limit.
+_SLACK = 1e-6
+
 
 @dataclass(frozen=True)
 class Limits:
-    """``min_cos``: least cosine within a cluster; ``sample``: rows of a node from which the first centres of its split are taken."""
+    """``min_cos``: least cosine within a cluster; ``local_rows``: rows of a node that are bisected together in one task;
+    ``sample``: rows of a larger node on which its splits begin; ``least``: sampled rows below which a part is not split
+    before all its rows are seen; ``block_rows``: leaves that are compared with a node at once."""
 
     min_cos: float = 0.7
-    local_rows: int = 20_000
-    sample: int = 256
-    passes: int = 3
-    merge_rows: int = 8192
+    local_rows: int = 1000
+    sample: int = 1024
+    least: int = 32
+    block_rows: int = 8192
 
     @property
     def leaf_cos(self) -> float:
@@ -51,13 +60,35 @@ class Limits:
         return math.cos(math.acos(self.min_cos) / 2)
 
 
+def _unit(v: np.ndarray) -> np.ndarray:
+    n = np.linalg.norm(v, axis=-1, keepdims=True)
+    return v / np.where(n > 0, n, 1)
+
+
+def two_means(x: np.ndarray, rounds: int = 8) -> np.ndarray:
+    """Two centres for rows that are not all equal: seeds far apart, then spherical two-means; both sides have rows."""
+    first = int(np.argmin(x @ _unit(x.mean(0))))
+    second = int(np.argmin(x @ x[first]))
+    c = np.stack([x[first], x[second]]).astype(np.float64)
+    for _ in range(rounds):
+        right = x @ c[1] > x @ c[0]
+        new = _unit(np.stack([x[~right].mean(0), x[right].mean(0)]))
+        side = x @ new[1] > x @ new[0]
+        if side.all() or not side.any() or np.allclose(new, c, atol=1e-6):
+            break
+        c = new
+    return c
+
+
 @dataclass
 class Tree:
-    """Node 0 is the root.  ``split[n]``: ('two', centres, children) or ('ball', centre, children)."""
+    """Node 0 is the root.  ``split[n]``: ('two', centres, children) or ('ball', centre, children); ``centre`` and
+    ``low``, the least cosine to it, of the nodes at the ends."""
 
     leaf_cos: float
     split: dict[int, tuple[str, np.ndarray, tuple[int, int]]] = field(default_factory=dict)
     centre: dict[int, np.ndarray] = field(default_factory=dict)
+    low: dict[int, float] = field(default_factory=dict)
     size: int = 1
 
     def descend(self, x: np.ndarray) -> np.ndarray:
@@ -81,246 +112,331 @@ class Tree:
         self.split[node] = (kind, centres.astype(np.float32), (a, b))
         return a, b
 
-
-def _unit(v: np.ndarray) -> np.ndarray:
-    n = np.linalg.norm(v, axis=-1, keepdims=True)
-    return v / np.where(n > 0, n, 1)
-
-
-def two_means(x: np.ndarray, rounds: int = 8) -> np.ndarray:
-    """Two centres for the rows of one block: seeds far apart, then spherical two-means."""
-    first = int(np.argmin(x @ _unit(x.mean(0))))
-    second = int(np.argmin(x @ x[first]))
-    c = np.stack([x[first], x[second]]).astype(np.float64)
-    for _ in range(rounds):
-        right = x @ c[1] > x @ c[0]
-        if right.all() or not right.any():
-            break
-        new = _unit(np.stack([x[~right].mean(0), x[right].mean(0)]))
-        if np.allclose(new, c, atol=1e-6):
-            break
-        c = new
-    return c
+    def below(self, node: int) -> list[int]:
+        """The nodes at the ends below a node."""
+        ends, todo = [], [node]
+        while todo:
+            n = todo.pop()
+            if n in self.split:
+                todo += self.split[n][2]
+            else:
+                ends.append(n)
+        return ends
+
+    def cones(self) -> dict[int, tuple[np.ndarray, float]]:
+        """(centre, angle) around all rows of each node; nodes without rows have none."""
+        out: dict[int, tuple[np.ndarray, float]] = {}
+        for n in range(self.size - 1, -1, -1):
+            if n not in self.split:
+                if n in self.low:
+                    out[n] = (self.centre[n], math.acos(min(1.0, max(-1.0, self.low[n] - _SLACK))))
+                continue
+            parts = [out[k] for k in self.split[n][2] if k in out]
+            if parts:
+                c = _unit(np.sum([p[0] for p in parts], axis=0))
+                out[n] = (c, min(math.pi, max(math.acos(min(1.0, max(-1.0, float(c @ p[0])))) + p[1] for p in parts)))
+        return out
 
 
-def bisect_block(x: np.ndarray, leaf_cos: float) -> tuple[np.ndarray, np.ndarray]:
-    """Leaf number of each row and its cosine to the leaf's centre, for rows held in one task.
+def bisect(x: np.ndarray, leaf_cos: float, least: int = 1) -> tuple[Tree, dict[int, np.ndarray]]:
+    """The splits of the rows ``x``, the largest dispersion first, and the rows of each end.
 
-    The node of the largest dispersion is split until all are compact.
+    With ``least`` = 1 every end is compact; parts of fewer rows than ``least`` stay as they are.
     """
-    leaf, near = np.zeros(len(x), np.int64), np.ones(len(x))
-    count, n = 0, 0
-    heap: list[tuple[float, int, np.ndarray]] = [(0.0, 0, np.arange(len(x)))] if len(x) else []
+    tree, ends = Tree(leaf_cos), {}
+    heap: list[tuple[float, int, np.ndarray]] = [(0.0, 0, np.arange(len(x)))]
     while heap:
-        _, _, rows = heapq.heappop(heap)
+        _, node, rows = heapq.heappop(heap)
         y = x[rows]
         c = _unit(y.mean(0))
         cos = y @ c
-        inside = cos >= leaf_cos - 1e-6
-        if len(rows) == 1:
-            inside[:] = True
+        inside = cos >= leaf_cos - _SLACK
+        if len(rows) == 1 or inside.all() or len(rows) < least:
+            tree.centre[node], tree.low[node], ends[node] = c, float(cos.min()), rows
+            continue
         if inside.sum() * 2 >= len(rows):
-            leaf[rows[inside]], near[rows[inside]] = count, cos[inside]
-            count += 1
-            parts = [rows[~inside]]
+            core, rest = tree.add(node, "ball", c[None])
+            tree.centre[core], tree.low[core], ends[core] = c, leaf_cos, rows[inside]
+            parts = [(rest, rows[~inside])]
         else:
             two = two_means(y)
             right = y @ two[1] > y @ two[0]
-            if right.all() or not right.any():
-                right = np.arange(len(rows)) % 2 == 1
-            parts = [rows[~right], rows[right]]
-        for p in parts:
-            if len(p):
-                n += 1
-                heapq.heappush(heap, (-float(len(p) - np.linalg.norm(x[p].sum(0))), n, p))
-    return leaf, near
-
-
-def _sample(rows: DataFrame, tree: Tree, active: list[int], limits: Limits) -> dict[int, np.ndarray]:
-    """First centres of each active node, from a sample of its rows taken by a hash of their ids."""
-    wanted = set(active)
-
-    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+            parts = list(zip(tree.add(node, "two", two), (rows[~right], rows[right]), strict=True))
+        for n, p in parts:
+            heapq.heappush(heap, (-float(len(p) - np.linalg.norm(x[p].sum(0))), n, p))
+    return tree, ends
+
+
+_SPLITS = "node long, at int, kind string, c array<double>, a int, b int"
+
+
+def _begin(sampled: DataFrame, leaf_cos: float, limits: Limits) -> dict[int, list]:
+    """For each sampled node (node, h, vec) its first splits, found on the sample."""
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        x = stack(pdf.sort_values("h")["vec"]).astype(np.float64)
+        tree, ends = bisect(x, leaf_cos, limits.least)
+        if not tree.split:
+            # The sample is compact, though not all rows are: split by the limit around its centre.
+            tree.add(0, "ball", tree.centre[0][None])
+            if len(x) < limits.least and tree.low[0] < leaf_cos:
+                tree.split[0] = ("two", two_means(x), tree.split[0][2])
+        got = [(key[0], n, kind, c.ravel().tolist(), a, b) for n, (kind, c, (a, b)) in sorted(tree.split.items())]
+        return pd.DataFrame(got, columns=["node", "at", "kind", "c", "a", "b"]).astype({"at": "int32", "a": "int32", "b": "int32"})
+
+    out: dict[int, list] = {}
+    for r in sampled.groupBy("node").applyInPandas(run, _SPLITS).orderBy("node", "at").collect():
+        out.setdefault(r["node"], []).append(r)
+    return out
+
+
+def _sums(rows: DataFrame, tree: Tree, wanted: set[int], dim: int) -> dict[int, tuple[int, np.ndarray]]:
+    """Number and vector sum of the rows at each wanted end."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
         for b in batches:
             x = matrix(b.column("vec"))
-            at = tree.descend(x)
-            h = b.column("h").to_numpy(zero_copy_only=False)
+            at = tree.descend(x) if len(x) else np.zeros(0, np.int64)
             for node in wanted.intersection(np.unique(at).tolist()):
                 own = at == node
-                hs, xs = h[own], x[own]
-                if node in kept:
-                    hs, xs = np.concatenate([kept[node][0], hs]), np.concatenate([kept[node][1], xs])
-                best = np.argsort(hs, kind="stable")[: limits.sample]
-                kept[node] = (hs[best], xs[best])
-        for node, (hs, xs) in kept.items():
-            yield pa.record_batch({"node": pa.array(np.full(len(hs), node)), "h": pa.array(hs), "vec": arrow_vectors(xs)})
+                total[node] = total.get(node, 0.0) + np.concatenate([[own.sum()], x[own].sum(0, dtype=np.float64)])
+        if total:
+            yield pa.record_batch({"node": pa.array(list(total), pa.int64()), "s": pa.array([v.tolist() for v in total.values()], pa.list_(pa.float64()))})
 
-    def seeds(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        c = two_means(stack(pdf.sort_values("h")["vec"]))
-        return pd.DataFrame({"node": [key[0]], "a": [c[0].tolist()], "b": [c[1].tolist()]})
+    parts = rows.select("vec").mapInArrow(add, "node long, s array<double>")
+    got = parts.groupBy("node").agg(F.array(*[F.sum(F.col("s")[i]) for i in range(dim + 1)]).alias("s")).collect()
+    return {r["node"]: (int(r["s"][0]), np.array(r["s"][1:])) for r in got}
 
-    w = Window.partitionBy("node").orderBy("h")
-    few = rows.withColumn("h", F.xxhash64("id")).select("h", "vec").mapInArrow(take, "node long, h long, vec array<float>")
-    few = few.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= limits.sample).drop("_r")
-    got = few.groupBy("node").applyInPandas(seeds, "node long, a array<double>, b array<double>").collect()
-    return {r["node"]: np.array([r["a"], r["b"]]) for r in got}
 
+def _measure(rows: DataFrame, tree: Tree, wanted: dict[int, np.ndarray], expected: dict[int, float], limits: Limits, name: str) -> tuple[dict[int, dict], DataFrame]:
+    """Of each wanted end: rows, least cosine to its centre, rows within the limit; and a sample (node, inside, h, vec).
 
-def _sides(rows: DataFrame, tree: Tree, centres: dict[int, np.ndarray], dim: int) -> dict[tuple[int, int], dict]:
-    """For each side of each node being split: count, vector sum, farthest member, members within the limit."""
-    leaf_cos = tree.leaf_cos
+    The sample holds, of each end and side of the limit, the rows of the smallest
+    hashes; a task leaves out hashes that are too great by far for the rows expected.
+    """
+    leaf_cos, most = tree.leaf_cos, limits.sample
+    centre = {n: c.astype(np.float32) for n, c in wanted.items()}
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[tuple[int, int], list] = {}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[int, list] = {}
+        kept: dict[tuple[int, bool], tuple[np.ndarray, np.ndarray]] = {}
         for b in batches:
             x = matrix(b.column("vec"))
-            at = tree.descend(x)
-            for node in np.unique(at).tolist():
-                if node not in centres:
-                    continue
-                y = x[at == node]
-                cos = y @ centres[node].T.astype(np.float32)
-                right = cos[:, 1] > cos[:, 0]
-                for side in (0, 1):
-                    own = right == bool(side)
-                    if not own.any():
-                        continue
-                    z, c = y[own], cos[own, side]
-                    t = total.setdefault((node, side), [0, np.zeros(x.shape[1]), 2.0, None, 0])
-                    t[0] += len(z)
-                    t[1] += z.sum(0, dtype=np.float64)
-                    k = int(np.argmin(c))
-                    if c[k] < t[2]:
-                        t[2], t[3] = float(c[k]), z[k].astype(np.float64)
-                    t[4] += int((c >= leaf_cos).sum())
-        if total:
-            keys, values = list(total), list(total.values())
-            yield pa.record_batch(
-                {
-                    "node": pa.array([k[0] for k in keys], pa.int64()),
-                    "side": pa.array([k[1] for k in keys], pa.int32()),
-                    "n": pa.array([v[0] for v in values], pa.int64()),
-                    "s": pa.array([v[1].tolist() for v in values], pa.list_(pa.float64())),
-                    "low": pa.array([v[2] for v in values], pa.float64()),
-                    "far": pa.array([v[3].tolist() for v in values], pa.list_(pa.float64())),
-                    "inside": pa.array([v[4] for v in values], pa.int64()),
-                }
-            )
-
-    parts = rows.select("vec").mapInArrow(add, "node long, side int, n long, s array<double>, low double, far array<double>, inside long")
-    got = parts.groupBy("node", "side").agg(
-        F.sum("n").alias("n"),
-        F.array(*[F.sum(F.col("s")[i]) for i in range(dim)]).alias("s"),
-        F.min("low").alias("low"),
-        F.min_by("far", "low").alias("far"),
-        F.sum("inside").alias("inside"),
-    )
-    return {(r["node"], r["side"]): r.asDict() for r in got.collect()}
+            at = tree.descend(x) if len(x) else np.zeros(0, np.int64)
+            h = b.column("h").to_numpy(zero_copy_only=False)
+            for node in centre.keys() & set(np.unique(at).tolist()):
+                own = np.flatnonzero(at == node)
+                cos = x[own] @ centre[node]
+                within = cos >= leaf_cos
+                s = seen.setdefault(node, [0, 2.0, 0])
+                s[0], s[1], s[2] = s[0] + len(own), min(s[1], float(cos.min())), s[2] + int(within.sum())
+                share = min(1.0, 4 * most / max(expected.get(node, 0.0), 1.0))
+                few = own[within & (h[own] <= share * 2.0**64 - 2.0**63)]
+                for side, some in ((True, few), (False, own[~within])):
+                    if len(some):
+                        hs, xs = h[some], x[some]
+                        if (node, side) in kept:
+                            hs, xs = np.concatenate([kept[node, side][0], hs]), np.concatenate([kept[node, side][1], xs])
+                        best = np.argsort(hs, kind="stable")[:most]
+                        kept[node, side] = (hs[best], xs[best])
+        for node, s in seen.items():
+            yield _measured([node], [0], s[0], s[1], s[2], None, None)
+        for (node, side), (hs, xs) in kept.items():
+            yield _measured([node] * len(hs), [1 if side else 2] * len(hs), None, None, None, hs, xs)
+
+    def _measured(node, kind, n, low, inside, hs, xs) -> pa.RecordBatch:
+        k = len(node)
+        return pa.record_batch(
+            {
+                "node": pa.array(node, pa.int64()),
+                "kind": pa.array(kind, pa.int32()),
+                "n": pa.array([n] * k, pa.int64()),
+                "low": pa.array([low] * k, pa.float64()),
+                "inside": pa.array([inside] * k, pa.int64()),
+                "h": pa.array(hs, pa.int64()) if hs is not None else pa.nulls(k, pa.int64()),
+                "vec": arrow_vectors(xs) if xs is not None else pa.nulls(k, pa.list_(pa.float32())),
+            }
+        )
+
+    got = rows.select(F.xxhash64("id").alias("h"), "vec").mapInArrow(run, "node long, kind int, n long, low double, inside long, h long, vec array<float>")
+    got = cut(got, name)
+    stats = got.where("kind = 0").groupBy("node").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.sum("inside").alias("inside")).collect()
+    w = Window.partitionBy("node", "kind").orderBy("h")
+    few = got.where("kind > 0").withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= most).select("node", (F.col("kind") == 1).alias("inside"), "h", "vec")
+    return {r["node"]: r.asDict() for r in stats}, few
 
 
 def grow(rows: DataFrame, dim: int, limits: Limits) -> tuple[Tree, set[int]]:
-    """The tree of splits and the nodes to be finished within one task."""
-    tree = Tree(limits.leaf_cos)
-    n = rows.count()
-    if n <= limits.local_rows:
-        return tree, {0}
-    local: set[int] = set()
-    active, forced = [0], {}
-    while active:
-        need = [a for a in active if a not in forced]
-        centres = forced | (_sample(rows, tree, need, limits) if need else {})
-        forced = {}
-        for turn in range(limits.passes):
-            sides = _sides(rows, tree, centres, dim)
-            if turn + 1 < limits.passes:
-                for (node, side), s in sides.items():
-                    centres[node] = centres[node].copy()
-                    centres[node][side] = _unit(np.array(s["s"]))
-        again: list[int] = []
-        for node in active:
-            two = [sides.get((node, k)) for k in (0, 1)]
-            if two[0] is None or two[1] is None:
-                # All rows on one side: part them by the member farthest from the centre.
-                side = 0 if two[0] is not None else 1
-                forced[node] = np.stack([centres[node][side], np.array(two[side]["far"])])
-                again.append(node)
+    """The tree of splits, and those of its ends whose rows are to be bisected together."""
+    tree, local = Tree(limits.leaf_cos), set()
+    wanted, expected = {0: np.zeros(dim)}, {0: 0.0}
+    whole = _sums(rows, tree, {0}, dim)
+    if whole:
+        wanted[0], expected[0] = _unit(whole[0][1]), float(whole[0][0])
+    parent: dict[int, float] = {}
+    turn = 0
+    while wanted:
+        stats, sampled = _measure(rows, tree, wanted, expected, limits, f"turn{turn}")
+        turn += 1
+        both, outside, held = [], [], {}
+        as_begun: set[int] = set()
+        for node, s in stats.items():
+            tree.centre[node], tree.low[node] = wanted[node], s["low"]
+            if s["low"] >= limits.leaf_cos - _SLACK:
                 continue
-            for child, s, c in zip(tree.add(node, "two", centres[node]), two, centres[node], strict=True):
-                tree.centre[child] = c
-                if s["low"] >= limits.leaf_cos:
-                    continue
-                if s["n"] <= limits.local_rows:
-                    local.add(child)
-                elif s["inside"] * 2 >= s["n"]:
-                    core, rest = tree.add(child, "ball", c[None, :])
-                    tree.centre[core] = tree.centre[rest] = c
-                    if s["n"] - s["inside"] <= limits.local_rows:
-                        local.add(rest)
-                    else:
-                        again.append(rest)
-                else:
-                    again.append(child)
-        active = again
+            n, of = s["n"], outside
+            if s["inside"] * 2 >= n:
+                core, rest = tree.add(node, "ball", wanted[node][None])
+                tree.centre[core], tree.low[core] = wanted[node], limits.leaf_cos
+                tree.centre[rest], tree.low[rest] = wanted[node], s["low"]
+                n -= s["inside"]
+            else:
+                rest, of = node, both
+                # Centres moved to the means of their rows can leave a node unsplit: then its next split stays as the sample has it.
+                if parent.get(node) == n:
+                    as_begun.add(node)
+            if n <= limits.local_rows:
+                local.add(rest)
+            else:
+                of.append(node)
+                held[node] = (rest, float(n))
+        wanted, expected, parent = {}, {}, {}
+        if not held:
+            break
+        take = F.col("node").isin(both) | (F.col("node").isin(outside) & ~F.col("inside"))
+        w = Window.partitionBy("node").orderBy("h")
+        few = sampled.where(take).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= limits.sample).drop("_r", "inside")
+        roots = []
+        for node, splits in _begin(few, limits.leaf_cos, limits).items():
+            at = {0: held[node][0]}
+            for r in splits:
+                at[r["a"]], at[r["b"]] = tree.add(at[r["at"]], r["kind"], np.array(r["c"]).reshape(-1, dim))
+            roots.append((node, at[0], held[node][1]))
+        ends = {e: n for _, root, n in roots for e in tree.below(root)}
+        found = _sums(rows, tree, set(ends), dim)
+        for node, root, _ in roots:
+            if node not in as_begun:
+                _recentre(tree, root, found)
+        for e, n in ends.items():
+            count, s = found.get(e, (0, np.zeros(dim)))
+            wanted[e], expected[e], parent[e] = _unit(s), float(count), n
+        # The core of a ball keeps the centre that cut it out.
+        wanted |= {core: c[0].astype(np.float64) for kind, c, (core, _) in tree.split.values() if kind == "ball" and core in wanted}
     return tree, local
 
 
-def leaves(rows: DataFrame, dim: int, limits: Limits) -> DataFrame:
-    """(id, leaf, cos, vec): the leaf of each unit vector (id, vec), and its cosine to the leaf's centre."""
-    tree, local = grow(rows, dim, limits)
+def _recentre(tree: Tree, root: int, found: dict[int, tuple[int, np.ndarray]]) -> None:
+    """Move the centres of all splits below ``root`` to the means of the rows on their sides."""
+    order, todo = [], [root]
+    while todo:
+        n = todo.pop()
+        if n in tree.split:
+            order.append(n)
+            todo += tree.split[n][2]
+    total = dict(found)
+    for n in reversed(order):
+        kind, c, (a, b) = tree.split[n]
+        sides = [total.get(k, (0, 0.0)) for k in (a, b)]
+        total[n] = (sides[0][0] + sides[1][0], sides[0][1] + sides[1][1])
+        c = c.copy()
+        for k in range(len(c)):
+            if sides[k][0]:
+                c[k] = _unit(sides[k][1])
+        tree.split[n] = (kind, c, (a, b))
+
+
+def leaves(rows: DataFrame, tree: Tree, local: set[int], limits: Limits) -> DataFrame:
+    """(id, leaf, node, cos, vec): the leaf of each unit vector (id, vec), the tree's node it lies in and its cosine to the leaf's centre.
+
+    ``vec`` is kept for a few members of each leaf only, the nearest to its centre among them.
+    """
     leaf_cos = limits.leaf_cos
+    centre = {n: c.astype(np.float32) for n, c in tree.centre.items()}
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = matrix(b.column("vec"))
+            x, ids = matrix(b.column("vec")), b.column("id").to_numpy(zero_copy_only=False)
             at = tree.descend(x) if len(x) else np.zeros(0, np.int64)
-            cos = np.zeros(len(x))
+            cos, keep = np.ones(len(x)), np.zeros(len(x), bool)
             for node in np.unique(at).tolist():
-                if node not in local:
-                    cos[at == node] = x[at == node] @ tree.centre[node].astype(np.float32)
-            yield pa.record_batch({"id": b.column("id"), "node": pa.array(at), "cos": pa.array(cos), "vec": b.column("vec")})
+                own = np.flatnonzero(at == node)
+                if node in local:
+                    keep[own] = True
+                else:
+                    cos[own] = x[own] @ centre[node]
+                    keep[own[np.lexsort((ids[own], -cos[own]))[0]]] = True
+            place = pa.array(np.where(keep, np.cumsum(keep) - 1, 0), mask=~keep)
+            yield pa.record_batch({"id": b.column("id"), "node": pa.array(at), "cos": pa.array(cos), "vec": b.column("vec").filter(pa.array(keep)).take(place)})
 
     def finish(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id")
-        leaf, cos = bisect_block(stack(pdf["vec"]).astype(np.float64), leaf_cos)
-        return pd.DataFrame({"id": pdf["id"], "leaf": (int(key[0]) << 32) + leaf + 1, "cos": cos, "vec": pdf["vec"]})
-
-    placed = rows.select("id", "vec").mapInArrow(assign, "id long, node long, cos double, vec array<float>")
-    placed = cut(placed, "placed")
-    in_task = placed.where(F.col("node").isin(sorted(local)) if local else F.lit(False))
-    done = placed.where(~F.col("node").isin(sorted(local)) if local else F.lit(True))
-    done = done.select("id", F.shiftleft("node", 32).alias("leaf"), "cos", "vec")
-    if not local:
-        return done
-    return done.unionByName(in_task.groupBy("node").applyInPandas(finish, "id long, leaf long, cos double, vec array<float>"))
-
-
-def _similar_leaves(members: DataFrame, limits: Limits) -> DataFrame:
-    """(a, b), a < b: leaves whose most typical members are similar, compared in blocks."""
-    w = "struct(cos, -id as id)"
-    reps = members.groupBy("leaf").agg(F.max_by("vec", F.expr(w)).alias("vec"))
-    reps = cut(reps, "reps")
-    blocks = max(1, math.ceil(reps.count() / limits.merge_rows))
-    each = reps.withColumn("block", F.pmod(F.xxhash64("leaf"), F.lit(blocks)).cast("int"))
-    # Block i meets block j once, as the pair (i, j) with i <= j; a row goes to all pairs of its block.
-    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    paired = each.select("leaf", "vec", "block", other.alias("_o")).select("leaf", "vec", "block", F.least("block", "_o").alias("i"), F.greatest("block", "_o").alias("j"))
-    least = limits.min_cos
+        pdf = pdf.sort_values("id", ignore_index=True)
+        x = stack(pdf["vec"]).astype(np.float64)
+        inner, ends = bisect(x, leaf_cos)
+        leaf, cos, best = np.zeros(len(x), np.int64), np.ones(len(x)), np.zeros(len(x), bool)
+        for n, own in ends.items():
+            leaf[own], cos[own] = n, x[own] @ inner.centre[n]
+            best[own[np.argmax(cos[own])]] = True
+        return pd.DataFrame({"id": pdf["id"], "leaf": (int(key[0]) << 32) + leaf + 1, "node": key[0], "cos": cos, "vec": pdf["vec"].where(best, None)})
+
+    placed = cut(rows.select("id", "vec").mapInArrow(assign, "id long, node long, cos double, vec array<float>"), "placed")
+    few = _nodes(rows, local)
+    done = placed.join(few, "node", "left_anti").select("id", F.shiftleft("node", 32).alias("leaf"), "node", "cos", "vec")
+    rest = placed.join(few, "node", "left_semi").groupBy("node").applyInPandas(finish, "id long, leaf long, node long, cos double, vec array<float>")
+    return done.unionByName(rest)
+
+
+def _nodes(rows: DataFrame, nodes: set[int]) -> DataFrame:
+    return rows.sparkSession.createDataFrame([(n,) for n in sorted(nodes)], "node long")
+
+
+def similar_leaves(members: DataFrame, tree: Tree, limits: Limits) -> DataFrame:
+    """(a, b), a < b: leaves whose most typical members are similar.
+
+    A member can only be similar to rows of a node if it lies within the node's
+    angle and the angle of similarity of the node's centre; other nodes are never
+    reached.  At a node it meets the leaves there, in blocks.
+    """
+    best = members.where("vec is not null").groupBy("leaf").agg(F.max_by(F.struct("node", "vec"), F.struct("cos", (-F.col("id")).alias("_id"))).alias("_m"))
+    reps = cut(best.select("leaf", "_m.node", "_m.vec"), "reps")
+    cones = {n: (c.astype(np.float32), r) for n, (c, r) in tree.cones().items()}
+    angle, least, block_rows = math.acos(limits.min_cos), limits.min_cos, limits.block_rows
+
+    def reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, leaf = matrix(b.column("vec")), b.column("leaf").to_numpy(zero_copy_only=False)
+            todo = [(0, np.arange(len(x)))]
+            while todo:
+                node, rows = todo.pop()
+                if node not in cones or not len(rows):
+                    continue
+                c, r = cones[node]
+                rows = rows[x[rows] @ c >= math.cos(min(math.pi, angle + r)) - 1e-5]
+                if node in tree.split:
+                    todo += [(k, rows) for k in tree.split[node][2]]
+                elif len(rows):
+                    yield pa.record_batch({"leaf": pa.array(leaf[rows]), "node": pa.array(np.full(len(rows), node)), "vec": arrow_vectors(x[rows])})
+
+    reached = reps.select("leaf", "vec").mapInArrow(reach, "leaf long, node long, vec array<float>")
+    # The leaves that reach a node come in blocks of bounded size; the node's own leaves meet each of them.
+    reached = cut(reached, "reached")
+    blocks = reached.groupBy("node").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(block_rows))).cast("int").alias("blocks"))
+    there = reached.join(blocks, "node").select("node", F.pmod(F.xxhash64("leaf"), "blocks").cast("int").alias("block"), "leaf", "vec", F.lit(False).alias("own"))
+    own = reps.join(blocks, "node").select("node", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "leaf", "vec", F.lit(True).alias("own"))
 
     def compare(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        i, j = key
-        left, right = pdf[pdf["block"] == i], pdf[pdf["block"] == j]
+        left, right = pdf[pdf["own"]], pdf[~pdf["own"]]
         x, y = stack(left["vec"]), stack(right["vec"])
         a, b = left["leaf"].to_numpy(), right["leaf"].to_numpy()
-        found = []
+        found = [np.zeros((2, 0), np.int64)]
         for lo in range(0, len(x) if len(y) else 0, 1024):
             p, q = np.nonzero(x[lo : lo + 1024] @ y.T >= least)
             pair = np.stack([a[lo + p], b[q]])
             found.append(np.stack([pair.min(0), pair.max(0)])[:, pair[0] != pair[1]])
-        out = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
+        out = np.concatenate(found, axis=1)
         return pd.DataFrame({"a": out[0], "b": out[1]})
 
-    return paired.groupBy("i", "j").applyInPandas(compare, "a long, b long").distinct()
+    return there.unionByName(own).groupBy("node", "block").applyInPandas(compare, "a long, b long").distinct()
 
 
 def _join_leaves(edges: DataFrame) -> DataFrame:
@@ -348,8 +464,9 @@ def cluster(vectors: DataFrame, dim: int, limits: Limits = Limits()) -> DataFram
     table gives no rows.
     """
     vectors = cut(vectors.select("id", "vec"), "vectors")
-    members = cut(leaves(vectors, dim, limits), "leaves")
-    roots = _join_leaves(_similar_leaves(members, limits))
+    tree, local = grow(vectors, dim, limits)
+    members = cut(leaves(vectors, tree, local, limits), "leaves")
+    roots = _join_leaves(similar_leaves(members, tree, limits))
     placed = members.select("id", "leaf", "cos").join(roots, "leaf", "left").select("id", "cos", F.coalesce("root", "leaf").alias("root"))
     sizes = placed.groupBy("root").agg(F.min("id").alias("cluster_id"), F.count(F.lit(1)).alias("n")).where("n > 1")
     return placed.join(sizes, "root").select("id", "cluster_id", "cos")

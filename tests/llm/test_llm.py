@@ -128,12 +128,12 @@ def groups(seed, sizes, dim=16, noise=0.08):
     return unit_rows(x)
 
 
-@pytest.mark.parametrize("local_rows", [20, 100_000])
+@pytest.mark.parametrize("local_rows", [20, 100, 100_000])
 def test_clusters_are_those_of_the_threshold(spark, local_rows):
     x = groups(4, [150, 40, 40, 9, 2, 1, 1])
     x[5] = x[3]
     ids = np.random.default_rng(5).permutation(len(x)) + 10
-    got = {r["id"]: r["cluster_id"] for r in clusters.cluster(frame(spark, x, ids), 16, clusters.Limits(min_cos=0.7, local_rows=local_rows, merge_rows=7)).collect()}
+    got = {r["id"]: r["cluster_id"] for r in clusters.cluster(frame(spark, x, ids), 16, clusters.Limits(min_cos=0.7, local_rows=local_rows, sample=30, least=8, block_rows=7)).collect()}
     near = x @ x.T >= 0.7
     want = {int(ids[i]): int(ids[np.flatnonzero(near[i])].min()) for i in range(len(x)) if near[i].sum() > 1}
     assert got == want
@@ -146,6 +146,33 @@ def test_clusters_of_few_rows(spark):
     assert {(r["id"], r["cluster_id"]) for r in same} == {(0, 0), (1, 0)}
 
 
+def test_copies_of_one_vector_end(spark):
+    limits = clusters.Limits(local_rows=20, sample=16, least=4)
+    copies = frame(spark, np.eye(4)[[0] * 50])
+    assert {(r["id"], r["cluster_id"]) for r in clusters.cluster(copies, 4, limits).collect()} == {(i, 0) for i in range(50)}
+    tree, local = clusters.grow(copies, 4, limits)
+    assert (tree.size, local) == (1, set())
+    # A third of the rows copies, the rest unlike each other or in a group of their own.
+    x = np.concatenate([np.eye(64)[[0] * 60], np.eye(64)[1:60], groups(12, [60], dim=64, noise=0.03)])
+    x = unit_rows(np.roll(x, 5, axis=0))
+    got = {r["id"]: r["cluster_id"] for r in clusters.cluster(frame(spark, x), 64, limits).collect()}
+    near = x @ x.T >= 0.7
+    assert got == {i: int(np.flatnonzero(near[i]).min()) for i in range(len(x)) if near[i].sum() > 1}
+
+
+def test_leaves_are_compact_whatever_the_tree(spark):
+    x = groups(13, [300, 200, 100, 1, 1], noise=0.12).astype(np.float32)
+    limits = clusters.Limits(local_rows=40, sample=64, least=8)
+    tree, local = clusters.grow(frame(spark, x), 16, limits)
+    assert tree.size > 1
+    got = clusters.leaves(frame(spark, x), tree, local, limits).toPandas()
+    assert sorted(got["id"]) == list(range(len(x)))
+    assert (got["cos"] >= limits.leaf_cos - 1e-5).all()
+    for _, ids in got.groupby("leaf")["id"]:
+        assert (x[ids] @ x[ids].T >= 0.7 - 1e-5).all()
+    assert got[got["vec"].notna()]["leaf"].nunique() == got["leaf"].nunique()
+
+
 def test_description(spark):
     c = spark.createDataFrame([(1, 1, 0.9), (2, 1, 0.99), (3, 1, 0.95), (4, 1, 0.5), (7, 7, 1.0)], "id long, cluster_id long, cos double")
     labels = spark.createDataFrame([(1, 5), (2, 5), (3, 6), (7, None)], "id long, label int")
