@@ -1,299 +1,265 @@
 """Mapping typed values to the entries of a reference list.
 
-Both sides become sets of letter pairs.  Pairs are ordered by how rare they are in
-both sides together; two sets that are similar enough must share one of their
-rarest pairs, so only these prefixes are joined.  Length and positional filters
-drop most of the candidates before Jaccard is computed exactly.  Candidates are
-then read word by word: every word of an entry must be there, perhaps misspelt,
-abbreviated, translated between number forms or run together, and nothing may be
-left over that names another entry.  The best reading is kept.
+Two set-similarity joins decide.  Both order their tokens by how rare they are in
+both sides together, join only the rarest tokens of each set, drop candidates by
+length and position, compute Jaccard exactly and keep the best.
+
+1. Words: every distinct typed word becomes a set of letter groups and meets the
+   words of the list and their aliases: prefixes as abbreviations, neighbouring
+   words run together, initials.  The best alias stands for the word.
+2. Names: every distinct set of words found in this way meets the entries' sets of
+   words.
+
+Nothing is listed beforehand.  Words that another word of an entry always brings
+along (as every "stromal" has its "cell") say nothing and count on neither side.
+A word unknown to the list is an annotation if most of the values that hold it
+name an entry completely without it; any other unknown word counts against all
+entries.  Values left without an entry, of which not every word is one of the list,
+are read once more as one run of letters.
 """
 
 from __future__ import annotations
 
-import math
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spindrift.session import cut
 
-#: Least Jaccard similarity of the letter pairs of a candidate.
-MIN_JACCARD = 0.3
+#: Least Jaccard similarity of a typed word to a word or prefix, of a run of letters to several words, of the words of a value to an entry.
+MIN_WORD, MIN_RUN, MIN_NAME = 0.45, 0.6, 0.8
 
-#: Typed values whose candidates one task reads.
-VALUES_PER_TASK = 5000
+#: Cyrillic and Greek letters that look like Latin ones (fixed values).
+_LOOKALIKES = str.maketrans("авекмнорстухіјѕοανιρτυχАВЕКМНОРСТУХІЈЅΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "abekmhopctyxijsoaviptyxABEKMHOPCTYXIJSABEZHIKMNOPTYX")
 
-#: Most different words of a reference list.
-MAX_WORDS = 100_000
+_ROMAN = {"i": 1, "v": 5, "x": 10}
 
-#: Letters of other scripts that look like Latin ones (fixed values).
-_LOOKALIKES = str.maketrans("авекмнорстухіјѕοανιρτυχ", "abekmhopctyxijsoaviptyx")
 
-#: Greek letters used as variant names, and number words (fixed values).
-_GREEK = {"α": "alpha", "β": "beta", "γ": "gamma", "δ": "delta"}
-_ROMAN = {"i": "1", "ii": "2", "iii": "3", "iv": "4", "v": "5"}
-_VARIANTS = {"alpha", "beta", "gamma", "delta"}
+def _greek(text: str) -> str:
+    """Greek letters that end a word, by their names."""
+    out = []
+    for i, c in enumerate(text):
+        alone = not text[i + 1 : i + 2].isalpha() and (i == 0 or not text[i - 1].isalpha() or text[i - 1].isascii())
+        name = unicodedata.name(c, "").split()
+        out.append(f" {name[-1].lower()} " if alone and len(name) == 4 and name[0] == "GREEK" and name[2] == "LETTER" else c)
+    return "".join(out)
 
-#: Words that carry no name by themselves, with the short forms met for them.
-_NEUTRAL = {"cell", "cells", "type", "types", "ty", "typ"}
+
+def plain_words(value: str) -> list[str]:
+    """The words and numbers of a value: lower case, plain letters; words run together in mixed case are parted."""
+    text = _greek(unicodedata.normalize("NFKC", value))
+    text = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c)).translate(_LOOKALIKES)
+    return re.findall(r"[a-z]+|[0-9]+", re.sub(r"(?<=[a-z]{2})(?=[A-Z])", " ", text).lower())
+
+
+def numeral(word: str) -> str:
+    """Roman numerals of i, v and x as numbers; other words stay."""
+    if not re.fullmatch(r"[ivx]+", word):
+        return word
+    values = [_ROMAN[c] for c in word]
+    return str(sum(-a if a < b else a for a, b in zip(values, [*values[1:], 0], strict=True)))
 
 
 def fold(value: str | None) -> str:
-    """A typed value as words: lower case, plain letters, no annotations.
+    """A value as its plain words, numerals as numbers, parted by blanks."""
+    return " ".join(numeral(w) for w in plain_words(value or ""))
 
-    Words run together in mixed case are parted.  A dot stays at the end of a word,
-    as it marks an abbreviation.
-    """
-    if value is None:
-        return ""
-    text = unicodedata.normalize("NFKC", value)
-    text = re.sub(r"(?<=[a-zа-я])(?=[A-ZΑ-Ω0-9])", " ", text) if re.search(r"^\W*[A-Z][a-zа-я]+\.?[A-Z]", text) else text
-    text = re.sub(r"(?<=\.)(?=[^\W\d_]{2})", " ", text).lower()
-    text = re.sub(r"(?<!ty)(?<!type)(?<=[^\W\d_]\.)[^\W\d_](?![^\W_])", "", text)
-    text = re.sub(r"(?<![^\W_])([αβγδ])(?![^\W_])|(?<=[a-z])([αβγδ])(?![^\W_])", lambda m: " " + _GREEK[m.group(1) or m.group(2)], text)
-    text = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c)).translate(_LOOKALIKES)
-    text = re.sub(r"^\W*\d+\s*[:)]", " ", text)
-    text = re.sub(r"\([^)]*\)", " ", text)
-    text = re.sub(r",?\s*\brep\.?\s*\d+\W*$", " ", text)
-    text = re.sub(r"^\W*(?:putative|probable|possible|cf)\b\.?", " ", text)
-    words = re.findall(r"[a-z0-9]+\.?", text)
-    return " ".join(_ROMAN.get(w.rstrip("."), w) for w in words)
-
-
-def initials(name: str) -> str:
-    """The initials of an entry of three or more plain words, with its variant behind them; else nothing."""
-    words = [w for w in name.split() if w != "type"]
-    plain = [w for w in words if not w.isdigit() and w not in _VARIANTS]
-    if len(plain) < 3 or len(words) > len(plain) + 1:
-        return ""
-    return " ".join(["".join(w[0] for w in plain), *(w[0] for w in words if w not in plain)])
-
-
-@lru_cache(maxsize=200_000)
-def edits(a: str, b: str, most: int) -> int:
-    """Insertions, deletions, changes and swaps of neighbours from a to b, or ``most`` + 1 beyond that."""
-    if abs(len(a) - len(b)) > most:
-        return most + 1
-    before, last = None, list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        row = [i]
-        for j, y in enumerate(b, 1):
-            cost = min(last[j] + 1, row[j - 1] + 1, last[j - 1] + (x != y))
-            if before is not None and j > 1 and i > 1 and x == b[j - 2] and a[i - 2] == y:
-                cost = min(cost, before[j - 2] + 1)
-            row.append(cost)
-        if min(row) > most and before is not None and min(last) > most:
-            return most + 1
-        before, last = last, row
-    return min(last[-1], most + 1)
-
-
-def _allowed(word: str) -> int:
-    return 0 if word.isdigit() or len(word) < 3 else 1 if len(word) < 5 else 2
-
-
-@lru_cache(maxsize=200_000)
-def word_cost(typed: str, word: str) -> float | None:
-    """Cost of reading ``typed`` as ``word``; None if it can't be."""
-    short = typed.endswith(".")
-    typed = typed.rstrip(".")
-    if typed == word:
-        return 0.0
-    if word.isdigit() or typed.isdigit() or len(typed) < 3:
-        return None
-    costs = []
-    most = _allowed(word)
-    for form in (typed, typed[:-1]) if typed.endswith("s") else (typed,):
-        e = edits(form, word, most + 1)
-        # A third slip is believed only in a long word that begins right.
-        if e <= most or (e == 3 and len(word) >= 8 and form[0] == word[0]):
-            costs.append(e + 0.1 * (form != typed))
-    if len(typed) < len(word):
-        # An abbreviation: a prefix, with one slip if it is long enough to tell.
-        if word.startswith(typed):
-            costs.append(0.3 if short else 0.6)
-        elif len(typed) >= 4:
-            for n in (len(typed) - 1, len(typed), len(typed) + 1):
-                if n < len(word) and edits(typed, word[:n], 1) <= 1:
-                    costs.append(1.4 if short else 1.8)
-            if short and len(typed) >= 5 and any(edits(typed, word[:n], 2) <= 2 for n in (len(typed) - 1, len(typed), len(typed) + 1) if n < len(word)):
-                costs.append(2.4)
-    return min(costs) if costs else None
-
-
-def _core(name: str) -> list[str]:
-    return [w for w in name.split() if w.rstrip(".") not in _NEUTRAL]
-
-
-def _glued_cost(typed: str, name: str) -> float | None:
-    """Cost of reading a run of letters as the words of an entry in their order."""
-    words = name.split()
-    if not len(typed) or len(typed) > 2 * len(name):
-        return None
-    best: dict[tuple[int, int], float] = {}
-
-    def go(i: int, at: int) -> float:
-        if i == len(words):
-            return 0.0 if at == len(typed) or typed[at:] in ("s", "cell", "cells") else 1e9
-        if (i, at) in best:
-            return best[i, at]
-        word, out = words[i], 1e9
-        if word in _NEUTRAL:
-            out = go(i + 1, at)
-            forms = ("cells", "cell") if word == "cell" else ("type", "typ", "ty")
-            for f in forms:
-                for n in (len(f) - 1, len(f), len(f) + 1):
-                    if 2 <= n and at + n <= len(typed) and edits(typed[at : at + n], f, 1) <= (1 if len(f) > 3 else 0):
-                        out = min(out, edits(typed[at : at + n], f, 1) + go(i + 1, at + n))
-        elif word.isdigit():
-            for f in (word, {v: k for k, v in _ROMAN.items()}.get(word, word)):
-                if typed.startswith(f, at):
-                    out = min(out, go(i + 1, at + len(f)))
-        else:
-            for n in range(3, len(word) + 3):
-                if at + n <= len(typed):
-                    c = word_cost(typed[at : at + n], word)
-                    if c is not None:
-                        out = min(out, c + go(i + 1, at + n))
-        if i and "cell" not in words and out >= 1e9 and typed.startswith("cell", at):
-            n = 5 if typed.startswith("cells", at) else 4
-            out = go(i, at + n)
-        best[i, at] = out
-        return out
-
-    cost = go(0, 0)
-    return cost if cost < 4 else None
-
-
-def reading_cost(typed: str, name: str, others: frozenset[str]) -> float | None:
-    """Cost of reading a folded value as a folded entry; None if it doesn't name it.
-
-    ``others`` are all words of the list: a word left over that can be read as one
-    of them names something else.
-    """
-    if typed == name:
-        return 0.0
-    bare = typed.replace(".", "")
-    if bare and bare == initials(name):
-        return 0.5
-    if max(map(len, bare.split()), default=0) <= 4:
-        return None
-    words, left, total = _core(name), typed.split(), 0.0
-    for word in words:
-        options = [(c, k) for k, t in enumerate(left) if (c := word_cost(t, word)) is not None]
-        if not options:
-            total = -1.0
-            break
-        c, k = min(options)
-        total += c
-        left.pop(k)
-    if total >= 0:
-        for t in left:
-            b = t.rstrip(".")
-            if b in _NEUTRAL or (len(b) >= 3 and any(word_cost(t, n) is not None for n in ("cell", "type"))):
-                continue
-            if b.isdigit() or any(word_cost(t, o) is not None for o in others):
-                return None
-            total += 0.5
-        return total if total <= 1.5 * len(words) + 1 else None
-    return _glued_cost(bare.replace(" ", ""), name) if any(len(t) >= 7 for t in typed.split()) else None
-
-
-def letter_pairs(words: Column) -> Column:
-    """The distinct pairs of neighbouring letters within the words."""
-    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.length(words) - 1, F.lit(1))), lambda i: F.substring(words, i, F.lit(2)))
-    return F.array_distinct(F.filter(pairs, lambda p: (F.length(p) == 2) & ~p.contains(" ") & ~p.contains(".")))
-
-
-def _ordered(values: DataFrame, rarity: DataFrame) -> DataFrame:
-    """(key, pairs): pairs from rare to frequent."""
-    each = values.select("key", F.explode("pairs").alias("pair")).join(rarity, "pair")
-    lists = each.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("n", "pair"))).alias("_p"))
-    return lists.select("key", F.transform("_p", lambda x: x["pair"]).alias("pairs"))
-
-
-def _prefixes(ordered: DataFrame, min_jaccard: float) -> DataFrame:
-    n = F.size("pairs")
-    keep = n - F.ceil(n * F.lit(min_jaccard) - 1e-9).cast("int") + 1
-    return ordered.select("key", "pairs", F.posexplode(F.slice("pairs", F.lit(1), keep)).alias("at", "pair"))
-
-
-def similar_sets(left: DataFrame, right: DataFrame, min_jaccard: float = MIN_JACCARD) -> DataFrame:
-    """(left_key, right_key, jaccard) of all pairs of sets (key, pairs) that are similar enough.
-
-    Exact: the filters drop only pairs below ``min_jaccard``.  Empty sets are
-    similar to none.
+
+def letter_groups(word: str) -> list[str]:
+    """The tokens of a word: its pairs of neighbours, and regardless of order its pairs at most two apart and its triples.
+
+    So one slip, or two letters swapped, leaves most tokens.  Equal tokens are
+    numbered.  A number is one token: it is like no other.
     """
-    rarity = left.select(F.explode("pairs").alias("pair")).unionByName(right.select(F.explode("pairs").alias("pair"))).groupBy("pair").agg(F.count(F.lit(1)).alias("n"))
-    a = _prefixes(_ordered(left, rarity), min_jaccard).toDF("left_key", "lp", "i", "pair")
-    b = _prefixes(_ordered(right, rarity), min_jaccard).toDF("right_key", "rp", "j", "pair")
-    nl, nr = F.size("lp"), F.size("rp")
-    need = F.ceil(F.lit(min_jaccard / (1 + min_jaccard)) * (nl + nr) - 1e-9)
-    met = a.join(b, "pair").where((nl >= nr * min_jaccard) & (nr >= nl * min_jaccard) & (F.least(nl - F.col("i"), nr - F.col("j")) >= need))
-    # Of the pairs that two prefixes share only the first is kept, so each couple is verified once.
-    first = F.element_at(F.array_intersect(F.slice("lp", 1, F.col("i") + 1), F.slice("rp", 1, F.col("j") + 1)), 1) == F.col("pair")
-    both = F.size(F.array_intersect("lp", "rp"))
-    return met.where(first).select("left_key", "right_key", (both / (nl + nr - both)).alias("jaccard")).where(F.col("jaccard") >= min_jaccard)
-
-
-def map_values(values: DataFrame, value: str, entries: DataFrame, label: str, name: str, min_jaccard: float = MIN_JACCARD) -> DataFrame:
-    """(value, label): for each distinct typed value that isn't blank the label of the entry it names, else -1.
-
-    A value that two entries explain equally well gets the one of higher Jaccard,
-    then of the smaller label.  Initials name an entry only if no other has the
-    same.  Rows may repeat a value any number of times: each distinct value is
-    matched once.  Null and blank values give no row; an empty list maps all to -1.
-    Entries with a null or blank name or a null label are ignored.
+    if not word or word.isdigit():
+        return ["#" + word] if word else []
+    s = f"^{word}$"
+    found = [s[i : i + 2] for i in range(len(s) - 1)]
+    found += ["~" + "".join(sorted(s[i] + s[i + d])) for d in (1, 2) for i in range(len(s) - d)]
+    found += ["~" + "".join(sorted(s[i : i + 3])) for i in range(len(s) - 2)]
+    seen: Counter[str] = Counter()
+    out = []
+    for t in found:
+        seen[t] += 1
+        out.append(f"{t}{seen[t]}")
+    return out
+
+
+def aliases(name: str, light: frozenset[str]) -> list[tuple[str, int, list[str]]]:
+    """(alias, kind, words) of an entry: its words (kind 0), names for the whole entry (1) and for parts of it (2)."""
+    written = plain_words(name)
+    words = [numeral(w) for w in written]
+    out = {(w, 0, (w,)) for w in words}
+    out |= {(w[:k], 2, (w,)) for w in words if not w.isdigit() for k in range(2, len(w))}
+    for i in range(len(words)):
+        for j in range(i + 2, len(words) + 1):
+            run = tuple(words[i:j])
+            kind = 1 if len(run) == len(words) else 2
+            out |= {("".join(run), kind, run), ("".join(written[i:j]), kind, run)}
+            if len(run) > 2:
+                out |= {("".join(w[0] for w in run), kind, run)}
+            if len(run) > 3:
+                out |= {("".join(w[0] for w in run if w != x), kind, run) for x in light & set(run)}
+    return sorted((a, k, sorted(set(w))) for a, k, w in out)
+
+
+def _ordered(sets: DataFrame, rarity: DataFrame) -> DataFrame:
+    """(key, t): tokens from rare to frequent."""
+    each = sets.select("key", F.explode("t").alias("token")).join(rarity, "token")
+    lists = each.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("_t"))
+    return lists.select("key", F.transform("_t", lambda x: x["token"]).alias("t"))
+
+
+def _prefixes(ordered: DataFrame, least: float) -> DataFrame:
+    n = F.size("t")
+    keep = n - F.ceil(n * F.lit(least) - 1e-9).cast("int") + 1
+    return ordered.select("key", n.alias("n"), F.posexplode(F.slice("t", F.lit(1), keep)).alias("at", "token"))
+
+
+def similar_sets(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
+    """(left_key, right_key, jaccard) of all pairs of sets (key, tokens) with a Jaccard similarity of at least ``least``.
+
+    Exact: the filters drop only pairs below ``least``.  Candidates are pairs of
+    keys; the sets join them once they are distinct.  Empty sets are similar to
+    none; a repeated key counts once, with any of its sets.
     """
+    code = lambda df: df.groupBy("key").agg(F.first("tokens").alias("tokens")).select("key", F.transform(F.array_distinct("tokens"), lambda x: F.xxhash64(x)).alias("t"))
+    left, right = cut(code(left), "left"), cut(code(right), "right")
+    rarity = left.select(F.explode("t").alias("token")).unionByName(right.select(F.explode("t").alias("token"))).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    both = _ordered(left.select(F.struct(F.lit(0).alias("s"), "key").alias("key"), "t").unionByName(right.select(F.struct(F.lit(1).alias("s"), "key").alias("key"), "t")), rarity)
+    heads = cut(_prefixes(both, least), "heads")
+    a = heads.where("key.s = 0").select(F.col("key.key").alias("left_key"), F.col("n").alias("nl"), F.col("at").alias("i"), "token")
+    b = heads.where("key.s = 1").select(F.col("key.key").alias("right_key"), F.col("n").alias("nr"), F.col("at").alias("j"), "token")
+    need = F.ceil(F.lit(least / (1 + least)) * (F.col("nl") + F.col("nr")) - 1e-9)
+    long_enough = (F.col("nl") >= F.col("nr") * least - 1e-9) & (F.col("nr") >= F.col("nl") * least - 1e-9)
+    met = a.join(b, "token").where(long_enough & (F.least(F.col("nl") - F.col("i"), F.col("nr") - F.col("j")) >= need))
+    pairs = met.select("left_key", "right_key").distinct()
+    shown = pairs.join(left.select(F.col("key").alias("left_key"), F.col("t").alias("lt")), "left_key").join(right.select(F.col("key").alias("right_key"), F.col("t").alias("rt")), "right_key")
+    shared = F.size(F.array_intersect("lt", "rt"))
+    return shown.select("left_key", "right_key", (shared / (F.size("lt") + F.size("rt") - shared)).alias("jaccard")).where(F.col("jaccard") >= least - 1e-12)
+
+
+def _udf(kind: str, f) -> Column:
+    @F.pandas_udf(kind)
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            yield s.map(f)
 
-    spark = values.sparkSession
+    return run
 
-    @F.pandas_udf("string")
-    def folded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in batches:
-            yield s.map(fold)
 
+def light_words(entries: DataFrame) -> DataFrame:
+    """(word): words that in each of their entries some other, rarer word always brings along."""
+    each = entries.select("name", F.explode(F.array_distinct(F.split("name", " "))).alias("word")).where("word <> ''")
+    n = each.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    two = each.select("name", F.col("word").alias("v")).join(each, "name").where("v <> word")
+    bound = two.groupBy("v", "word").agg(F.count(F.lit(1)).alias("both")).join(n.toDF("v", "nv"), "v").join(n, "word").where("both = nv and n > nv")
+    brought = two.join(bound.select("v", "word"), ["v", "word"], "left_semi").select("name", "word").distinct()
+    return brought.groupBy("word").agg(F.count(F.lit(1)).alias("b")).join(n, "word").where("b = n").select("word")
+
+
+def alias_table(entries: DataFrame, light: DataFrame) -> DataFrame:
+    """(alias, core, several, is_word): what each alias stands for, without the light words; ``several`` words or one; whether it is a word of the list.
+
+    A word of the list stands for itself; else an alias stands for the only entry
+    it names whole, else for the only words it can mean, else for nothing.
+    """
+    kind = "array<struct<alias: string, kind: int, words: array<string>>>"
+
+    @F.pandas_udf(kind)
+    def build(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for names, lights in batches:
+            yield pd.Series([[{"alias": a, "kind": k, "words": w} for a, k, w in aliases(n, frozenset(x))] for n, x in zip(names, lights, strict=True)])
+
+    words = entries.select("raw", "name", F.explode(F.split("name", " ")).alias("word")).join(light.withColumn("_light", F.lit(True)), "word", "left")
+    shown = words.groupBy("raw").agg(F.collect_set(F.when(F.col("_light"), F.col("word"))).alias("light"))
+    each = shown.select("light", F.explode(build("raw", "light")).alias("a")).select("a.*", F.array_except("a.words", "light").alias("core"))
+    got = each.groupBy("alias").agg(
+        *[F.count_distinct(F.when(F.col("kind") == k, F.col("core"))).alias(f"n{k}") for k in (0, 1)],
+        F.count_distinct("core").alias("n"),
+        *[F.max(F.when(F.col("kind") == k, F.struct("core", (F.size("words") > 1).alias("several")))).alias(f"m{k}") for k in (0, 1)],
+        F.max(F.struct("core", (F.size("words") > 1).alias("several"))).alias("m"),
+    )
+    one = F.when(F.col("n0") > 0, F.col("m0")).when(F.col("n1") == 1, F.col("m1")).when(F.col("n") == 1, F.col("m"))
+    return got.select("alias", one.alias("m"), (F.col("n0") > 0).alias("is_word")).where("m is not null").select("alias", "m.core", "m.several", "is_word")
+
+
+def best_alias(words: DataFrame, known: DataFrame, min_word: float, min_run: float) -> DataFrame:
+    """(word, core, exact): what each distinct word stands for, by the alias of the highest Jaccard similarity; whether it is a word of the list as it stands."""
+    groups = _udf("array<string>", letter_groups)
+    pairs = similar_sets(words.select(F.col("word").alias("key"), groups("word").alias("tokens")), known.select(F.col("alias").alias("key"), groups("alias").alias("tokens")), min(min_word, min_run))
+    pairs = pairs.join(known, pairs["right_key"] == known["alias"]).where(F.col("jaccard") >= F.when(F.col("several"), min_run).otherwise(min_word))
+    order = F.struct("jaccard", (-F.col("several").cast("int")).alias("single"), F.length("alias").alias("length"), "alias")
+    return pairs.groupBy(F.col("left_key").alias("word")).agg(F.max_by("core", order).alias("core"), F.max(F.col("is_word") & (F.col("alias") == F.col("left_key"))).alias("exact"))
+
+
+def best_entry(sets: DataFrame, names: DataFrame, min_name: float) -> DataFrame:
+    """(key, label): the entry (label, core) most similar to each set (key, core); the smaller label on a tie."""
+    text = F.array_join("core", " ")
+    kinds = sets.select(text.alias("key"), F.col("core").alias("tokens"))
+    pairs = similar_sets(kinds, names.select(text.alias("key"), F.col("core").alias("tokens")), min_name)
+    labels = names.groupBy(text.alias("right_key")).agg(F.min("label").alias("label"))
+    found = pairs.join(labels, "right_key").groupBy("left_key").agg(F.max_by("label", F.struct("jaccard", (-F.col("label")).alias("l"))).alias("label"))
+    return sets.select("key", text.alias("left_key")).join(found, "left_key").select("key", "label")
+
+
+def map_values(
+    values: DataFrame, value: str, entries: DataFrame, label: str, name: str, min_word: float = MIN_WORD, min_run: float = MIN_RUN, min_name: float = MIN_NAME
+) -> DataFrame:
+    """(value, label): for each distinct typed value that isn't blank the label of the most similar entry, else -1.
+
+    A value as similar to two entries gets the smaller label.  Rows may repeat a
+    value any number of times: each distinct value, and of these each distinct
+    sequence of plain words, is matched once.  Null and blank values give no row; an
+    empty list maps all to -1.  Entries with a null or blank name or a null label
+    are ignored; of entries with the same words the smallest label counts.
+    """
+    folded = _udf("string", fold)
     typed = values.select(F.col(value).alias("value")).where(F.regexp_replace("value", r"^\s+|\s+$", "") != "").distinct()
     typed = cut(typed.withColumn("key", folded("value")), "typed")
-    keys = typed.select("key").distinct().withColumn("pairs", letter_pairs(F.col("key")))
-    refs = entries.select(F.col(label).cast("int").alias("label"), folded(F.col(name)).alias("name")).where("label is not null and name <> ''").groupBy("name").agg(F.min("label").alias("label"))
-    refs = cut(refs, "entries")
-
-    @F.pandas_udf("string")
-    def short(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in batches:
-            yield s.map(initials)
-
-    named = refs.select(F.col("name").alias("key"), letter_pairs(F.col("name")).alias("pairs"))
-    alone = refs.withColumn("key", short("name")).where("key <> ''").groupBy("key").agg(F.min("name").alias("name"), F.count(F.lit(1)).alias("n")).where("n = 1")
-    alias = named.select("key", F.col("key").alias("name"), "pairs").unionByName(alone.select("key", "name", letter_pairs(F.col("key")).alias("pairs")))
-    alias = cut(alias, "alias")
-    pairs = similar_sets(keys, alias.groupBy("key").agg(F.first("pairs").alias("pairs")), min_jaccard)
-    pairs = pairs.join(alias.select(F.col("key").alias("right_key"), "name"), "right_key").join(refs, "name")
-    words = refs.select(F.explode(F.split("name", " ")).alias("w")).where(~F.col("w").isin(sorted(_NEUTRAL))).distinct()
-    # The words of the list go into the workers' closure: a list of more words than this is no list of names.
-    vocabulary = [r["w"] for r in words.limit(MAX_WORDS + 1).collect()]
-    if len(vocabulary) > MAX_WORDS:
-        raise ValueError(f"the list has more than {MAX_WORDS} different words")
-    others = frozenset(vocabulary)
-    # Reading candidates is Python work on few bytes: spread it by the number of values, not by size (by the
-    # pair, as rows that lie by key already would stay where they are, in few tasks).
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(typed.count() / VALUES_PER_TASK))
-    pairs = pairs.repartition(tasks, "left_key", "name")
-
-    @F.pandas_udf("double")
-    def cost(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for typed_, names in batches:
-            yield pd.Series([reading_cost(k, n, others) for k, n in zip(typed_, names, strict=True)], dtype="float64")
-
-    # Not to be moved below the repartition, nor worked out once for the filter and once for the column.
-    scored = pairs.withColumn("cost", cost.asNondeterministic()("left_key", "name")).where("cost is not null and not isnan(cost)")
-    w = Window.partitionBy("left_key").orderBy("cost", F.desc("jaccard"), "label")
-    best = scored.withColumn("_r", F.row_number().over(w)).where("_r = 1").select(F.col("left_key").alias("key"), "label")
+    refs = entries.select(F.col(label).cast("int").alias("label"), F.col(name).alias("raw"), folded(F.col(name)).alias("name")).where("label is not null and name <> ''")
+    refs = cut(refs.groupBy("name").agg(F.min("label").alias("label"), F.min("raw").alias("raw")), "entries")
+    light = cut(light_words(refs), "light")
+    known = cut(alias_table(refs, light), "alias")
+    core = refs.select("label", F.explode(F.array_distinct(F.split("name", " "))).alias("word")).join(light, "word", "left_anti").groupBy("label").agg(F.sort_array(F.collect_set("word")).alias("core"))
+    core = cut(core, "core")
+
+    keys = typed.select("key").distinct().where("key <> ''").select("key", F.split("key", " ").alias("words"))
+    words = keys.select(F.explode("words").alias("word")).distinct()
+    meant = cut(best_alias(words, known, min_word, min_run), "meant")
+
+    # Words in their order, each with what it stands for; a number behind an unknown word belongs to it.
+    each = keys.select("key", F.posexplode("words").alias("at", "word")).join(meant, "word", "left")
+    each = each.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("at", "word", "core", "exact"))).alias("w"))
+    digits = lambda x: x["word"].rlike("^[0-9]")
+
+    def sense(x: Column, i: Column) -> Column:
+        before = F.try_element_at("w", F.greatest(i, F.lit(1)))
+        unknown = F.when(i == 0, "").when(before["core"].isNull() | digits(before), before["word"])
+        bound = digits(x) & unknown.isNotNull()
+        return F.when(bound, F.array(F.concat(F.lit("?"), unknown, F.lit("-"), x["word"]))).otherwise(F.coalesce(x["core"], F.array(F.concat(F.lit("?"), x["word"]))))
+
+    each = each.select("key", "w", F.transform("w", sense).alias("s"))
+    each = cut(each.select("key", F.transform("w", lambda x: x["word"]).alias("w"), "s", F.forall("w", lambda x: F.coalesce(x["exact"], F.lit(False))).alias("exact"), F.array_sort(F.array_distinct(F.flatten("s"))).alias("m")), "read")
+
+    is_known = lambda t: ~t.startswith("?")
+    complete = core.select(F.array_join("core", " ").alias("named"), F.lit(True).alias("whole")).distinct()
+    extra = each.select("key", F.explode(F.filter("m", lambda t: t.startswith("?"))).alias("token"), F.array_join(F.filter("m", is_known), " ").alias("named"))
+    extra = cut(extra.join(complete, "named", "left").select("key", "token", F.coalesce("whole", F.lit(False)).alias("whole")), "extra")
+    notes = extra.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.count_if("whole").alias("k")).where("2 * k > n")
+    drop = extra.join(notes.select("token"), "token", "left_semi").groupBy("key").agg(F.collect_set("token").alias("drop"))
+    nothing = F.array().cast("array<string>")
+    each = each.join(drop, "key", "left").select("key", "w", "s", "m", "exact", F.coalesce("drop", nothing).alias("drop"))
+    each = cut(each.select("key", "exact", F.array_except("m", "drop").alias("core"), F.zip_with("w", "s", lambda w, s: F.when(F.arrays_overlap(s, "drop"), "").otherwise(w)).alias("left")), "cores")
+
+    first = cut(best_entry(each.where("size(core) > 0").select("key", "core"), core, min_name), "first")
+    rest = each.where("not exact").join(first, "key", "left_anti").select("key", F.array_join("left", "").alias("word")).where("word <> ''")
+    run = best_alias(rest.select("word").distinct(), known.where("several"), min_run, min_run)
+    second = best_entry(rest.join(run, "word").where("size(core) > 0").select("key", F.array_sort("core").alias("core")), core, min_name)
+    best = first.unionByName(second)
     return typed.join(best, "key", "left").select("value", F.coalesce("label", F.lit(-1)).alias("label"))

@@ -214,11 +214,12 @@ def test_probe_sets_are_ordered_and_valid():
 
 # Canonical values
 
-LIST = ["Resting Corvine keratocyte", "Corvine keratocyte", "Corvine stromal cell type I", "Corvine stromal cell type II", "Maltic stromal cell alpha", "Maltic stromal cell beta", "Maltic interneuron"]
+LIST = ["Resting Corvine keratocyte", "Corvine keratocyte", "Corvine stromal cell type I", "Corvine stromal cell type II", "Maltic stromal cell alpha", "Maltic stromal cell beta", "Maltic interneuron", "T cell", "Mast cell"]
 TYPED = [
     ("corvine keratocyte", 1), ("  CORVINE  Keratocytes ", 1), ("resting_corvine_keratocyte", 0), ("keratocyte, corvine", 1), ("Corv. kerat.", 1), ("Covrine keratocyte?", 1), ("putative Corvine keratocyte (mouse)", 1),
     ("12: corvine keratocyte, rep 3", 1), ("CorvineKeratocyte", 1), ("corvinekeratocyte", 1), ("Corvine stromal cell type 2", 3), ("corvine stromal cells ty. ii", 3), ("CSC-2", 3), ("Maltic stromal cell α", 4), ("malticstromalcellbeta", 5),
     ("Мaltiс intеrnеurоn", 6), ("Ｍａｌｔｉｃ　ｉｎｔｅｒｎｅｕｒｏｎ", 6), ("Mältic interneuron\t", 6),
+    ("corvne keratocyte", 1), ("corvnie keratocyte", 1), ("t cel", 7), ("mast cel", 8),
     ("Corvine stromal cell", -1), ("Maltic keratocyte", -1), ("Resting Maltic interneuron", -1), ("Corvine osteoclast", -1), ("unknown", -1), ("?", -1), ("n/a", -1), ("x" * 20000, -1),
 ]
 
@@ -236,7 +237,7 @@ def test_similar_sets_against_brute_force(spark):
     rnd = random.Random(8)
     make = lambda n: [(f"k{i}", sorted({rnd.choice("aabbccdefghijklmno") for _ in range(rnd.randint(0, 9))})) for i in range(n)]
     left, right = make(60), make(40)
-    schema = "key string, pairs array<string>"
+    schema = "key string, tokens array<string>"
     for t in (0.3, 0.6, 1.0):
         got = {(r["left_key"], r["right_key"]) for r in canonical.similar_sets(spark.createDataFrame(left, schema), spark.createDataFrame(right, schema), t).collect()}
         assert got == {(a, b) for a, x in left for b, y in right if x and y and len(set(x) & set(y)) / len(set(x) | set(y)) >= t - 1e-12}
