@@ -154,11 +154,11 @@ def _udf(kind: str, f) -> Column:
 
 
 def light_words(entries: DataFrame) -> DataFrame:
-    """(word): words that in each of their entries some other, rarer word always brings along."""
+    """(word): words that in each of their entries some other, rarer word of several entries always brings along."""
     each = entries.select("name", F.explode(F.array_distinct(F.split("name", " "))).alias("word")).where("word <> ''")
     n = each.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     two = each.select("name", F.col("word").alias("v")).join(each, "name").where("v <> word")
-    bound = two.groupBy("v", "word").agg(F.count(F.lit(1)).alias("both")).join(n.toDF("v", "nv"), "v").join(n, "word").where("both = nv and n > nv")
+    bound = two.groupBy("v", "word").agg(F.count(F.lit(1)).alias("both")).join(n.toDF("v", "nv"), "v").join(n, "word").where("both = nv and n > nv and nv > 1")
     brought = two.join(bound.select("v", "word"), ["v", "word"], "left_semi").select("name", "word").distinct()
     return brought.groupBy("word").agg(F.count(F.lit(1)).alias("b")).join(n, "word").where("b = n").select("word")
 

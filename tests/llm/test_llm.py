@@ -214,7 +214,7 @@ def test_probe_sets_are_ordered_and_valid():
 
 # Canonical values
 
-LIST = ["Resting Corvine keratocyte", "Corvine keratocyte", "Corvine stromal cell type I", "Corvine stromal cell type II", "Maltic stromal cell alpha", "Maltic stromal cell beta", "Maltic interneuron", "T cell", "Mast cell"]
+LIST = ["Resting Corvine keratocyte", "Corvine keratocyte", "Corvine stromal cell type I", "Corvine stromal cell type II", "Maltic stromal cell alpha", "Maltic stromal cell beta", "Maltic interneuron", "T cell", "Mast cell", "Maltic myocyte type I", "Maltic myocyte type II"]
 TYPED = [
     ("corvine keratocyte", 1), ("  CORVINE  Keratocytes ", 1), ("resting_corvine_keratocyte", 0), ("keratocyte, corvine", 1), ("Corv. kerat.", 1), ("Covrine keratocyte?", 1), ("putative Corvine keratocyte (mouse)", 1),
     ("12: corvine keratocyte, rep 3", 1), ("CorvineKeratocyte", 1), ("corvinekeratocyte", 1), ("Corvine stromal cell type 2", 3), ("corvine stromal cells ty. ii", 3), ("CSC-2", 3), ("Maltic stromal cell α", 4), ("malticstromalcellbeta", 5),
