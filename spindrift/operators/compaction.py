@@ -16,6 +16,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spindrift.session import scratch_path
+
 
 @dataclass(frozen=True)
 class CompactionReport:
@@ -56,24 +58,42 @@ def _delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def row_bytes(df: DataFrame) -> Column:
-    """Rough size of a row as plain text, for the number of output files."""
-    return F.length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
+def stored_bytes(spark: SparkSession, path: str) -> int:
+    """Bytes of the files below a folder."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
+
 
+def recover(spark: SparkSession, path: str) -> None:
+    """Finish or take back a swap that was broken off at ``path``.
 
-def compact(
-    df: DataFrame,
-    path: str,
-    keys: list[str],
-    target_bytes: int = 256 << 20,
-    bytes_per_row: float | None = None,
-    compression_ratio: float = 0.25,
-) -> CompactionReport:
+    A folder set aside is put back if none is at ``path``, else it is deleted, as are
+    rows written beside that never took its place.  No other compaction may be at
+    work there.
+    """
+    base = path.rstrip("/")
+    p = spark._jvm.org.apache.hadoop.fs.Path(base)
+    files = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(p.getParent()):
+        return
+    beside = sorted((s.getModificationTime(), s.getPath().toString()) for s in files.listStatus(p.getParent()) if s.isDirectory())
+    mine = [f for _, f in beside if f.rsplit("/", 1)[1].startswith(p.getName() + ".")]
+    for old in reversed([f for f in mine if f.rsplit("/", 1)[1].startswith(p.getName() + ".old-")]):
+        if _exists(spark, base):
+            _delete(spark, old)
+        else:
+            _rename(spark, old, base)
+    for staging in mine:
+        if staging.rsplit("/", 1)[1].startswith(p.getName() + ".staging-"):
+            _delete(spark, staging)
+
+
+def compact(df: DataFrame, path: str, keys: list[str], target_bytes: int = 256 << 20, total_bytes: int | None = None) -> CompactionReport:
     """Write ``df`` to the folder ``path`` as few files sorted by ``keys``, none lost and none twice.
 
-    ``target_bytes`` is the wanted size of a file.  Without ``bytes_per_row`` the
-    text size of the rows is measured in the pass that counts them, and multiplied
-    by ``compression_ratio``.  The ranges are cut by the keys and then
+    ``target_bytes`` is the wanted size of a file, ``total_bytes`` the size of all rows
+    as stored (``stored_bytes`` of the folder they come from); without it the rows
+    are written once to the shared folder to learn it.  The ranges are cut by the keys and then
     by a hash of the whole row, so one key holding a third of all rows is spread
     over several files; only rows that are equal in every column stay together.
 
@@ -81,18 +101,19 @@ def compact(
     rows are all kept (deduplicate before, if they are no records of their own);
     columns may have any name.  A folder already at ``path`` is replaced only
     after the new rows agree with ``df`` in count and checksum, else
-    ``ReconciliationError`` is raised and the folder stays as it was.
+    ``ReconciliationError`` is raised and the folder stays as it was.  A swap that
+    broke off earlier is taken back first (``recover``).
     ``df`` is read three times (sums, boundaries, rows) and must give the same rows
     each time: cut its lineage before, if it is costly.
     """
     spark = df.sparkSession
-    size = F.sum(row_bytes(df).cast("long")) if bytes_per_row is None else F.lit(0)
-    want = df.agg(*_sums(df), size.alias("size")).first()
-    if bytes_per_row is None:
-        total = (want["size"] or 0) * compression_ratio
-    else:
-        total = want["n"] * bytes_per_row
-    files = max(1, math.ceil(total / target_bytes))
+    recover(spark, path)
+    if total_bytes is None:
+        held = scratch_path(spark, "to_compact")
+        df.write.parquet(held)
+        df, total_bytes = spark.read.schema(df.schema).parquet(held), stored_bytes(spark, held)
+    want = df.agg(*_sums(df)).first()
+    files = max(1, math.ceil(total_bytes / target_bytes))
     tie = "_tie_" + uuid.uuid4().hex[:8]
     order = [*[F.col(f"`{k}`") for k in keys], F.col(tie)]
     out = df.withColumn(tie, _row_hash(df)).repartitionByRange(files, *order).sortWithinPartitions(*order).drop(tie)

@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.operators.compaction import compact
+from spindrift.operators.compaction import CompactionReport, compact, stored_bytes
 from spindrift.operators.orphans import Reference, find_orphans
 from spindrift.session import cut, read_table, scratch_path
 from spindrift.sources.delimited_bodies import read_bodies
 
-#: Size of an output file of the compacted sweep results.
-TARGET_BYTES = 128 << 20
+#: Size of an output file of the compacted sweep results: the results of 60 k bodies take some 10 MB, so
+#: that they come in a handful of ranges; give the block size of the file system for larger sweeps.
+TARGET_BYTES = 2 << 20
+
+#: Size of an output file in the report on ranges, which shows several files at every scale.
+SMALL_TARGET_BYTES = 16 << 10
+
+#: Clustering keys of the compacted results.
+KEYS = ["regime", "seed", "mu_milli", "method"]
 
 #: child table, its row id, reference, parent table
 REFERENCES = [
@@ -23,25 +30,41 @@ REFERENCES = [
 
 
 def sweep_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The distinct results held in the bodies of task_files."""
+    """All lines behind the headers of the bodies of task_files: broken ones, repeated headers, and results."""
     files = read_table(spark, sf_dir, "task_files").select("regime", "seed", "body")
-    lines = read_bodies(files, "body", ["regime", "seed"], ["method", "branch"], ["mu", "error", "C0_used"])
-    lines = lines.select("regime", "seed", F.round(F.col("mu") * 1000).cast("long").alias("mu_milli"), F.lower("method").alias("method"), "error", "branch", "c0_used")
-    lines = lines.where("mu_milli is not null and method is not null")
-    # The lines of one result agree in their values, so the greatest is the one.
-    return lines.groupBy("regime", "seed", "mu_milli", "method").agg(*[F.max(c).alias(c) for c in ("error", "branch", "c0_used")])
+    lines = read_bodies(files, "body", ["regime", "seed"], ["method", "branch"], ["mu", "error", "C0_used"], broken="broken")
+    return lines.select("regime", "seed", F.round(F.col("mu") * 1000).cast("long").alias("mu_milli"), F.lower("method").alias("method"), "error", "branch", "c0_used", "broken")
 
 
-def compacted(spark: SparkSession, sf_dir: str, target_bytes: int = TARGET_BYTES) -> tuple[DataFrame, int]:
-    """The results of task_files after compaction, and the number of files they lie in."""
-    path = scratch_path(spark, "sweep_results_compacted")
-    rows = cut(sweep_lines(spark, sf_dir), "sweep_lines")
-    report = compact(rows, path, ["regime", "seed", "mu_milli", "method"], target_bytes=target_bytes)
-    return spark.read.schema(rows.schema).parquet(report.path), report.files
+def is_result() -> Column:
+    return ~F.col("broken") & F.col("mu_milli").isNotNull() & F.col("method").isNotNull()
+
+
+def distinct_results(lines: DataFrame) -> DataFrame:
+    """Each result once.  The lines of one result agree in their values, so the greatest is the one.
+
+    The branch goes through the aggregation as a code of fixed width, so that lines
+    are added up by hash before they are moved; the few different branches join
+    their codes afterwards.
+    """
+    rows = lines.where(is_result())
+    found = rows.groupBy(*KEYS).agg(F.max("error").alias("error"), F.max(F.when(F.col("branch").isNotNull(), F.xxhash64("branch"))).alias("_code"), F.max("c0_used").alias("c0_used"))
+    branches = rows.where("branch is not null").select("branch").distinct().select(F.xxhash64("branch").alias("_code"), "branch")
+    return found.join(branches, "_code", "left").select(*KEYS, "error", "branch", "c0_used")
+
+
+def compacted(spark: SparkSession, sf_dir: str, target_bytes: int = TARGET_BYTES) -> tuple[DataFrame, CompactionReport]:
+    """The results of task_files after compaction, and the report on it."""
+    path, held = scratch_path(spark, "sweep_results_compacted"), scratch_path(spark, "sweep_results")
+    rows = distinct_results(cut(sweep_lines(spark, sf_dir), "sweep_lines"))
+    rows.write.parquet(held)
+    rows = spark.read.schema(rows.schema).parquet(held)
+    report = compact(rows, path, KEYS, target_bytes=target_bytes, total_bytes=stored_bytes(spark, held))
+    return spark.read.schema(rows.schema).parquet(report.path), report
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return compacted(spark, sf_dir)[0].select("regime", "seed", "mu_milli", "method")
+    return compacted(spark, sf_dir)[0].select(KEYS)
 
 
 def p1_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,6 +75,26 @@ def p1_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def p1_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each compacted file: rows, size, and the first and last key it holds."""
+    df, _ = compacted(spark, sf_dir, SMALL_TARGET_BYTES)
+    key = F.struct(*KEYS)
+    per = df.groupBy(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_size").alias("n_bytes"))
+    return per.agg(F.count(F.lit(1)).alias("n_rows"), F.min(key).alias("first"), F.max(key).alias("last"))
+
+
+def p1_reconciled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per regime, what the lines of all bodies became: lines = results + repeats + broken + repeated headers, and rows in the compacted files."""
+    lines = cut(sweep_lines(spark, sf_dir), "sweep_lines")
+    path = scratch_path(spark, "sweep_results_compacted")
+    compact(distinct_results(lines), path, KEYS, target_bytes=TARGET_BYTES)
+    n = F.count(F.lit(1))
+    into = lines.groupBy("regime").agg(n.alias("n_lines"), F.count_if("broken").alias("n_broken"), F.count_if(~F.col("broken") & ~is_result()).alias("n_headers"))
+    out = spark.read.parquet(path).groupBy("regime").agg(n.alias("n_results"))
+    both = into.join(out, "regime", "left").withColumn("n_results", F.coalesce("n_results", F.lit(0).cast("long")))
+    return both.select("regime", "n_lines", "n_broken", "n_headers", "n_results", (F.col("n_lines") - F.col("n_broken") - F.col("n_headers") - F.col("n_results")).alias("n_repeats"))
+
+
 def orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
     children: dict[str, tuple] = {}
     for child, row_id, ref, parent in REFERENCES:
@@ -69,7 +112,7 @@ def p5_by_month(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orphans(spark, sf_dir).groupBy("child", "field", "kind", month.alias("month")).agg(F.count(F.lit(1)).alias("n_orphans"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_layout": p1_layout, "p5_found": p5_found, "p5_by_month": p5_by_month}
+QUERIES = {"p1_found": p1_found, "p1_layout": p1_layout, "p1_ranges": p1_ranges, "p1_reconciled": p1_reconciled, "p5_found": p5_found, "p5_by_month": p5_by_month}
 
 _LINES = r"""
 with files as (
@@ -93,6 +136,10 @@ vals as (
     try_cast(replace(f[list_position(names, 'error')], ',', '.') as double) as error,
     nullif(f[list_position(names, 'branch')], '') as branch
   from fields where len(f) = len(names) and open_quote = 0),
+told as (
+  select regime, seed, len(f) <> len(names) or open_quote <> 0 as broken,
+    case when len(f) = len(names) and open_quote = 0 then round(try_cast(replace(f[list_position(names, 'mu')], ',', '.') as double) * 1000)::bigint end as mu_milli,
+    nullif(lower(f[list_position(names, 'method')]), '') as method from fields),
 results as (
   select regime, seed, mu_milli, method, max(error) as error, max(branch) as branch
   from vals where mu_milli is not null and method is not null group by all)
@@ -118,6 +165,12 @@ SQL = {
     "p1_found": _LINES + "select regime, seed, mu_milli, method from results",
     "p1_layout": _LINES
     + "select regime, count(*) as n_results, count(distinct seed) as n_seeds, count(branch) as n_branch, round(avg(error), 6) as mean_error from results group by regime",
+    "p1_reconciled": _LINES
+    + """select regime, count(*) as n_lines, count(*) filter (broken) as n_broken,
+      count(*) filter (not broken and (mu_milli is null or method is null)) as n_headers,
+      count(distinct (seed, mu_milli, method)) filter (not broken and mu_milli is not null and method is not null) as n_results,
+      n_lines - n_broken - n_headers - n_results as n_repeats
+    from told group by regime""",
     "p5_found": _ORPHANS + " select child, row_id, field, kind from orphans",
     "p5_by_month": _ORPHANS + " select child, field, kind, strftime(loaded_at, '%Y-%m') as month, count(*) as n_orphans from orphans group by all",
 }

@@ -57,7 +57,7 @@ def test_compact_keeps_all_rows(spark, tmp_path, n):
     rows = [(rnd.choice(["hot", "hot", None, "b", "c"]), rnd.choice([None, rnd.randint(0, 9)]), rnd.choice(["", "x" * 50, "é"])) for _ in range(n)]
     df = spark.createDataFrame(rows + rows[: n // 10], "k string, v int, `a b` string").repartition(7)
     path = str(tmp_path / "out")
-    report = compact(df, path, ["k", "v"], target_bytes=10_000)
+    report = compact(df, path, ["k", "v"], target_bytes=2_000)
     back = spark.read.schema(df.schema).parquet(path)
     assert rows_of(back) == rows_of(df)
     assert report.rows == n + n // 10
@@ -91,6 +91,46 @@ def test_compact_keeps_the_old_folder_if_counts_differ(spark, tmp_path, monkeypa
     assert not glob.glob(f"{path}.*")
 
 
+def test_broken_lines_are_told(spark):
+    body = 'mu,method,error\n0.1,target,0.2\n0.2,sour\nmu,method,error\n"0.3","x'
+    rows = read_bodies(spark.createDataFrame([("a", body)], "name string, body string"), "body", ["name"], ["method"], ["mu"], broken="broken").collect()
+    assert sorted((r["broken"], r["mu"], r["method"]) for r in rows if not r["broken"] and r["mu"]) == [(False, 0.1, "target")]
+    assert sorted(r["broken"] for r in rows) == [False, False, True, True]
+    assert all(r["mu"] is None and r["method"] is None for r in rows if r["broken"])
+
+
+def test_lines_are_split_once(spark):
+    files = spark.createDataFrame([("a", "mu,method\n1,x")], "name string, body string")
+    plan = read_bodies(files, "body", ["name"], ["method"], ["mu"])._jdf.queryExecution().executedPlan().toString()
+    # Once for the header, once for the lines.
+    assert plan.count("regexp_extract_all(") <= 2
+
+
+def test_a_broken_swap_is_taken_back(spark, tmp_path):
+    path = str(tmp_path / "out")
+    compact(spark.range(10), path, ["id"])
+    # Between the two renames the job was lost.
+    (tmp_path / "out").rename(tmp_path / "out.old-1")
+    spark.range(3).write.parquet(path + ".staging-2")
+    compaction.recover(spark, path)
+    assert spark.read.parquet(path).count() == 10
+    assert not glob.glob(f"{path}.*")
+    # After them, before the old folder was deleted.
+    spark.range(4).write.parquet(path + ".old-3")
+    compact(spark.range(20), path, ["id"])
+    assert spark.read.parquet(path).count() == 20
+    assert not glob.glob(f"{path}.*")
+
+
+def test_ranges_of_the_files_do_not_overlap(spark, sf, monkeypatch):
+    from spindrift.plans import problems
+
+    monkeypatch.setattr(problems, "SMALL_TARGET_BYTES", 2 << 10)
+    got = sorted(problems.p1_ranges(spark, sf).collect(), key=lambda r: r["first"])
+    assert len(got) >= 4
+    assert all(a["last"] <= b["first"] for a, b in zip(got, got[1:]))
+
+
 def test_key_codes_are_one_to_one(spark):
     keys = ["a", "a1", "a01", "a001", "a10", "1", "01", "0", "00", "", "acgtacgt", "acgtacgt-1", "acgtacgt-2", "aacgtacgt", "tttttttt", "a9999999999999999999", "9" * 15, "9" * 16, "a-1", "é12", " b 7"]
     df = spark.createDataFrame([(k,) for k in keys], "k string")
