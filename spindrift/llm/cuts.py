@@ -1,13 +1,20 @@
 """Texts cut off by a length limit or in transfer.
 
-From all texts two tables of counts are made: for every word, how often it stands
-inside a text and how often a sentence ends after it; for every pair of words, how
-often it opens a sentence and how often it stands within one.  The known words'
-proper prefixes, one row each, are the nodes of a trie.  A text without a
-sentence's end is cut unless it reads like a heading.  A text that ends in an
-ellipsis is cut if the word before it is no known word but a proper prefix of one,
-or a word after which sentences don't end, or if the text has the length at which
-its source puts ellipses.
+From all texts one table of counts is made, in one explosion: for every word, how
+often it stands inside a text and how often a sentence ends after it; for every
+three words, how often they open a sentence and how often they stand within one.
+The known words' proper prefixes, one row each, are the nodes of a trie, and the
+words after which sentences end bear its end marks.  Four kinds of evidence make a
+text without a sentence's end, or with an ellipsis for it, a cut one:
+
+* ``prefix``: its last word is no known word, but a proper prefix of one;
+* ``limit``: it has a length at which texts of its source end so again and again;
+* ``unended``: its last word is known, but bears no end mark;
+* ``begun``: without an ellipsis only: it begins as sentences do, by the counts of
+  openings, or ends as neither headings nor sentences do.
+
+A heading is thus told by counts: no three words in it open sentences, and its last
+word ends other headings, or sentences.
 
 Texts meet these tables by joins; nothing of the vocabulary is collected.
 """
@@ -52,11 +59,11 @@ class Evidence:
 def tokens(text: Column) -> Column:
     """Lower-case words, Han characters and sentence ends ('.') of a text."""
     found = F.regexp_extract_all(F.lower(F.regexp_replace(text, _CODE, "")), F.lit(_TOKEN), F.lit(0))
-    return F.transform(found, lambda t: F.when(t.rlike(r"^[.!?。！？…]+$"), F.lit(".")).otherwise(t))
+    return F.transform(found, lambda t: F.when(F.instr(F.lit(_END), F.substring(t, 1, 1)) > 0, F.lit(".")).otherwise(t))
 
 
 def _is_han(t: Column) -> Column:
-    return t.rlike(r"^\p{IsHan}$")
+    return (F.length(t) == 1) & t.rlike(r"^\p{IsHan}$")
 
 
 def final_key(t: Column, i: Column) -> Column:
@@ -80,21 +87,28 @@ def prepare(docs: DataFrame) -> DataFrame:
     return shown.select("doc_id", "source", F.length(F.rtrim("text")).alias("n_chars"), ending.alias("ending"), opened.alias("opened"), tokens(body).alias("t"))
 
 
-def word_table(prepared: DataFrame, e: Evidence) -> DataFrame:
-    """(key, n, n_end): places of a word inside texts, and those after which a sentence ends.
+def count_table(prepared: DataFrame) -> DataFrame:
+    """(kind, key, n, k): of each word (``word``) its places inside texts, and those after which a sentence ends; of each three words
+    (``opening``) their places, and those at the start of a sentence.
 
-    The last word of a text counts only where the text has a full end.
+    The last word of a text counts only where the text has a full end.  Starts are
+    counted in texts of at least one full sentence, so headings don't count as
+    openings of sentences.
     """
     n = F.size("t")
+    sentences = F.expr("ending = 'full' or array_contains(t, '.')")
 
     def place(i: Column) -> Column:
-        nxt = F.try_element_at("t", i + 1)
-        return F.struct(final_key(F.col("t"), i).alias("key"), F.coalesce(nxt == ".", F.lit(False)).alias("ends"), (i == n).alias("last"))
+        here, nxt = F.try_element_at("t", i), F.try_element_at("t", i + 1)
+        third = F.try_element_at("t", i + 2)
+        before = F.when(i > 1, F.try_element_at("t", F.greatest(i - 1, F.lit(1))))
+        word = F.struct(F.lit("word").alias("kind"), final_key(F.col("t"), i).alias("key"), F.coalesce(nxt == ".", F.lit(False)).alias("flag"))
+        opening = F.struct(F.lit("opening").alias("kind"), F.concat_ws(" ", here, nxt, third).alias("key"), (before.isNull() | (before == ".")).alias("flag"))
+        return F.array(F.when((here != ".") & (i < n), word), F.when(sentences & (i + 2 <= n) & (here != ".") & (nxt != ".") & (third != "."), opening))
 
-    # One small struct per word: a row never carries its whole text along.
-    rows = prepared.where(n > 0).select(F.explode(F.transform(F.sequence(F.lit(1), n), place)).alias("w")).select("w.*")
-    rows = rows.where((F.col("key") != ".") & ~F.col("last"))
-    return rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.count_if("ends").alias("n_end"))
+    # One small struct per place and kind: a row never carries its whole text along.
+    rows = prepared.where(n > 0).select(F.explode(F.flatten(F.transform(F.sequence(F.lit(1), n), place))).alias("w")).where("w is not null").select("w.*")
+    return rows.groupBy("kind", "key").agg(F.count(F.lit(1)).alias("n"), F.count_if("flag").alias("k"))
 
 
 def trie_nodes(words: DataFrame, e: Evidence) -> DataFrame:
@@ -104,25 +118,6 @@ def trie_nodes(words: DataFrame, e: Evidence) -> DataFrame:
     return known.select(F.explode(F.transform(ends, lambda k: F.substring(F.col("key"), F.lit(1), k))).alias("prefix")).distinct()
 
 
-def opening_table(prepared: DataFrame) -> DataFrame:
-    """(triple, n_start, n_within): triples of words at the start of a sentence, and within one.
-
-    Starts are counted in texts of at least one full sentence, so headings don't
-    count as openings of sentences.
-    """
-    n = F.size("t")
-
-    def place(i: Column) -> Column:
-        words = [F.try_element_at("t", i + k) for k in range(3)]
-        inside = (words[0] != ".") & (words[1] != ".") & (words[2] != ".")
-        before = F.when(i > 1, F.try_element_at("t", F.greatest(i - 1, F.lit(1))))
-        return F.struct(F.when(inside, F.concat_ws(" ", *words)).alias("triple"), (before.isNull() | (before == ".")).alias("start"))
-
-    texts = prepared.where("(ending = 'full' or array_contains(t, '.')) and size(t) > 2")
-    rows = texts.select(F.explode(F.transform(F.sequence(F.lit(1), n - 2), place)).alias("w")).select("w.*").where("triple is not null")
-    return rows.groupBy("triple").agg(F.count_if("start").alias("n_start"), F.count_if(~F.col("start")).alias("n_within"))
-
-
 def headings(prepared: DataFrame, openings: DataFrame, e: Evidence) -> DataFrame:
     """(doc_id): texts without any sentence's end in which no three words are such as open sentences.
 
@@ -145,47 +140,62 @@ def heading_ends(candidates: DataFrame) -> DataFrame:
 
 
 def limits(prepared: DataFrame, e: Evidence) -> DataFrame:
-    """(source, n_chars): lengths at which a source puts its ellipses."""
-    dots = prepared.where("ending = 'dots'").groupBy("source", "n_chars").agg(F.count(F.lit(1)).alias("k"))
-    total = dots.groupBy("source").agg(F.sum("k").alias("all"), F.max("n_chars").alias("most"))
-    at = dots.join(total, "source").where((F.col("k") >= e.limit_texts) & (F.col("k") >= F.col("all") * e.limit_share))
+    """(source, ending, n_chars): lengths at which a source puts its ellipses, or breaks off."""
+    at = prepared.where("ending <> 'full'").groupBy("source", "ending", "n_chars").agg(F.count(F.lit(1)).alias("k"))
+    total = at.groupBy("source", "ending").agg(F.sum("k").alias("all"))
+    at = at.join(total, ["source", "ending"]).where((F.col("k") >= e.limit_texts) & (F.col("k") >= F.col("all") * e.limit_share))
     # Blanks are stripped before an ellipsis is put, so the length just below a limit is one too.
-    lower = F.explode(F.array(F.col("n_chars"), F.col("n_chars") - 1))
-    return at.select("source", lower.alias("n_chars")).distinct()
+    lower = F.explode(F.when(F.col("ending") == "dots", F.array(F.col("n_chars"), F.col("n_chars") - 1)).otherwise(F.array("n_chars")))
+    return at.select("source", "ending", lower.alias("n_chars")).distinct()
 
 
 def judge(docs: DataFrame, e: Evidence = Evidence()) -> DataFrame:
-    """(doc_id, source, ending, is_cut) of each document (doc_id, source, text) whose text isn't blank.
+    """(doc_id, source, ending, evidence, is_cut) of each document (doc_id, source, text) whose text isn't blank.
 
-    Null and blank texts give no row; a text without any letter is not cut; texts of
-    any length are read whole; repeated rows are judged alike, each for itself.
-    A null source has no length limit of its own.
+    ``evidence`` lists what speaks for a cut, in the order ``prefix``, ``limit``,
+    ``unended``, ``begun``; it is empty for a text that isn't cut.  Null and blank
+    texts give no row; a text without any letter is not cut; texts of any length are
+    read whole; repeated rows are judged alike, each for itself.  A null source has
+    no length limit of its own.
     """
     docs = docs.select("doc_id", "source", "text").where(F.regexp_replace("text", r"[\s\x{a0}\x{feff}]+", "") != "")
     prepared = cut(prepare(docs), "prepared")
-    words = cut(word_table(prepared, e), "words")
+    counts = cut(count_table(prepared), "counts")
+    words = counts.where("kind = 'word'").select("key", "n", F.col("k").alias("n_end"))
+    openings = counts.where("kind = 'opening'").select(F.col("key").alias("triple"), F.col("k").alias("n_start"), (F.col("n") - F.col("k")).alias("n_within"))
     n = F.size("t")
     ask = prepared.where("ending <> 'full' and size(t) > 0").select(
         "doc_id", "source", "ending", "n_chars", final_key(F.col("t"), n).alias("key"), ((F.element_at("t", -1) == ".") & ~F.col("opened")).alias("at_end")
     )
-    known = words.select("key", F.col("n").alias("n_word"), "n_end")
-    candidates = cut(headings(prepared, opening_table(prepared), e), "headings")
+    candidates = cut(headings(prepared, openings, e), "headings")
     found = (
-        ask.join(known, "key", "left")
+        ask.join(words.withColumnRenamed("n", "n_word"), "key", "left")
         .join(trie_nodes(words, e).select(F.col("prefix").alias("key"), F.lit(True).alias("is_prefix")), "key", "left")
         .join(heading_ends(candidates), "key", "left")
         .join(candidates.select("doc_id", F.lit(True).alias("bare")), "doc_id", "left")
-        .join(limits(prepared, e).withColumn("at_limit", F.lit(True)), ["source", "n_chars"], "left")
+        .join(limits(prepared, e).withColumn("at_limit", F.lit(True)), ["source", "ending", "n_chars"], "left")
     )
     is_known = F.coalesce(F.col("n_word") >= e.known, F.lit(False))
     broken = ~is_known & F.coalesce("is_prefix", F.lit(False))
     may_end = is_known & (F.col("n_end") >= F.greatest(F.lit(1.0), F.col("n_word") * e.end_rate))
     ends_heading = F.coalesce((F.col("n_last") >= 2) & (F.col("n_last") >= F.col("n_heading") * e.heading_rate), F.lit(False))
-    heading = F.coalesce("bare", F.lit(False)) & (ends_heading | (may_end & ~broken))
-    is_cut = F.when(F.col("ending") == "open", ~heading).otherwise(broken | (is_known & ~may_end) | F.coalesce("at_limit", F.lit(False))) & ~F.col("at_end")
-    judged = found.select("doc_id", "source", "ending", is_cut.alias("is_cut"))
-    rest = prepared.where("ending = 'full' or size(t) = 0").select("doc_id", "source", "ending", F.lit(False).alias("is_cut"))
-    return judged.unionByName(rest)
+    bare = F.coalesce("bare", F.lit(False))
+    heading = bare & ends_heading
+    told = {
+        "prefix": broken & ~heading,
+        "limit": F.coalesce("at_limit", F.lit(False)) & ~heading,
+        "unended": is_known & ~may_end & ~heading,
+        "begun": (F.col("ending") == "open") & ~(bare & (ends_heading | may_end)),
+    }
+    evidence = F.filter(F.array(*[F.when(c & ~F.col("at_end"), F.lit(name)) for name, c in told.items()]), lambda x: x.isNotNull())
+    judged = found.select("doc_id", "source", "ending", evidence.alias("evidence"))
+    rest = prepared.where("ending = 'full' or size(t) = 0").select("doc_id", "source", "ending", F.array().cast("array<string>").alias("evidence"))
+    return judged.unionByName(rest).withColumn("is_cut", F.size("evidence") > 0)
+
+
+def evidence_report(judged: DataFrame) -> DataFrame:
+    """(ending, evidence, n_cut): cut texts by how they end and what tells them, kinds of evidence joined by '+'."""
+    return judged.where("is_cut").groupBy("ending", F.array_join("evidence", "+").alias("evidence")).agg(F.count(F.lit(1)).alias("n_cut"))
 
 
 def cut_share(judged: DataFrame) -> DataFrame:

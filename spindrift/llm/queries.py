@@ -138,6 +138,11 @@ def p9_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cuts.cut_share(cuts.judge(read_table(spark, sf_dir, "documents")))
 
 
+def p9_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cut texts by their ending and the evidence for the cut."""
+    return cuts.evidence_report(cuts.judge(read_table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     "p2_found": p2_found,
     "p2_clusters": p2_clusters,
@@ -152,6 +157,7 @@ QUERIES = {
     "p8_fill": p8_fill,
     "p9_found": p9_found,
     "p9_share": p9_share,
+    "p9_evidence": p9_evidence,
 }
 
 _ERRORS = r"""
