@@ -15,6 +15,7 @@ The vectors have length one, so the squared distance is 2 - 2 cos.
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,6 +30,12 @@ from spindrift.session import cut
 #: Rows of one side that a task compares at once.
 BLOCK_ROWS = 8192
 
+#: Vectors that meet a block of queries at once where these are compared with all vectors.
+SCAN_ROWS = 65_536
+
+#: Rows of a bucket that meet a part of its probes in one place while pairs are searched.
+PAIR_BLOCK_ROWS = 1024
+
 
 @dataclass(frozen=True)
 class HashParams:
@@ -41,16 +48,19 @@ class HashParams:
     seed: int = 7
 
 
-#: For pairs at cosine 0.992 and above (distance 0.1265 and below): 99 % of the
-#: pairs at that bound meet in some table, 99.9 % of those at 0.994.
-NEAR = HashParams(tables=8, hashes=14, slot=0.6, probes=8)
+#: For pairs at cosine 0.992 and above (distance 0.1265 and below): 99.96 % of 20,000
+#: random pairs at that bound meet in some table.
+NEAR = HashParams(tables=4, hashes=10, slot=0.9, probes=6)
 
 #: For the k nearest of all vectors, at distances up to 0.5.
 WIDE = HashParams(tables=6, hashes=8, slot=1.0, probes=24)
 
+#: Least cosine (distance 0.5) of a k-th neighbour that is taken from buckets alone.
+WITHIN_COS = 0.875
+
 #: A candidate pair is dropped unread if its eight sketched projections differ by
-#: more than all but one in a thousand pairs at the bound (chi-square with 8 degrees).
-_CHI2_8 = 26.1
+#: more than all but one in a million pairs at the bound (chi-square with 8 degrees).
+_CHI2_8 = 42.7
 
 #: Steps of a sketched projection per unit; each takes one byte.
 _STEPS = 28
@@ -153,10 +163,18 @@ def hashed(vectors: DataFrame, p: HashParams, probes: bool) -> DataFrame:
 
 
 def distinct_vectors(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(representatives, members): equal vectors are hashed once; members are (rep, id), rep included."""
-    groups = vectors.groupBy("vec").agg(F.min("id").alias("rep"))
-    members = vectors.join(groups, "vec").select("rep", "id")
-    return groups.select(F.col("rep").alias("id"), "vec"), members
+    """(representatives, members): equal vectors are hashed once; members are (rep, id), rep included.
+
+    Only vectors whose hash is not alone are moved and compared.
+    """
+    coded = vectors.select("id", F.xxhash64("vec").alias("h"), "vec")
+    shared = cut(coded.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), "shared")
+    alone = coded.join(shared, "h", "left_anti")
+    again = coded.join(shared, "h", "left_semi")
+    groups = again.groupBy("vec").agg(F.min("id").alias("rep"))
+    reps = alone.select("id", "vec").unionByName(groups.select(F.col("rep").alias("id"), "vec"))
+    members = again.join(groups, "vec").select("rep", "id").unionByName(alone.select(F.col("id").alias("rep"), "id"))
+    return reps, members
 
 
 def near_pairs(vectors: DataFrame, min_cos: float, p: HashParams = NEAR) -> DataFrame:
@@ -170,10 +188,16 @@ def near_pairs(vectors: DataFrame, min_cos: float, p: HashParams = NEAR) -> Data
     """
     reps, members = distinct_vectors(vectors)
     reps, members = cut(reps, "reps"), cut(members, "members")
-    index = hashed(reps, p, probes=False).toDF("bucket", "b", "sb")
+    index = cut(hashed(reps, p, probes=False), "index").toDF("bucket", "b", "sb")
     query = hashed(reps, p, probes=True).toDF("bucket", "a", "sa")
+    # A large bucket is many places: its rows in blocks, each before every block of its probes.
+    parts = F.ceil(F.count(F.lit(1)) / F.lit(float(PAIR_BLOCK_ROWS))).cast("int")
+    large = cut(index.groupBy("bucket").agg(parts.alias("parts")).where("parts > 1"), "large")
+    parts, each = F.coalesce("parts", F.lit(1)), F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))
+    index = index.join(large, "bucket", "left").select("bucket", "b", "sb", F.pmod(F.xxhash64("b"), parts).cast("int").alias("i"), each.alias("j"))
+    query = query.join(large, "bucket", "left").select("bucket", "a", "sa", each.alias("i"), F.pmod(F.xxhash64("a"), parts).cast("int").alias("j"))
     most = (np.sqrt((2 - 2 * min_cos) * _CHI2_8) * _STEPS + np.sqrt(8 / 6)) ** 2
-    met = query.join(index, "bucket").where((F.col("a") != F.col("b")) & (sketch_gap("sa", "sb") <= float(most)))
+    met = query.join(index, ["bucket", "i", "j"]).where((F.col("a") != F.col("b")) & (sketch_gap("sa", "sb") <= float(most)))
     pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     left = reps.select(F.col("id").alias("a"), F.col("vec").alias("va"))
     right = reps.select(F.col("id").alias("b"), F.col("vec").alias("vb"))
@@ -188,8 +212,29 @@ def near_pairs(vectors: DataFrame, min_cos: float, p: HashParams = NEAR) -> Data
     return out.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"), "cos")
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int, p: HashParams = WIDE) -> DataFrame:
-    """(id, neighbour, cos, rank): for each query (id, vec) the k most similar other vectors.
+def _ranked(rows: DataFrame, k: int) -> DataFrame:
+    """(id, neighbour, cos): the k nearest rows (kind 1) of each query (kind 0) within each block of (block, kind, id, vec)."""
+    rows = rows.repartition("block").sortWithinPartitions("block", "kind")
+
+    def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for kinds, ids, x in _blocks(batches):
+            nq = int((kinds == 0).sum())
+            qid, vid, y = ids[:nq], ids[nq:], x[nq:]
+            for lo in range(0, nq if len(vid) else 0, 512):
+                cos = x[lo : min(lo + 512, nq)] @ y.T
+                cos[qid[lo : lo + 512, None] == vid[None, :]] = -2
+                top = min(k, len(vid))
+                best = np.argpartition(-cos, top - 1, axis=1)[:, :top]
+                near = np.take_along_axis(cos, best, axis=1)
+                keep = near > -2
+                mine = np.broadcast_to(qid[lo : lo + 512, None], best.shape)
+                yield pa.record_batch({"id": pa.array(mine[keep]), "neighbour": pa.array(vid[best][keep]), "cos": pa.array(near[keep].astype(np.float64))})
+
+    return rows.mapInArrow(rank, "id long, neighbour long, cos double")
+
+
+def hashed_nearest(vectors: DataFrame, queries: DataFrame, k: int, p: HashParams = WIDE) -> DataFrame:
+    """(id, neighbour, cos, rank): the k most similar candidates that each query (id, vec) meets in its buckets.
 
     A bucket's vectors are brought to its queries in blocks of bounded size: a
     bucket that holds a third of all vectors is many groups, each with a copy of the
@@ -208,29 +253,44 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, p: HashParams = WIDE
     rows = index.join(sizes, "bucket").select("bucket", "id", F.pmod(F.xxhash64("id"), "bv").cast("int").alias("v"), F.explode(F.sequence(F.lit(0), F.col("bq") - 1)).alias("q"), F.lit(1).alias("kind"))
     ask = asked.join(sizes, "bucket").select("bucket", "id", F.pmod(F.xxhash64("id", F.lit(1)), "bq").cast("int").alias("q"), F.explode(F.sequence(F.lit(0), F.col("bv") - 1)).alias("v"), F.lit(0).alias("kind"))
     columns = [F.xxhash64("bucket", "v", "q").alias("block"), "kind", "id", "vec"]
-    both = rows.join(vectors, "id").select(columns).unionByName(ask.join(queries, "id").select(columns))
-    both = both.repartition("block").sortWithinPartitions("block", "kind")
+    return _best(_ranked(rows.join(vectors, "id").select(columns).unionByName(ask.join(queries, "id").select(columns)), k), k)
 
-    def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for kinds, ids, x in _blocks(batches):
-            nq = int((kinds == 0).sum())
-            qid, vid, y = ids[:nq], ids[nq:], x[nq:]
-            for lo in range(0, nq if len(vid) else 0, 512):
-                cos = x[lo : min(lo + 512, nq)] @ y.T
-                cos[qid[lo : lo + 512, None] == vid[None, :]] = -2
-                top = min(k, len(vid))
-                best = np.argpartition(-cos, top - 1, axis=1)[:, :top]
-                near = np.take_along_axis(cos, best, axis=1)
-                keep = near > -2
-                mine = np.broadcast_to(qid[lo : lo + 512, None], best.shape)
-                yield pa.record_batch({"id": pa.array(mine[keep]), "neighbour": pa.array(vid[best][keep]), "cos": pa.array(near[keep].astype(np.float64))})
 
-    met = both.mapInArrow(rank, "id long, neighbour long, cos double")
-    once = met.groupBy("id", "neighbour").agg(F.max("cos").alias("cos"))
+def _best(found: DataFrame, k: int) -> DataFrame:
+    once = found.groupBy("id", "neighbour").agg(F.max("cos").alias("cos"))
     w = Window.partitionBy("id").orderBy(F.desc("cos"), "neighbour")
     return once.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def scanned_nearest(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(id, neighbour, cos, rank): exactly, by comparing each query with all vectors, block by block.
+
+    A block of vectors meets a block of queries as two matrices and keeps the k best of each query.
+    """
+    bq = max(1, math.ceil(queries.count() / BLOCK_ROWS))
+    bv = max(1, math.ceil(vectors.count() / SCAN_ROWS))
+    all_q, all_v = F.explode(F.sequence(F.lit(0), F.lit(bq - 1))), F.explode(F.sequence(F.lit(0), F.lit(bv - 1)))
+    rows = vectors.select("id", "vec", F.pmod(F.xxhash64("id"), F.lit(bv)).cast("int").alias("v"), all_q.alias("q"), F.lit(1).alias("kind"))
+    ask = queries.select("id", "vec", all_v.alias("v"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(bq)).cast("int").alias("q"), F.lit(0).alias("kind"))
+    both = rows.unionByName(ask).select((F.col("v").cast("long") * bq + F.col("q")).alias("block"), "kind", "id", "vec")
+    return _best(_ranked(both, k), k)
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, p: HashParams = WIDE, within_cos: float = WITHIN_COS) -> DataFrame:
+    """(id, neighbour, cos, rank): for each query (id, vec) the k most similar other vectors.
+
+    Queries are answered from their buckets.  Where that gives fewer than k
+    vectors, or a k-th one of a cosine below ``within_cos``, beyond which buckets
+    lose too much, the query is compared with all vectors instead, so its answer is
+    exact; with fewer than k other vectors in all it has fewer rows.  Ties are
+    ordered by id.  Empty tables give no rows.
+    """
+    hashed_ = cut(hashed_nearest(vectors, queries, k, p), "hashed")
+    good = hashed_.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min("cos").alias("low")).where((F.col("n") == k) & (F.col("low") >= within_cos)).select("id")
+    rest = cut(queries.select("id", "vec").join(good, "id", "left_anti"), "rest")
+    return hashed_.join(good, "id", "left_semi").unionByName(scanned_nearest(vectors, rest, k))
+
+
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """The blocks of rows sorted by ``block``: (kind, id, vec); one block is held at a time."""
     held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []

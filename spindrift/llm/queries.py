@@ -91,6 +91,21 @@ def p4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select(F.col("id").alias("cell_id"), "neighbour", "rank", "cos")
 
 
+def p4_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recall of the neighbours found in buckets alone, and of ``nearest``, against all cells, by the cosine of the true neighbour.
+
+    Queries are the cells whose id is divisible by 100; ``cos_from`` is the lower end of a range of a tenth.
+    """
+    all_cells = cut(cells(spark, sf_dir), "cells")
+    asked = cut(all_cells.where("id % 100 = 0"), "asked")
+    truth = cut(neighbours.scanned_nearest(all_cells, asked, K), "truth")
+    by_hash = neighbours.hashed_nearest(all_cells, asked, K).select("id", "neighbour", F.lit(1).alias("_h"))
+    both = neighbours.nearest(all_cells, asked, K).select("id", "neighbour", F.lit(1).alias("_n"))
+    met = truth.join(by_hash, ["id", "neighbour"], "left").join(both, ["id", "neighbour"], "left")
+    per = met.groupBy((F.floor(F.col("cos") * 10) / 10).alias("cos_from")).agg(F.count(F.lit(1)).alias("n_true"), F.count("_h").alias("n_in_buckets"), F.count("_n").alias("n_found"))
+    return per.withColumn("recall", F.col("n_found") / F.col("n_true"))
+
+
 def typed_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(value, label) of each distinct cell_type that isn't blank."""
     meta = read_table(spark, sf_dir, "cell_meta")
@@ -150,6 +165,7 @@ QUERIES = {
     "p3_percentiles": p3_percentiles,
     "p4_found": p4_found,
     "p4_nearest": p4_nearest,
+    "p4_recall": p4_recall,
     "p6_found": p6_found,
     "p6_unmatched": p6_unmatched,
     "p7_ids": p7_ids,

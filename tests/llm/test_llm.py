@@ -206,6 +206,29 @@ def test_nearest_has_high_recall(spark, monkeypatch):
     assert all(r["id"] != r["neighbour"] and 1 <= r["rank"] <= 5 for r in got)
 
 
+def test_a_dense_bucket_is_split(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "PAIR_BLOCK_ROWS", 16)
+    rng = np.random.default_rng(14)
+    x = unit_rows(np.eye(64)[[0] * 200] + 0.012 * rng.normal(size=(200, 64))).astype(np.float32)
+    got = [(r["id_a"], r["id_b"]) for r in neighbours.near_pairs(frame(spark, x), 0.992).collect()]
+    a, b = np.where(np.triu(x.astype(np.float64) @ x.T.astype(np.float64), 1) >= 0.992)
+    assert len(got) == len(set(got)) and len(a) > 3000
+    assert len(set(got) - set(zip(a.tolist(), b.tolist()))) == 0
+    assert len(got) >= 0.999 * len(a)
+
+
+def test_queries_without_near_vectors_are_answered_exactly(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "BLOCK_ROWS", 8)
+    monkeypatch.setattr(neighbours, "SCAN_ROWS", 32)
+    x = unit_rows(np.random.default_rng(15).normal(size=(120, 32))).astype(np.float32)
+    df = frame(spark, x)
+    got = {(r["id"], r["rank"]): r["neighbour"] for r in neighbours.nearest(df, df.where("id % 3 = 0"), 4).collect()}
+    cos = x @ x.T
+    np.fill_diagonal(cos, -2)
+    assert got == {(q, i + 1): int(j) for q in range(0, 120, 3) for i, j in enumerate(np.argsort(-cos[q])[:4])}
+    assert {r["neighbour"] for r in neighbours.nearest(df.where("id < 3"), df.where("id = 0"), 4).collect()} == {1, 2}
+
+
 def test_probe_sets_are_ordered_and_valid():
     sets = neighbours.probe_sets(6, 40)
     assert len(set(sets)) == 40 and sets[0] == (0,)
