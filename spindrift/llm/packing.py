@@ -29,7 +29,7 @@ from spindrift.session import cut
 BLOCK_ROWS = 50_000
 
 #: Containers of one window.
-WINDOW_CONTAINERS = 512
+WINDOW_CONTAINERS = 16
 
 #: Windows whose open containers are packed again together.
 GROUP_WINDOWS = 64
@@ -37,7 +37,7 @@ GROUP_WINDOWS = 64
 #: A container filled at least so far is closed at the end of its window.
 CLOSED_AT = 0.995
 
-_PACKED = "container_no long, item_id long, part int, size int, start int"
+_PACKED = "container_no long, item_id long, source string, part int, size int, start int, window long"
 
 
 def split_large(items: DataFrame, capacity: int) -> DataFrame:
@@ -92,77 +92,88 @@ def best_fit(sizes: list[int], capacity: int) -> list[int]:
     return where
 
 
-def _pack_group(pdf: pd.DataFrame, capacity: int, first: int) -> pd.DataFrame:
+def _pack_group(pdf: pd.DataFrame, capacity: int) -> pd.DataFrame:
     pdf = pdf.sort_values(["item_id", "part"], kind="stable").reset_index(drop=True)
-    pdf["container_no"] = pd.Series(best_fit(pdf["size"].tolist(), capacity), dtype="int64") + first
+    pdf["container_no"] = pd.Series(best_fit(pdf["size"].tolist(), capacity), dtype="int64")
     pdf = pdf.sort_values(["container_no", "size", "item_id", "part"], ascending=[True, False, True, True], kind="stable")
     pdf["start"] = pdf.groupby("container_no")["size"].cumsum() - pdf["size"]
-    return pdf[["container_no", "item_id", "part", "size", "start"]].astype({"part": "int32", "size": "int32", "start": "int32"})
+    return pdf[["container_no", "item_id", "source", "part", "size", "start", "window"]].astype({"part": "int32", "size": "int32", "start": "int32", "window": "int64"})
+
+
+def target_shares(items: DataFrame, power: float) -> DataFrame:
+    """(source, share): the sources' shares of all tokens raised to a power and scaled to one; below 1 it lifts small sources."""
+    tokens = items.where("size > 0").groupBy("source").agg(F.sum("size").alias("n"))
+    lifted = F.pow(F.col("n").cast("double"), F.lit(power))
+    return tokens.select("source", (lifted / F.sum(lifted).over(Window.partitionBy())).alias("share"))
 
 
 def pack(
     items: DataFrame,
     capacity: int,
-    shares: dict[str, float] | None = None,
+    shares: DataFrame | None = None,
     window_containers: int = WINDOW_CONTAINERS,
 ) -> DataFrame:
-    """Put items (item_id, source, size) into containers: (container_id, item_id, part, size, start).
+    """Put items (item_id, source, size) into containers: (container_id, item_id, source, part, size, start, window).
 
-    ``shares`` are the target token proportions of the sources; without it they
-    are the sources' shares of all tokens, so that every container stream ends for
-    all sources at the same window.  A source with a larger target than it has
-    tokens runs dry early, the others go on; a source that ``shares`` doesn't name
-    gets its own share of the tokens.  A null source is a source.
+    ``shares`` (source, share) are the target token proportions of the sources,
+    adding up to one; without it they are the sources' shares of all tokens, so that
+    all queues end at the same window.  In every window a source serves its share of
+    the window's tokens, to within one item; a source with a larger target than it
+    has tokens runs dry early, the others go on at the same rate.  A source that
+    ``shares`` doesn't name gets its own share of the tokens.  A null source is a
+    source.
 
     No item is split unless it is larger than ``capacity``; the full parts of such
-    an item fill containers alone.  Items of size 0 or null are left out.  An empty
-    table gives no containers.  ``item_id`` must be unique.  Containers closed in a
-    window keep its number; the rest is packed again for a group of windows.
+    an item count in their source's queue and fill containers alone.  Items of size
+    0 or null are left out.  An empty table gives no containers.  ``item_id`` must be
+    unique.  Containers closed in a window keep its number; the items of the rest are
+    packed again for a group of windows, so only there can containers of
+    neighbouring windows mix.
     """
-    spark = items.sparkSession
     if capacity < 1:
         raise ValueError("capacity must be positive")
     window_tokens = capacity * window_containers
-    parts = cut(split_large(items.select("item_id", F.coalesce(F.col("source"), F.lit("\x00null")).alias("source"), "size"), capacity), "items")
-    full = parts.where(F.col("size") == capacity)
-    rest = parts.where(F.col("size") < capacity)
-
-    totals = rest.groupBy("source").agg(F.sum("size").alias("_tokens"))
-    share = F.col("_tokens") / F.sum("_tokens").over(Window.partitionBy())
-    if shares:
-        named = spark.createDataFrame([(k, float(v)) for k, v in shares.items()], "source string, _target double")
-        totals = totals.join(F.broadcast(named), "source", "left").withColumn("_share", F.coalesce("_target", share))
-    else:
-        totals = totals.withColumn("_share", share)
-    queued = queue_offsets(rest).join(totals.select("source", "_share"), "source")
-    windows = queued.select("item_id", "part", "size", window_of(F.col("before"), F.col("_share"), window_tokens).alias("window"))
+    named = F.coalesce(F.col("source"), F.lit("\x00null"))
+    parts = cut(split_large(items.select("item_id", named.alias("source"), "size"), capacity), "items")
+    totals = parts.groupBy("source").agg(F.sum("size").alias("_tokens"))
+    totals = totals.withColumn("_share", F.col("_tokens") / F.sum("_tokens").over(Window.partitionBy()))
+    if shares is not None:
+        totals = totals.join(shares.select(named.alias("source"), F.col("share").alias("_target")), "source", "left").withColumn("_share", F.coalesce("_target", "_share"))
+    queued = queue_offsets(parts).join(totals.select("source", "_share"), "source")
+    windows = queued.select("item_id", "source", "part", "size", window_of(F.col("before"), F.col("_share"), window_tokens).alias("window"))
 
     def in_window(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        out = _pack_group(pdf, capacity, 0)
-        filled = out.groupby("container_no")["size"].transform("sum")
-        return out.assign(window=key[0], closed=filled >= CLOSED_AT * capacity)
+        out = _pack_group(pdf, capacity)
+        return out.assign(closed=out.groupby("container_no")["size"].transform("sum") >= CLOSED_AT * capacity)
 
-    first = cut(windows.groupBy("window").applyInPandas(in_window, _PACKED + ", window long, closed boolean"), "windows")
-    closed = first.where("closed")
+    first = cut(windows.groupBy("window").applyInPandas(in_window, _PACKED + ", closed boolean"), "windows")
     # The open containers' items, a small part, are packed again for so many windows at once.
-    again = first.where("not closed").select("item_id", "part", "size", F.floor(F.col("window") / GROUP_WINDOWS).cast("long").alias("group"))
-
-    def in_group(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        return _pack_group(pdf, capacity, 0).assign(group=key[0])
-
-    second = again.groupBy("group").applyInPandas(in_group, _PACKED + ", group long")
+    group = F.floor(F.col("window") / GROUP_WINDOWS).cast("long")
+    second = first.where("not closed").drop("closed").groupBy(group.alias("group")).applyInPandas(lambda pdf: _pack_group(pdf, capacity), _PACKED)
     name = lambda prefix, *c: F.concat_ws("-", F.lit(prefix), *c)
+    rest = ["item_id", F.nullif("source", F.lit("\x00null")).alias("source"), "part", "size", "start", "window"]
     return (
-        closed.select(name("w", "window", "container_no").alias("container_id"), "item_id", "part", "size", "start")
-        .unionByName(second.select(name("r", "group", "container_no").alias("container_id"), "item_id", "part", "size", "start"))
-        .unionByName(full.select(name("f", "item_id", "part").alias("container_id"), "item_id", "part", "size", F.lit(0).alias("start")))
+        first.where("closed")
+        .select(name("w", "window", "container_no").alias("container_id"), *rest)
+        .unionByName(second.select(name("r", group, "container_no").alias("container_id"), *rest))
     )
 
 
+def mixture_report(packed: DataFrame, shares: DataFrame, capacity: int, window_containers: int = WINDOW_CONTAINERS) -> DataFrame:
+    """(window, source, n_tokens, target_tokens, largest, dry): what each source serves in each window.
+
+    Until a queue runs dry (its last window is ``dry``), ``n_tokens`` is within the
+    ``largest`` item of that source of ``target_tokens``.
+    """
+    per = packed.groupBy("window", "source").agg(F.sum("size").alias("n_tokens"))
+    whole = packed.groupBy("source").agg(F.max("size").alias("largest"), F.max("window").alias("_last"))
+    got = per.join(whole, per["source"].eqNullSafe(whole["source"])).drop(whole["source"])
+    got = got.join(shares.withColumnRenamed("source", "_s"), got["source"].eqNullSafe(F.col("_s")))
+    return got.select("window", "source", "n_tokens", (F.col("share") * F.lit(float(capacity * window_containers))).alias("target_tokens"), "largest", (F.col("window") == F.col("_last")).alias("dry"))
+
+
 def fill_report(packed: DataFrame, capacity: int) -> DataFrame:
     """One row: containers, tokens, and the share of the capacity left unused."""
     return packed.agg(F.countDistinct("container_id").alias("n_containers"), F.sum("size").alias("n_tokens")).select(
         "n_containers", "n_tokens", (1 - F.col("n_tokens") / (F.col("n_containers") * F.lit(float(capacity)))).alias("unused_share")
     )
-
-

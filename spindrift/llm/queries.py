@@ -129,10 +129,13 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_ids(docs, "text", "ids").select("doc_id", "ids")
 
 
-def containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+def sized_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    sized = tokens.count_tokens(docs, "text", "size").select(F.col("doc_id").alias("item_id"), "source", "size")
-    return packing.pack(sized, CAPACITY)
+    return tokens.count_tokens(docs, "text", "size").select(F.col("doc_id").alias("item_id"), "source", "size")
+
+
+def containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(sized_documents(spark, sf_dir), CAPACITY)
 
 
 def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,6 +147,13 @@ def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.fill_report(containers(spark, sf_dir), CAPACITY)
 
 
+def p8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of each source in each window, where the targets are the square roots of the sources' own shares."""
+    sized = cut(sized_documents(spark, sf_dir), "sized")
+    shares = cut(packing.target_shares(sized, 0.5), "shares")
+    return packing.mixture_report(packing.pack(sized, CAPACITY, shares), shares, CAPACITY)
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cuts.judge(read_table(spark, sf_dir, "documents")).where("is_cut").select("doc_id")
 
@@ -171,6 +181,7 @@ QUERIES = {
     "p7_ids": p7_ids,
     "p8_containers": p8_containers,
     "p8_fill": p8_fill,
+    "p8_mixture": p8_mixture,
     "p9_found": p9_found,
     "p9_share": p9_share,
     "p9_evidence": p9_evidence,

@@ -102,6 +102,23 @@ def test_windows_hold_the_mixture(spark):
     assert ((per["a"] / (per["a"] + per["b"]) - 2 / 3).abs() < 0.03).all()
 
 
+def test_targets_unlike_the_natural_shares(spark):
+    rnd = random.Random(10)
+    items = [(i, rnd.choice(["a", "a", "a", "a", "b", "b", None]), rnd.choice([3, 8, 20, 45, 230])) for i in range(3000)]
+    df = spark.createDataFrame(items, "item_id long, source string, size int").repartition(4)
+    shares = spark.createDataFrame([("a", 0.2), ("b", 0.5), (None, 0.3)], "source string, share double")
+    packed = packing.pack(df, 100, shares, window_containers=20).cache()
+    assert packed.groupBy("item_id").agg(F.sum("size").alias("s")).agg(F.sum("s")).first()[0] == sum(s for _, _, s in items)
+    rows = packing.mixture_report(packed, shares, 100, 20).collect()
+    assert len({r["window"] for r in rows}) > 5 and sum(r["n_tokens"] for r in rows) == sum(s for _, _, s in items)
+    assert all(abs(r["n_tokens"] - r["target_tokens"]) <= r["largest"] for r in rows if not r["dry"])
+    # Until the first queue runs dry every window holds all sources.
+    dry = min(r["window"] for r in rows if r["dry"])
+    assert all(sum(r["window"] == w for r in rows) == 3 for w in range(dry))
+    natural = packing.target_shares(df, 1.0).collect()
+    assert sum(r["share"] for r in natural) == pytest.approx(1)
+
+
 # Vectors
 
 
