@@ -48,9 +48,10 @@ class HashParams:
     seed: int = 7
 
 
-#: For pairs at cosine 0.992 and above (distance 0.1265 and below): 99.96 % of 20,000
-#: random pairs at that bound meet in some table.
-NEAR = HashParams(tables=4, hashes=10, slot=0.9, probes=6)
+#: For pairs at cosine 0.992 and above (distance 0.1265 and below): of 20,000 random
+#: pairs at that bound 99 % meet in some table.  Wider slots find more of them, but fill
+#: the buckets with pairs that are merely of one kind.
+NEAR = HashParams(tables=5, hashes=14, slot=0.75, probes=8)
 
 #: For the k nearest of all vectors, at distances up to 0.5.
 WIDE = HashParams(tables=6, hashes=8, slot=1.0, probes=24)
@@ -58,9 +59,9 @@ WIDE = HashParams(tables=6, hashes=8, slot=1.0, probes=24)
 #: Least cosine (distance 0.5) of a k-th neighbour that is taken from buckets alone.
 WITHIN_COS = 0.875
 
-#: A candidate pair is dropped unread if its eight sketched projections differ by
-#: more than all but one in a million pairs at the bound (chi-square with 8 degrees).
-_CHI2_8 = 42.7
+#: A candidate pair is dropped unread if its sixteen sketched projections differ by
+#: more than all but one in a million pairs at the bound (chi-square with 16 degrees).
+_CHI2_16 = 59.2
 
 #: Steps of a sketched projection per unit; each takes one byte.
 _STEPS = 28
@@ -128,15 +129,15 @@ def bucket_keys(x: np.ndarray, p: HashParams, probes: bool) -> np.ndarray:
     return np.stack(keys, axis=2)
 
 
-def sketches(x: np.ndarray, seed: int) -> np.ndarray:
-    """Eight normal projections of each vector, a byte each, in one 64-bit integer."""
-    g = np.random.default_rng(seed + 1).normal(size=(x.shape[1], 8))
+def sketches(x: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sixteen normal projections of each vector, a byte each, in two 64-bit integers."""
+    g = np.random.default_rng(seed + 1).normal(size=(x.shape[1], 16))
     steps = np.clip(np.rint(x.astype(np.float64) @ g * _STEPS) + 128, 0, 255).astype(np.uint8)
-    return np.ascontiguousarray(steps).view("<i8").ravel()
+    return tuple(np.ascontiguousarray(steps[:, i : i + 8]).view("<i8").ravel() for i in (0, 8))
 
 
 def sketch_gap(a: str, b: str) -> Column:
-    """Summed squared difference of two sketches, in steps."""
+    """Summed squared difference of two sketch halves, in steps."""
     part = lambda c, i: F.shiftrightunsigned(c, 8 * i).bitwiseAND(255)
     total = F.lit(0)
     for i in range(8):
@@ -146,7 +147,7 @@ def sketch_gap(a: str, b: str) -> Column:
 
 
 def hashed(vectors: DataFrame, p: HashParams, probes: bool) -> DataFrame:
-    """(bucket, id, sketch): one row per table, and per probed bucket if ``probes``."""
+    """(bucket, id, s0, s1): one row per table, and per probed bucket if ``probes``, with the sketch of the vector."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -155,11 +156,11 @@ def hashed(vectors: DataFrame, p: HashParams, probes: bool) -> DataFrame:
                 x = matrix(b.column("vec").slice(lo, 2048))
                 keys = bucket_keys(x, p, probes).reshape(len(x), -1)
                 each = keys.shape[1]
-                yield pa.record_batch(
-                    {"bucket": pa.array(keys.ravel()), "id": pa.array(np.repeat(ids[lo : lo + 2048], each)), "sketch": pa.array(np.repeat(sketches(x, p.seed), each))}
-                )
+                s0, s1 = sketches(x, p.seed)
+                rows = {"bucket": keys.ravel()} | {n: np.repeat(v, each) for n, v in (("id", ids[lo : lo + 2048]), ("s0", s0), ("s1", s1))}
+                yield pa.record_batch({n: pa.array(v) for n, v in rows.items()})
 
-    return vectors.select("id", "vec").mapInArrow(run, "bucket long, id long, sketch long")
+    return vectors.select("id", "vec").mapInArrow(run, "bucket long, id long, s0 long, s1 long")
 
 
 def distinct_vectors(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -188,16 +189,16 @@ def near_pairs(vectors: DataFrame, min_cos: float, p: HashParams = NEAR) -> Data
     """
     reps, members = distinct_vectors(vectors)
     reps, members = cut(reps, "reps"), cut(members, "members")
-    index = cut(hashed(reps, p, probes=False), "index").toDF("bucket", "b", "sb")
-    query = hashed(reps, p, probes=True).toDF("bucket", "a", "sa")
+    index = cut(hashed(reps, p, probes=False), "index").toDF("bucket", "b", "b0", "b1")
+    query = hashed(reps, p, probes=True).toDF("bucket", "a", "a0", "a1")
     # A large bucket is many places: its rows in blocks, each before every block of its probes.
     parts = F.ceil(F.count(F.lit(1)) / F.lit(float(PAIR_BLOCK_ROWS))).cast("int")
     large = cut(index.groupBy("bucket").agg(parts.alias("parts")).where("parts > 1"), "large")
     parts, each = F.coalesce("parts", F.lit(1)), F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))
-    index = index.join(large, "bucket", "left").select("bucket", "b", "sb", F.pmod(F.xxhash64("b"), parts).cast("int").alias("i"), each.alias("j"))
-    query = query.join(large, "bucket", "left").select("bucket", "a", "sa", each.alias("i"), F.pmod(F.xxhash64("a"), parts).cast("int").alias("j"))
-    most = (np.sqrt((2 - 2 * min_cos) * _CHI2_8) * _STEPS + np.sqrt(8 / 6)) ** 2
-    met = query.join(index, ["bucket", "i", "j"]).where((F.col("a") != F.col("b")) & (sketch_gap("sa", "sb") <= float(most)))
+    index = index.join(large, "bucket", "left").select("bucket", "b", "b0", "b1", F.pmod(F.xxhash64("b"), parts).cast("int").alias("i"), each.alias("j"))
+    query = query.join(large, "bucket", "left").select("bucket", "a", "a0", "a1", each.alias("i"), F.pmod(F.xxhash64("a"), parts).cast("int").alias("j"))
+    most = float((np.sqrt((2 - 2 * min_cos) * _CHI2_16) * _STEPS + np.sqrt(16 / 6)) ** 2)
+    met = query.join(index, ["bucket", "i", "j"]).where((F.col("a") != F.col("b")) & (sketch_gap("a0", "b0") <= most) & (sketch_gap("a0", "b0") + sketch_gap("a1", "b1") <= most))
     pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     left = reps.select(F.col("id").alias("a"), F.col("vec").alias("va"))
     right = reps.select(F.col("id").alias("b"), F.col("vec").alias("vb"))
