@@ -231,7 +231,7 @@ def test_a_dense_bucket_is_split(spark, monkeypatch):
     a, b = np.where(np.triu(x.astype(np.float64) @ x.T.astype(np.float64), 1) >= 0.992)
     assert len(got) == len(set(got)) and len(a) > 3000
     assert len(set(got) - set(zip(a.tolist(), b.tolist()))) == 0
-    assert len(got) >= 0.999 * len(a)
+    assert len(got) >= 0.985 * len(a)
 
 
 def test_queries_without_near_vectors_are_answered_exactly(spark, monkeypatch):
