@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spindrift.operators.linalg import dot, literal_vector
@@ -64,6 +64,16 @@ def fit_factors(obs: DataFrame, k: int, rounds: int = 100, seed: int = 0, tol: f
     return w, errors
 
 
+def save_factors(spark: SparkSession, w: np.ndarray, path: str) -> None:
+    """Keep a factor (k, d) as a table (component, values)."""
+    spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(w)], "component int, values array<double>").write.mode("overwrite").parquet(path)
+
+
+def load_factors(spark: SparkSession, path: str) -> np.ndarray:
+    """A factor kept by ``save_factors``."""
+    return np.array([r["values"] for r in spark.read.parquet(path).orderBy("component").collect()])
+
+
 def transfer_coefficients(obs: DataFrame, w: np.ndarray) -> DataFrame:
     """``obs`` with ``h`` (k numbers), ``component`` (place of the first largest) and ``error`` (mean squared) for a given factor."""
 

@@ -92,6 +92,17 @@ def feature_sums(obs: DataFrame, keys: Sequence[str], weight: Column | None = No
     return lists.select(*[F.col(o).alias(k) for o, k in zip(own, names, strict=True)], "n", "w", F.col("s.x").alias("s"))
 
 
+def transpose(rows: DataFrame, key: str, values: str) -> DataFrame:
+    """(place, keys, values): the columns of a matrix given by rows (key, array), each with its rows' keys in order.
+
+    As many keys as the matrix has rows come together for each place: for tall
+    matrices leave the cells as (key, place, value), where a transpose is a renaming.
+    """
+    cells = rows.select(F.col(key).alias("k"), F.posexplode(values).alias("place", "v"))
+    lists = cells.groupBy("place").agg(F.array_sort(F.collect_list(F.struct("k", "v"))).alias("l"))
+    return lists.select("place", F.col("l.k").alias("keys"), F.col("l.v").alias("values"))
+
+
 def centre(obs: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Features minus the mean features of their group."""
     means = feature_sums(obs, keys).select(*keys, F.transform("s", lambda x: x / F.col("n")).alias("_mean"))

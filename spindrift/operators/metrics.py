@@ -29,6 +29,17 @@ def sign_error(df: DataFrame, pred: str, true: str, keys: Sequence[str] = ()) ->
     return df.groupBy(*keys).agg(F.least(wrong, flipped).alias("error"))
 
 
+def signum_error(df: DataFrame, pred: str, true: str, keys: Sequence[str] = ()) -> DataFrame:
+    """As ``sign_error`` after taking the signs of both columns; 0 stays 0."""
+    signs = df.withColumn("_p", F.signum(F.col(pred).cast("double"))).withColumn("_t", F.signum(F.col(true).cast("double")))
+    return sign_error(signs, "_p", "_t", keys)
+
+
+def match_rate(df: DataFrame, a: str, b: str, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, rate): share of rows on which two columns are exactly equal."""
+    return df.groupBy(*keys).agg(F.avg((F.col(a) == F.col(b)).cast("double")).alias("rate"))
+
+
 def contrast_error(table: DataFrame, a: int, b: int, keys: Sequence[str] = ()) -> DataFrame:
     """(keys, error): among rows of true label a or b, the share wrong under the best map of predictions to a and b."""
     best = table.where(F.col("true").isin(a, b)).groupBy(*keys, "pred").agg(F.max("n").alias("m"), F.sum("n").alias("n"))
@@ -139,6 +150,24 @@ def matched_accuracy(table: DataFrame, keys: Sequence[str]) -> DataFrame:
     return table.groupBy(*keys).applyInPandas(best, f"{kinds}, accuracy double")
 
 
+def reassignment(table: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, pred, true, n): the true label that each predicted one is given on the best one-to-one map, and their common rows.
+
+    Predicted labels beyond the number of true ones are given none (null).
+    """
+    kinds = dict(table.dtypes)
+
+    def best(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        (p, pred), (t, true) = (pd.factorize(pdf[c], sort=True) for c in ("pred", "true"))
+        m = np.zeros((max(len(pred), len(true)),) * 2)
+        m[p, t] = pdf["n"]
+        to = assign_labels(m)
+        rows = [[*key, pred[i], true[to[i]] if to[i] < len(true) else None, int(m[i, to[i]])] for i in range(len(pred))]
+        return pd.DataFrame(rows, columns=[*keys, "pred", "true", "n"]).astype({"true": "Int64"} if kinds["true"] in ("int", "bigint") else {})
+
+    return table.groupBy(*keys).applyInPandas(best, ", ".join(f"`{k}` {kinds[k]}" for k in (*keys, "pred", "true")) + ", n long")
+
+
 def scores(df: DataFrame, pred: str, true: str, keys: Sequence[str]) -> DataFrame:
     """(keys, accuracy, ari, homogeneity, completeness, v_measure) of every group of runs."""
     table = contingency(df, pred, true, keys)

@@ -44,17 +44,20 @@ def size_grid(n: int, least: int = 10, points: int = 8) -> list[int]:
     return sorted({round(least * (n / least) ** (i / (points - 1))) for i in range(points)})
 
 
-def split_sides(rows: DataFrame, label: str, mode: str, share: float = 0.5, n_shared: int = 0, seed: int = 0) -> DataFrame:
+def split_sides(rows: DataFrame, label: str, mode: str, share: float = 0.5, n_shared: int = 0, seed: int = 0, given: Sequence = ()) -> DataFrame:
     """``rows`` with ``side``, ``source`` or ``target``.
 
     ``random``: a share of all rows is the source.  ``stratified``: that share of
     every label.  ``exclusive``: as before, but one label is in the source only and
     another in the target only.  ``disjoint``: every label is on one side.
-    ``shared``: ``n_shared`` labels are on both sides, the others on one.  Labels take
+    ``shared``: ``n_shared`` labels are on both sides, the others on one.  ``given``:
+    the labels in ``given`` are the source, all others the target.  Labels take
     their roles in the order of a hash; a null label is one more label.
     """
     if mode == "random":
         return _sided(draw(rows.withColumn("_all", F.lit(1)), ["_all"], share, 0, seed).drop("_all"), F.col("drawn"))
+    if mode == "given":
+        return _sided(rows.withColumn("drawn", F.coalesce(F.col(label).isin(list(given)), F.lit(False))), F.col("drawn"))
     drawn = draw(rows, [label], share, 1, seed)
     if mode == "stratified":
         return _sided(drawn, F.col("drawn"))

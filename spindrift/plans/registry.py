@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spindrift.plans import comparisons, files, matrix, problems, reports
+from spindrift.plans import comparisons, files, matrix, problems, relations, reports
 from spindrift.streaming import scoring
 
-_MODULES = [problems, reports, matrix, files, comparisons, scoring]
+_MODULES = [problems, reports, matrix, relations, files, comparisons, scoring]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
