@@ -21,7 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spindrift.llm.vectors import matrix
@@ -136,16 +136,6 @@ def sketches(x: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
     return tuple(np.ascontiguousarray(steps[:, i : i + 8]).view("<i8").ravel() for i in (0, 8))
 
 
-def sketch_gap(a: str, b: str) -> Column:
-    """Summed squared difference of two sketch halves, in steps."""
-    part = lambda c, i: F.shiftrightunsigned(c, 8 * i).bitwiseAND(255)
-    total = F.lit(0)
-    for i in range(8):
-        d = part(a, i) - part(b, i)
-        total = total + d * d
-    return total
-
-
 def hashed(vectors: DataFrame, p: HashParams, probes: bool) -> DataFrame:
     """(bucket, id, s0, s1): one row per table, and per probed bucket if ``probes``, with the sketch of the vector."""
 
@@ -178,6 +168,57 @@ def distinct_vectors(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     return reps, members
 
 
+#: Candidate pairs whose sketches are compared at once.
+_PAIRS_AT_ONCE = 1 << 19
+
+
+def _sifted(rows: DataFrame, min_cos: float) -> DataFrame:
+    """(a, b), a < b: probes (kind 0) and kept rows (kind 1) of a block whose sketches lie near each other; pairs may repeat."""
+    most = (np.sqrt((2 - 2 * min_cos) * _CHI2_16) * _STEPS + np.sqrt(16 / 6)) ** 2
+    rows = rows.repartition("block").sortWithinPartitions("block", "kind")
+
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            # The last block may go on in the next batch.
+            block = b.column("block").to_numpy(zero_copy_only=False)
+            last = int(np.flatnonzero(block != block[-1])[-1]) + 1 if (block != block[-1]).any() else 0
+            if last or (held and held[-1].column("block")[-1].as_py() != block[0]):
+                yield from compare(held + [b.slice(0, last)])
+                held = []
+            held.append(b.slice(last))
+        yield from compare(held)
+
+    def compare(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = pa.Table.from_batches(parts) if parts else None
+        if whole is None or not whole.num_rows:
+            return
+        block, kind, ids, s0, s1 = (whole.column(c).to_numpy() for c in ("block", "kind", "id", "s0", "s1"))
+        steps = np.stack([s0, s1], axis=1).view(np.uint8).astype(np.int16)
+        starts = np.concatenate([[0], np.flatnonzero(block[1:] != block[:-1]) + 1, [len(block)]])
+        n_query = np.add.reduceat((kind == 0).astype(np.int64), starts[:-1])
+        group = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+        query = np.flatnonzero(kind == 0)
+        first, n = (starts[:-1] + n_query)[group[query]], (np.diff(starts) - n_query)[group[query]]
+        upto = np.cumsum(n)
+        lo = 0
+        while lo < len(query):
+            hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + _PAIRS_AT_ONCE, side="right")))
+            each = n[lo:hi]
+            left = np.repeat(query[lo:hi], each)
+            right = np.arange(len(left)) - np.repeat(np.cumsum(each) - each, each) + np.repeat(first[lo:hi], each)
+            gap = steps[left] - steps[right]
+            near = np.flatnonzero((np.einsum("ij,ij->i", gap, gap, dtype=np.int32) <= most) & (ids[left] != ids[right]))
+            a, b = ids[left[near]], ids[right[near]]
+            once = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+            yield pa.record_batch({"a": pa.array(once[:, 0]), "b": pa.array(once[:, 1])})
+            lo = hi
+
+    return rows.mapInArrow(sift, "a long, b long")
+
+
 def near_pairs(vectors: DataFrame, min_cos: float, p: HashParams = NEAR) -> DataFrame:
     """(id_a, id_b, cos), id_a < id_b: pairs of unit vectors (id, vec) with a cosine of at least ``min_cos``.
 
@@ -195,11 +236,11 @@ def near_pairs(vectors: DataFrame, min_cos: float, p: HashParams = NEAR) -> Data
     parts = F.ceil(F.count(F.lit(1)) / F.lit(float(PAIR_BLOCK_ROWS))).cast("int")
     large = cut(index.groupBy("bucket").agg(parts.alias("parts")).where("parts > 1"), "large")
     parts, each = F.coalesce("parts", F.lit(1)), F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))
-    index = index.join(large, "bucket", "left").select("bucket", "b", "b0", "b1", F.pmod(F.xxhash64("b"), parts).cast("int").alias("i"), each.alias("j"))
-    query = query.join(large, "bucket", "left").select("bucket", "a", "a0", "a1", each.alias("i"), F.pmod(F.xxhash64("a"), parts).cast("int").alias("j"))
-    most = float((np.sqrt((2 - 2 * min_cos) * _CHI2_16) * _STEPS + np.sqrt(16 / 6)) ** 2)
-    met = query.join(index, ["bucket", "i", "j"]).where((F.col("a") != F.col("b")) & (sketch_gap("a0", "b0") <= most) & (sketch_gap("a0", "b0") + sketch_gap("a1", "b1") <= most))
-    pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    index = index.join(large, "bucket", "left").select("bucket", "b", "b0", "b1", F.pmod(F.xxhash64("b"), parts).cast("int").alias("i"), each.alias("j"), F.lit(1).alias("kind"))
+    query = query.join(large, "bucket", "left").select("bucket", "a", "a0", "a1", each.alias("i"), F.pmod(F.xxhash64("a"), parts).cast("int").alias("j"), F.lit(0).alias("kind"))
+    block = F.when((F.col("i") == 0) & (F.col("j") == 0), F.col("bucket")).otherwise(F.xxhash64("bucket", "i", "j"))
+    rows = query.toDF("bucket", "id", "s0", "s1", "i", "j", "kind").unionByName(index.toDF("bucket", "id", "s0", "s1", "i", "j", "kind"))
+    pairs = _sifted(rows.select(block.alias("block"), "kind", "id", "s0", "s1"), min_cos).distinct()
     left = reps.select(F.col("id").alias("a"), F.col("vec").alias("va"))
     right = reps.select(F.col("id").alias("b"), F.col("vec").alias("vb"))
     both = pairs.join(left, "a").join(right, "b")
