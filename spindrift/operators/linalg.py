@@ -30,7 +30,10 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def literal_vector(v: Sequence[float]) -> Column:
-    return F.array(*[F.lit(float(x)) for x in v])
+    """A constant array.  It is written as one text, so that a plan stays small however many features there are."""
+    if not len(v):
+        return F.array().cast("array<double>")
+    return F.split(F.lit(",".join(repr(float(x)) for x in v)), ",").cast("array<double>")
 
 
 def dimension(obs: DataFrame) -> int:

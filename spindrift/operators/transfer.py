@@ -10,7 +10,7 @@ made, since G v = X (X' v) needs only two passes of sums.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -59,26 +59,70 @@ def _score(v: np.ndarray) -> Column:
     return dot(F.col("features"), literal_vector(v))
 
 
+def _hollow_signs(steps: Sequence[np.ndarray]) -> Column:
+    """Signs of the rows' places on the first vector, turned by each further one: the sign of x.w - |x|^2 z.  The vectors travel as data."""
+
+    @F.pandas_udf("int")
+    def signs(features: pd.Series) -> pd.Series:
+        if not len(features):
+            return pd.Series([], dtype="int32")
+        x = np.stack(features.to_numpy())
+        own = (x * x).sum(1)
+        z = np.where(x @ steps[0] >= 0, 1.0, -1.0)
+        for w in steps[1:]:
+            z = np.where(x @ w - own * z >= 0, 1.0, -1.0)
+        return pd.Series(z.astype("int32"))
+
+    return signs(F.col("features"))
+
+
+#: Steps towards the leading eigenvector of the Gram matrix without its diagonal.
+_START_STEPS = 8
+
+
+def hollow_start(side: Side) -> np.ndarray:
+    """A vector w with which the signs of x.w are those of the leading eigenvector of the rows' Gram matrix without its diagonal.
+
+    Where u is that eigenvector and m its value, u(x) = x.w / (m + |x|^2) with w the
+    sum of u(x) x; so w is found by weighted sums of rows, each pass with the m of
+    the one before.  m, the greatest eigenvalue of a matrix of trace 0, is not below 0.
+    """
+    v, s2 = top_directions(side.moment)
+    w, m = v[:, 0], max(float(s2[0]) - np.trace(side.moment) / side.n, 0.0)
+    for _ in range(_START_STEPS):
+        own = dot(F.col("features"), F.col("features"))
+        placed = side.rows.select("features", (_score(w) / F.greatest(own + F.lit(float(m)), F.lit(1e-12))).alias("_u"), own.alias("_own"))
+        placed = placed.select(F.concat("features", F.array(F.col("_u"), F.col("_own") * F.col("_u"))).alias("features"), "_u")
+        got = feature_sums(placed, [], F.col("_u"), side.d + 2).first()["s"]
+        new, norm2, diagonal = np.array(got[: side.d]), got[side.d], got[side.d + 1]
+        if norm2 <= 0:
+            break
+        m = max(float(new @ new - diagonal) / norm2, 0.0)
+        new = new / np.linalg.norm(new)
+        close = abs(float(new @ w)) >= 1 - 1e-10
+        w = new
+        if close:
+            break
+    return w * (-1.0 if w[np.abs(w).argmax()] < 0 else 1.0)
+
+
 def spectral_signs(side: Side, n_iter: int | None = None) -> Column:
     """Signs of the rows by power steps on their Gram matrix without its diagonal.
 
-    Starts from the leading right singular vector.  A step maps signs z to those of
+    Starts from the signs of its leading eigenvector.  A step maps signs z to those of
     (X X' - diag) z: row x gets the sign of x.(X'z) - |x|^2 z(x), and X'z is one
-    weighted sum of rows.  So z stays an expression of the row and the vectors of
-    the steps before.  At most floor(3 ln n) steps are taken; they end when X'z
-    repeats.
+    weighted sum of rows.  So z is a function of the row and the vectors of the steps
+    before.  At most floor(3 ln n) steps are taken; they end when X'z repeats.
     """
     if side.n < 2:
         raise ValueError("at least two rows are needed")
-    z = sign_no_zero(_score(top_directions(side.moment)[0][:, 0]))
-    own = dot(F.col("features"), F.col("features"))
-    before = None
+    steps = [hollow_start(side)]
     for _ in range(math.floor(3 * math.log(side.n)) if n_iter is None else n_iter):
-        w = np.array(feature_sums(side.rows, [], z, side.d).first()["s"])
-        if before is not None and np.allclose(w, before, rtol=1e-9, atol=1e-9 * max(1.0, float(np.abs(w).max()))):
+        w = np.array(feature_sums(side.rows, [], _hollow_signs(steps), side.d).first()["s"])
+        if len(steps) > 1 and np.allclose(w, steps[-1], rtol=1e-9, atol=1e-9 * max(1.0, float(np.abs(w).max()))):
             break
-        z, before = sign_no_zero(_score(w) - own * z), w
-    return z
+        steps.append(w)
+    return _hollow_signs(steps)
 
 
 def direction(side: Side) -> np.ndarray:
@@ -129,12 +173,16 @@ def pooled(target: Side, sources: Sequence[Side], scale: str = "none", restrict_
 
 def raw_pooled(target: Side, sources: Sequence[Side]) -> Column:
     """Signs from all rows of target and sources put together."""
-    rows = target.rows
+    return spectral_signs(_pool(target, sources))
+
+
+def _pool(target: Side, sources: Sequence[Side]) -> Side:
+    """All rows as one dataset: sums and moments add up."""
+    rows = target.rows.select("row_id", "features")
     for s in sources:
-        rows = rows.unionByName(s.rows)
+        rows = rows.unionByName(s.rows.select("row_id", "features"))
     every = (target, *sources)
-    both = Side("pooled", rows, sum(s.moment for s in every), sum(s.total for s in every), sum(s.n for s in every))
-    return spectral_signs(both)
+    return Side("pooled", rows, sum(s.moment for s in every), sum(s.total for s in every), sum(s.n for s in every))
 
 
 def noise_variance(side: Side, rank: int = 1) -> float:
@@ -158,15 +206,16 @@ def recovery_threshold(d: int, n: int, sigma2: float = 1.0) -> float:
     return max(1.0, (d / n) ** 0.25) * math.sqrt(sigma2)
 
 
-def adaptive(target: Side, sources: Sequence[Side], c0: float = 1.0, choice: str | None = None) -> tuple[Column, str, float]:
+def adaptive(target: Side, sources: Sequence[Side], c0: float = 1.0, choice: str | None = None, sigma2: float | None = None) -> tuple[Column, str, float]:
     """(signs, branch, statistic): the target's own signs if their statistic passes the threshold, else the sources'.
 
     ``choice`` names the branch instead; the other one is then never computed.
+    Without ``sigma2`` the noise is what the first singular vector leaves.
     """
     if choice == "source":
         return source_based(target, sources), "source", float("nan")
     own = target_only(target)
-    sigma2 = noise_variance(target)
+    sigma2 = noise_variance(target) if sigma2 is None else sigma2
     t = validation_statistic(target, own, sigma2)
     if choice == "target" or (choice is None and abs(t) > validation_threshold(sigma2, target.d, target.n, c0)):
         return own, "target", t
@@ -322,25 +371,40 @@ def spectral_means(side: Side, k: int, seed: int = 0, steps: int = 20) -> np.nda
     return group_means(_named(side), [(side, np.eye(side.d))], k, seed, steps)[0]
 
 
-def _means_basis(target: Side, found: Sequence[np.ndarray], scale: str) -> np.ndarray:
-    """Basis (d, r) of the span of several datasets' means (k, d)."""
+def estimated_means(rows: DataFrame, wanted: Sequence[Side], k: int, seed: int = 0) -> list[np.ndarray]:
+    """(k, d) for each side, whose span holds its groups' means.
+
+    With fewer rows than features the means of k-means groups; else the k leading
+    right singular vectors, which need no pass.
+    """
+    few = [s for s in wanted if s.n < s.d]
+    found = dict(zip([s.name for s in few], group_means(rows, [(s, np.eye(s.d)) for s in few], k, seed), strict=True)) if few else {}
+    return [found[s.name] if s.name in found else top_directions(s.moment, k)[0].T for s in wanted]
+
+
+def _means_basis(target: Side, found: Sequence[np.ndarray], scale: str, max_rank: int | None = None) -> np.ndarray:
+    """Basis (d, r) of the span of several datasets' means (k, d); ``scale``: ``unit`` length, ``std`` or ``none``."""
     turned = [m.T for m in found]
     if scale == "std":
         turned = [np.column_stack([std_scale(c, target.moment, target.total, target.n) for c in m.T]) for m in turned]
-    return subspace_basis(turned, normalize=scale != "std")
+    return subspace_basis(turned, max_rank=max_rank, normalize=scale == "unit")
 
 
-def source_means_labels(target: Side, sources: Sequence[Side], k: int, with_target: bool = False, scale: str = "none", seed: int = 0) -> Column:
-    """Labels 0..k-1 of the target, grouped within the span of the sources' (and its own) means."""
+def source_means_labels(target: Side, sources: Sequence[Side], k: int, with_target: bool = False, scale: str = "unit", seed: int = 0, restrict_rank: bool = False) -> Column:
+    """Labels 0..k-1 of the target, grouped within the span of the sources' (and its own) means, of rank k at most if restricted."""
     every = ((target,) if with_target else ()) + tuple(sources)
     if not every:
         raise ValueError("a source is needed")
-    basis = _means_basis(target, [spectral_means(s, k, seed) for s in every], scale)
+    rows = _named(every[0])
+    for s in every[1:]:
+        rows = rows.unionByName(_named(s))
+    basis = _means_basis(target, estimated_means(rows, every, k, seed), scale, k if restrict_rank else None)
     return nearest_mean(group_means(_named(target), [(target, basis)], k, seed)[0])
 
 
-def target_means_labels(target: Side, k: int, seed: int = 0) -> Column:
-    return nearest_mean(spectral_means(target, k, seed))
+def raw_pooled_labels(target: Side, sources: Sequence[Side], k: int, seed: int = 0) -> Column:
+    """Labels 0..k-1 of the target from the groups of all rows of target and sources put together."""
+    return nearest_mean(spectral_means(_pool(target, sources), k, seed))
 
 
 def validation_statistic_groups(means: np.ndarray, sizes: np.ndarray, sigma2: float) -> float:
@@ -354,20 +418,20 @@ def validation_threshold_groups(sigma2: float, d: int, k: int, n: int, d0: float
     return d0 * k * sigma2 * (math.sqrt(d * k / n) + 1)
 
 
-def _own_suffice(target: Side, means: np.ndarray, sizes: np.ndarray, k: int, d0: float) -> bool:
+def _own_suffice(target: Side, means: np.ndarray, sizes: np.ndarray, k: int, d0: float, sigma2: float | None = None) -> bool:
     """Whether the target's own groups pass the threshold."""
-    sigma2 = max(noise_variance(target, k), 0.0)
+    sigma2 = max(noise_variance(target, k), 0.0) if sigma2 is None else sigma2
     return validation_statistic_groups(means, sizes, sigma2) > validation_threshold_groups(sigma2, target.d, k, target.n, d0)
 
 
-def adaptive_groups(target: Side, sources: Sequence[Side], k: int, d0: float = 1.0, choice: str | None = None, seed: int = 0) -> tuple[Column, str]:
+def adaptive_groups(target: Side, sources: Sequence[Side], k: int, d0: float = 1.0, choice: str | None = None, seed: int = 0, sigma2: float | None = None) -> tuple[Column, str]:
     """(labels, branch) for more than two groups; only the branch that is chosen, or needed to choose, is computed."""
     if choice == "source":
         return source_means_labels(target, sources, k, seed=seed), "source"
     means = spectral_means(target, k, seed)
     if choice != "target":
         sizes = _near_sums(_named(target), [(target.name, np.eye(target.d), means)], target.d)[0][1]
-    if choice == "target" or _own_suffice(target, means, sizes, k, d0):
+    if choice == "target" or _own_suffice(target, means, sizes, k, d0, sigma2):
         return nearest_mean(means), "target"
     return source_means_labels(target, sources, k, seed=seed), "source"
 
@@ -381,14 +445,15 @@ def compare_groups(rows: DataFrame, found: Mapping[str, Side], targets: Mapping[
     """
     d = next(iter(found.values())).d
     needed = list(dict.fromkeys([*targets, *(s for v in targets.values() for s in v)]))
-    own = dict(zip(needed, group_means(rows, [(found[s], np.eye(d)) for s in needed], k, seed), strict=True))
+    own = dict(zip(targets, group_means(rows, [(found[t], np.eye(d)) for t in targets], k, seed), strict=True)) if {"target", "adaptive"} & set(methods) else {}
+    spans = dict(zip(needed, estimated_means(rows, [found[s] for s in needed], k, seed), strict=True))
     inner = []
     for t, sources in targets.items():
         wanted = {"source" if m == "adaptive" else m for m in methods if m != "target"}
         for m in sorted(wanted):
             with_target = [t] if m != "source" else []
-            inner.append((t, m, _means_basis(found[t], [own[s] for s in (*with_target, *sources)], "std" if m == "pooled_std" else "none")))
-    means = {(t, "target"): own[t] for t in targets}
+            inner.append((t, m, _means_basis(found[t], [spans[s] for s in (*with_target, *sources)], "std" if m == "pooled_std" else "unit")))
+    means = {(t, "target"): own[t] for t in own}
     if inner:
         means |= {(t, m): c for (t, m, _), c in zip(inner, group_means(rows, [(found[t], b) for t, _, b in inner], k, seed), strict=True)}
     if "adaptive" in methods:
@@ -412,33 +477,41 @@ class AssistedClustering:
     """``fit_predict(obs, target, sources)``: labels (row_id, label) of the target's rows.
 
     ``k`` groups; ``method`` is ``adaptive``, ``target``, ``source``, ``pooled``,
-    ``pooled_std`` or ``raw_pooled`` (the last for two groups only).
+    ``pooled_std`` or ``raw_pooled``, or a function of your own from (target, sources,
+    k) to a label column.  ``constant`` scales the threshold of the adaptive choice,
+    ``sigma2`` gives the noise instead of its estimate; ``restrict_rank`` confines
+    pooled directions to one, or means to k.
     """
 
     METHODS = ("adaptive", "target", "source", "pooled", "pooled_std", "raw_pooled")
 
-    def __init__(self, k: int = 2, method: str = "adaptive", constant: float = 1.0, seed: int = 0) -> None:
+    def __init__(self, k: int = 2, method: str | Callable = "adaptive", constant: float = 1.0, seed: int = 0, sigma2: float | None = None, restrict_rank: bool = False) -> None:
         if k < 2:
             raise ValueError("at least two groups are needed")
-        if method not in self.METHODS:
+        if not callable(method) and method not in self.METHODS:
             raise ValueError(f"unknown method {method}")
         self.k, self.method, self.constant, self.seed = k, method, constant, seed
+        self.sigma2, self.restrict_rank = sigma2, restrict_rank
         self.branch_: str | None = None
 
     def labels(self, target: Side, sources: Sequence[Side]) -> Column:
+        if callable(self.method):
+            self.branch_ = getattr(self.method, "__name__", "own")
+            return self.method(target, sources, self.k)
         choice = {"adaptive": None, "target": "target", "source": "source"}.get(self.method)
         if self.method in ("adaptive", "target", "source"):
             if self.k == 2:
-                z, self.branch_, _ = adaptive(target, sources, self.constant, choice)
+                z, self.branch_, _ = adaptive(target, sources, self.constant, choice, self.sigma2)
                 return z
-            z, self.branch_ = adaptive_groups(target, sources, self.k, self.constant, choice, self.seed)
+            z, self.branch_ = adaptive_groups(target, sources, self.k, self.constant, choice, self.seed, self.sigma2)
             return z
         self.branch_ = self.method
-        if self.k > 2:
-            return source_means_labels(target, sources, self.k, with_target=True, scale="std" if self.method == "pooled_std" else "none", seed=self.seed)
         if self.method == "raw_pooled":
-            return raw_pooled(target, sources)
-        return pooled(target, sources, scale="std" if self.method == "pooled_std" else "none")
+            return raw_pooled(target, sources) if self.k == 2 else raw_pooled_labels(target, sources, self.k, self.seed)
+        scale = "std" if self.method == "pooled_std" else "none"
+        if self.k > 2:
+            return source_means_labels(target, sources, self.k, with_target=True, scale="std" if scale == "std" else "unit", seed=self.seed, restrict_rank=self.restrict_rank)
+        return pooled(target, sources, scale=scale, restrict_rank=self.restrict_rank)
 
     def fit_predict(self, obs: DataFrame, target: str, sources: Sequence[str]) -> DataFrame:
         dimension(obs)

@@ -281,7 +281,11 @@ def m_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = cut(linalg.centre(observations(spark, sf_dir).where("label is not null"), ["dataset"]), "groups")
     k = rows.select("label").distinct().count()
     methods = ("adaptive", "target", "source", "pooled", "pooled_std")
-    out = transfer.compare_groups(rows, transfer.sides(rows), {"target": ["source"]}, k, methods, "label")
+    found = transfer.sides(rows)
+    out = transfer.compare_groups(rows, found, {"target": ["source"]}, k, methods, "label")
+    target = found["target"]
+    raw = transfer.AssistedClustering(k, "raw_pooled").labels(target, [found["source"]])
+    out = out.unionByName(target.rows.select(F.lit("target").alias("target"), F.lit("raw_pooled").alias("method"), "label", raw.alias("k")))
     return metrics.scores(out, "k", "label", ["method"])
 
 

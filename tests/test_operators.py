@@ -143,7 +143,9 @@ def test_spectral_signs_are_those_of_the_hollow_gram(spark):
     got = np.array([r[0] for r in t.rows.orderBy("row_id").select(transfer.target_only(t)).collect()])
     b = x @ x.T
     np.fill_diagonal(b, 0)
-    z = np.where(np.linalg.svd(x)[2][0] @ x.T < 0, -1, 1)
+    z = np.where(np.linalg.eigh(b)[1][:, -1] < 0, -1, 1)
+    start = np.where(x @ transfer.hollow_start(t) < 0, -1, 1)
+    assert (start == z).all() or (start == -z).all()
     for _ in range(math.floor(3 * math.log(len(x)))):
         z = np.where(b @ z < 0, -1, 1)
     assert (got == z).all() or (got == -z).all()
@@ -172,7 +174,7 @@ def test_strong_targets_are_recovered(spark, method):
         assert model.branch_ == "target"
 
 
-@pytest.mark.parametrize("method", ["adaptive", "source", "pooled"])
+@pytest.mark.parametrize("method", ["adaptive", "source", "pooled", "raw_pooled"])
 def test_three_groups(spark, method):
     rng = np.random.default_rng(8)
     means = 6 * np.linalg.qr(rng.normal(size=(8, 3)))[0].T
@@ -185,6 +187,39 @@ def test_three_groups(spark, method):
     assert metrics.scores(out, "label", "k", ["run"]).first()["accuracy"] > 0.9
 
 
+def test_estimated_means_follow_the_shape(spark):
+    rng = np.random.default_rng(17)
+    tall, wide = rng.normal(size=(40, 6)), rng.normal(size=(5, 6))
+    rows = [("tall", i, r.tolist()) for i, r in enumerate(tall)] + [("wide", 100 + i, r.tolist()) for i, r in enumerate(wide)]
+    df = spark.createDataFrame(rows, "dataset string, row_id long, features array<double>")
+    found = transfer.sides(df)
+    a, b = transfer.estimated_means(df, [found["tall"], found["wide"]], 2)
+    top = np.linalg.svd(tall, full_matrices=False)[2][:2]
+    assert np.abs(np.abs((a * top).sum(1)) - 1).max() < 1e-8
+    # Means of the wide dataset's groups are averages of its rows.
+    assert np.linalg.matrix_rank(np.vstack([wide, b])) == 5
+
+
+def test_given_noise_and_own_methods(spark):
+    df, _ = setup(spark, 80, 120, 20, strong=True)
+    found = transfer.sides(df)
+    t, s = found["target"], [found["source"]]
+    assert transfer.adaptive(t, s, sigma2=1e9)[1] == "source" and transfer.adaptive(t, s, sigma2=1e-9)[1] == "target"
+    model = transfer.AssistedClustering(2, lambda target, sources, k: transfer.target_only(target))
+    assert model.fit_predict(df, "target", ["source"]).count() == t.n
+
+
+def test_plans_do_not_grow_with_the_features(spark):
+    """2,000 features: the vectors travel as data or as one constant, not as one literal per feature."""
+    rng = np.random.default_rng(18)
+    v = rng.normal(size=2000)
+    df = obs(spark, rng.normal(size=(20, 2000)))
+    got = linalg.project(df, np.column_stack([v, v]))
+    assert got._jdf.queryExecution().analyzed().toString().count("cast(") <= 4
+    x = np.array([r["features"] for r in df.orderBy("row_id").collect()])
+    assert np.allclose([r["projected"][0] for r in got.orderBy("row_id").collect()], x @ v)
+
+
 def test_bad_arguments():
     with pytest.raises(ValueError):
         transfer.AssistedClustering(1)
@@ -262,4 +297,4 @@ def test_batches_and_methods_keep_all_labelled_cells(spark, sf):
     # A label may lie in cells without a batch only.
     assert min(r["n_labels"] for r in got) >= 0.9 * cells.select("label").distinct().count()
     assert sum(r["n_target"] for r in got if r["method"] == "target") > 0.9 * cells.count()
-    assert matrix.m_methods(spark, sf).count() == 5
+    assert matrix.m_methods(spark, sf).count() == 6
