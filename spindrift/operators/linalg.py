@@ -106,6 +106,40 @@ def transpose(rows: DataFrame, key: str, values: str) -> DataFrame:
     return lists.select("place", F.col("l.k").alias("keys"), F.col("l.v").alias("values"))
 
 
+def pair_distances(rows: DataFrame, key: str, values: str, block_rows: int = 2048) -> DataFrame:
+    """(i, j, euclidean, pearson, spearman), i < j: distances, 1 - correlation and 1 - rank correlation of vectors (key, array).
+
+    Vectors meet in blocks, each two blocks once, as matrices; the result has one row
+    per pair, so this is for means and the like, not for all rows.  A constant vector
+    has no correlation (NaN).
+    """
+    numbered = rows.select(F.col(key).alias("k"), F.col(values).alias("v")).where("k is not null and v is not null")
+    blocks = max(1, -(-numbered.count() // block_rows))
+    mine = numbered.withColumn("b", F.pmod(F.xxhash64("k"), F.lit(blocks)).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    met = mine.select("k", "v", "b", other.alias("o")).select("k", "v", "b", F.least("b", "o").alias("p"), F.greatest("b", "o").alias("q"))
+    kind = dict(numbered.dtypes)["k"]
+
+    def standard(x: np.ndarray) -> np.ndarray:
+        low = x - x.mean(1, keepdims=True)
+        with np.errstate(invalid="ignore"):
+            return low / np.linalg.norm(low, axis=1, keepdims=True)
+
+    def compare(pq: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b = pdf[pdf["b"] == pq[0]], pdf[pdf["b"] == pq[1]]
+        if not len(a) or not len(b):
+            return pd.DataFrame({"i": [], "j": [], "euclidean": [], "pearson": [], "spearman": []})
+        x, y = np.stack(a["v"].to_numpy()).astype(float), np.stack(b["v"].to_numpy()).astype(float)
+        ranks = [pd.DataFrame(m).rank(axis=1).to_numpy() for m in (x, y)]
+        gap = np.sqrt(np.maximum(((x[:, None] - y[None]) ** 2).sum(2), 0)) if len(x) * len(y) * x.shape[1] < 1 << 24 else np.stack([np.linalg.norm(y - r, axis=1) for r in x])
+        ki, kj = np.meshgrid(a["k"].to_numpy(), b["k"].to_numpy(), indexing="ij")
+        keep = ki < kj if pq[0] == pq[1] else ki != kj
+        i, j = np.where(ki < kj, ki, kj)[keep], np.where(ki < kj, kj, ki)[keep]
+        return pd.DataFrame({"i": i, "j": j, "euclidean": gap[keep], "pearson": (1 - standard(x) @ standard(y).T)[keep], "spearman": (1 - standard(ranks[0]) @ standard(ranks[1]).T)[keep]})
+
+    return met.groupBy("p", "q").applyInPandas(compare, f"i {kind}, j {kind}, euclidean double, pearson double, spearman double")
+
+
 def centre(obs: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Features minus the mean features of their group."""
     means = feature_sums(obs, keys).select(*keys, F.transform("s", lambda x: x / F.col("n")).alias("_mean"))

@@ -103,14 +103,38 @@ def held_out_likelihood(rows: DataFrame, jobs: Sequence[Job], sigma2: float) ->
     """Expected log-likelihood per row of each job's rows, with means given by the slopes from a first group at 0."""
 
     def what(x: np.ndarray, job: Job) -> np.ndarray:
-        means = np.vstack([np.zeros(x.shape[1]), job.model.slopes * sigma2])
-        gap = (x * x).sum(1)[:, None] - 2 * x @ means.T + (means**2).sum(1)
-        log_p = np.log(np.maximum(job.model.weights, 1e-12)) - x.shape[1] / 2 * math.log(2 * math.pi * sigma2) - gap / (2 * sigma2)
-        return np.array([(job.model.responsibilities(x) * log_p).sum(), len(x)])
+        return np.array([_likelihood(x, job.model, sigma2).sum(), len(x)])
 
     return [float(s / n) if n else -math.inf for s, n in _job_sums(rows, jobs, 2, what)]
 
 
+def responsibility_rows(rows: DataFrame, model: Model) -> DataFrame:
+    """``rows`` with one row per group: its number ``group`` and the responsibility ``g``."""
+
+    @F.pandas_udf("array<double>")
+    def soft(features: pd.Series) -> pd.Series:
+        return pd.Series(list(model.responsibilities(np.stack(features.to_numpy()))) if len(features) else [], dtype=object)
+
+    return rows.select("*", F.posexplode(soft(F.col("features"))).alias("group", "g"))
+
+
+def likelihood_rows(rows: DataFrame, model: Model, sigma2: float) -> DataFrame:
+    """``rows`` with ``l``, the expected log-likelihood of each."""
+
+    @F.pandas_udf("double")
+    def told(features: pd.Series) -> pd.Series:
+        return pd.Series(_likelihood(np.stack(features.to_numpy()), model, sigma2) if len(features) else [], dtype="float64")
+
+    return rows.withColumn("l", told(F.col("features")))
+
+
+def _likelihood(x: np.ndarray, model: Model, sigma2: float) -> np.ndarray:
+    means = np.vstack([np.zeros(x.shape[1]), model.slopes * sigma2])
+    gap = (x * x).sum(1)[:, None] - 2 * x @ means.T + (means**2).sum(1)
+    log_p = np.log(np.maximum(model.weights, 1e-12)) - x.shape[1] / 2 * math.log(2 * math.pi * sigma2) - gap / (2 * sigma2)
+    return (model.responsibilities(x) * log_p).sum(1)
+
+
 def geometric_median(points: np.ndarray, weights: np.ndarray, rounds: int = 25) -> np.ndarray:
     """The point of least weighted summed distance to ``points`` (n, d), by Weiszfeld's steps from their mean."""
     at = np.average(points, axis=0, weights=weights)

@@ -191,19 +191,25 @@ def noise_variance(side: Side, rank: int = 1) -> float:
     return float((np.trace(side.moment) - s2.sum()) / (side.n * side.d))
 
 
+def sum_statistic(s: Column, n: Column, d: int, sigma2: float) -> Column:
+    """|s / n|^2 - d sigma2 / n for the sum s of z x over n rows."""
+    mean = F.transform(s, lambda x: x / n)
+    return dot(mean, mean) - d * sigma2 / n
+
+
 def validation_statistic(side: Side, z: Column, sigma2: float) -> float:
     """|mean of z x|^2 - d sigma2 / n."""
-    s = np.array(feature_sums(side.rows, [], z, side.d).first()["s"]) / side.n
-    return float(s @ s - side.d * sigma2 / side.n)
+    return float(feature_sums(side.rows, [], z, side.d).select(sum_statistic(F.col("s"), F.col("n"), side.d, sigma2)).first()[0])
 
 
-def validation_threshold(sigma2: float, d: int, n: int, c0: float = 1.0) -> float:
-    return c0 * sigma2 * (1 + math.sqrt(d / n))
+def validation_threshold(sigma2: float, d: int, n: int | Column, c0: float = 1.0) -> float | Column:
+    return c0 * sigma2 * (1 + (d / n) ** 0.5)
 
 
-def recovery_threshold(d: int, n: int, sigma2: float = 1.0) -> float:
+def recovery_threshold(d: int, n: int | Column, sigma2: float = 1.0) -> float | Column:
     """Least separation at which the target alone can be recovered."""
-    return max(1.0, (d / n) ** 0.25) * math.sqrt(sigma2)
+    least = (d / n) ** 0.25
+    return (F.greatest(F.lit(1.0), least) if isinstance(least, Column) else max(1.0, least)) * math.sqrt(sigma2)
 
 
 def adaptive(target: Side, sources: Sequence[Side], c0: float = 1.0, choice: str | None = None, sigma2: float | None = None) -> tuple[Column, str, float]:

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.operators import factors, filters, linalg, metrics, mixtures, splits, transfer
+from spindrift.functions.text import name_key
+from spindrift.operators import factors, filters, linalg, metrics, mixtures, multitask, splits, transfer
 from spindrift.operators.linalg import dot, feature_sums
 from spindrift.plans import reports
 from spindrift.plans.matrix import _EACH, _LABELLED, _OBS, DIM, contrast, labelled, observations
@@ -15,6 +17,9 @@ from spindrift.session import cut
 PARTS = 4
 SIGMA2 = 0.02
 
+#: Variance of the model in the multi-task queries.
+MULTI_SIGMA2 = 0.05
+
 
 def q3_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Least error over all renamings of three groups, per batch."""
@@ -41,34 +46,82 @@ def g4_mixtures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.sign_error(out, "z_hat", "z", ["method"])
 
 
-def _part_means(spark: SparkSession, sf_dir: str) -> dict[str, np.ndarray]:
-    """Means of the labels' remainders (PARTS, d) of every dataset."""
-    rows = observations(spark, sf_dir).where("label is not null").select("dataset", (F.col("label") % PARTS).alias("part"), "features")
-    out: dict[str, dict[int, np.ndarray]] = {}
-    for r in feature_sums(rows, ["dataset", "part"], d=DIM).collect():
-        out.setdefault(r["dataset"], {})[r["part"]] = np.array(r["s"]) / r["n"]
-    return {k: np.stack([v[i] for i in range(PARTS)]) for k, v in sorted(out.items()) if len(v) == PARTS}
+def _part_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(dataset, part, n, mean): means of the labels' remainders in every dataset."""
+    rows = observations(spark, sf_dir).where("label is not null").withColumn("part", F.col("label") % PARTS)
+    return cut(feature_sums(rows, ["dataset", "part"], d=DIM).select("dataset", "part", "n", F.transform("s", lambda x: x / F.col("n")).alias("mean")), "means")
+
+
+def _stacked(pdf: pd.DataFrame) -> np.ndarray:
+    return np.stack(pdf.sort_values("part")["mean"].to_numpy())
 
 
 def g6_contrasts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Length of each group's contrast with group 0, per dataset."""
-    rows = observations(spark, sf_dir).where("label is not null").withColumn("part", F.col("label") % PARTS)
-    means = cut(feature_sums(rows, ["dataset", "part"], d=DIM).select("dataset", "part", F.transform("s", lambda x: x / F.col("n")).alias("mean")), "means")
-    base = means.where("part = 0").select("dataset", F.col("mean").alias("base"))
-    gap = F.zip_with("mean", "base", lambda x, y: (x - y) / SIGMA2)
-    return means.where("part > 0").join(base, "dataset").select("dataset", "part", F.round(F.sqrt(dot(gap, gap)), 6).alias("length"))
+
+    def told(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        c = mixtures.contrast_vectors(_stacked(pdf), SIGMA2)
+        return pd.DataFrame({"dataset": key[0], "part": sorted(pdf["part"])[1:], "length": np.linalg.norm(c, axis=1).round(6)})
+
+    return _part_means(spark, sf_dir).groupBy("dataset").applyInPandas(told, "dataset string, part int, length double")
 
 
 def g7_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order of each dataset's groups that fits the first dataset best, its cost, and the score in the groups' own order."""
     means = _part_means(spark, sf_dir)
-    names = list(means)
-    first = mixtures.contrast_vectors(means[names[0]], SIGMA2)
-    out = []
-    for k in names[1:]:
-        order, cost = mixtures.align_groups(means[k], SIGMA2, [first])
-        out.append((k, [int(i) for i in order], round(cost, 5), round(mixtures.alignment_score([first, mixtures.contrast_vectors(means[k], SIGMA2)]), 5)))
-    return spark.createDataFrame(out, "dataset string, groups array<int>, cost double, own_order double")
+    first = means.agg(F.min("dataset").alias("_first"))
+    base = means.join(F.broadcast(first), means["dataset"] == F.col("_first")).select("part", F.col("mean").alias("base"))
+    both = means.join(first, means["dataset"] > F.col("_first")).join(base, "part")
+
+    def told(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("part")
+        own, other = np.stack(pdf["mean"].to_numpy()), mixtures.contrast_vectors(np.stack(pdf["base"].to_numpy()), SIGMA2)
+        order, cost = mixtures.align_groups(own, SIGMA2, [other])
+        score = mixtures.alignment_score([other, mixtures.contrast_vectors(own, SIGMA2)])
+        return pd.DataFrame({"dataset": [key[0]], "groups": [[int(i) for i in order]], "cost": [round(cost, 5)], "own_order": [round(score, 5)]})
+
+    return both.groupBy("dataset").applyInPandas(told, "dataset string, groups array<int>, cost double, own_order double")
+
+
+def _part_model(spark: SparkSession, sf_dir: str) -> multitask.Model:
+    """The model whose groups are the labels' remainders, of all datasets together."""
+    got = _part_means(spark, sf_dir).select("part", "n", F.posexplode("mean").alias("i", "x")).groupBy("part", "i").agg((F.sum(F.col("x") * F.col("n")) / F.sum("n")).alias("x"), F.sum("n").alias("n"))
+    rows = got.groupBy("part").agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("i", "x"))).alias("m")).orderBy("part").collect()
+    means, n = np.array([[v["x"] for v in r["m"]] for r in rows]), np.array([float(r["n"]) for r in rows])
+    return multitask.Model.of(n / n.sum(), mixtures.contrast_vectors(means, MULTI_SIGMA2), means)
+
+
+def g11_softmax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of each dataset by group, counted by their responsibilities under the model of the labels' remainders."""
+    model = _part_model(spark, sf_dir)
+    rows = observations(spark, sf_dir).where("label is not null").withColumn("fold", F.lit(0))
+    return multitask.responsibility_rows(rows, model).groupBy("dataset", "group").agg(F.round(F.sum("g"), 5).alias("n"))
+
+
+def g15_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows by class under that model and remainder of the label."""
+    rows = observations(spark, sf_dir).where("label is not null")
+    return rows.groupBy((F.col("label") % PARTS).alias("part"), multitask.classify(_part_model(spark, sf_dir)).alias("class")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def g16_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected log-likelihood per row under that model, per dataset."""
+    model = _part_model(spark, sf_dir)
+    rows = observations(spark, sf_dir).where("label is not null")
+    return multitask.likelihood_rows(rows, model, MULTI_SIGMA2).groupBy("dataset").agg(F.round(F.avg("l"), 6).alias("likelihood"))
+
+
+def g18_multitask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of the multi-task mixture of four groups against the labels of the first batch, with all other batches as sources."""
+    batch = reports.read_table(spark, sf_dir, "cell_meta").where("batch is not null").groupBy(name_key(F.col("barcode")).alias("cell")).agg(F.min("batch").alias("batch"))
+    cell = reports.read_table(spark, sf_dir, "gene_data_set").groupBy(F.col("cell_id").alias("row_id")).agg(F.min(name_key(F.col("sample"))).alias("cell"))
+    by_batch = observations(spark, sf_dir).where("label is not null").drop("dataset").join(cell, "row_id").join(batch, "cell").select(F.col("batch").alias("dataset"), "row_id", "features", "label")
+    rows = cut(linalg.centre(cut(by_batch, "by_batch"), ["dataset"]), "batches")
+    found = {k: s for k, s in transfer.sides(rows).items() if s.n >= 10 * PARTS}
+    target = min(found)
+    labels, growth = multitask.multitask_labels(rows, found, target, PARTS, rounds=10, orders=10, folds=3, points=5)
+    out = found[target].rows.select(F.lit(target).alias("target"), "label", labels.alias("k"))
+    return metrics.scores(out, "k", "label", ["target"]).select("target", F.lit(round(growth, 9)).alias("growth"), "ari", "v_measure")
 
 
 def n13_rejection(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,6 +199,10 @@ QUERIES = {
     "g4_mixtures": g4_mixtures,
     "g6_contrasts": g6_contrasts,
     "g7_alignment": g7_alignment,
+    "g11_softmax": g11_softmax,
+    "g15_classes": g15_classes,
+    "g16_likelihood": g16_likelihood,
+    "g18_multitask": g18_multitask,
     "n13_rejection": n13_rejection,
     "n15_transferability": n15_transferability,
     "pre_quantile": pre_quantile,
@@ -155,6 +212,15 @@ QUERIES = {
     "t7_sizes": t7_sizes,
 }
 
+#: Logits z of each row and group, and responsibilities g, under the model of the labels' remainders.
+_MODEL = _EACH + f""", gm as (select label % {PARTS} as k, i, avg(x) as x from each where label is not null group by all),
+w as (select label % {PARTS} as k, count(*) / sum(count(*)) over () as w from obs where label is not null group by 1),
+b as (select a.k, a.i, (a.x - r.x) / {MULTI_SIGMA2} as b, (a.x - r.x) / {MULTI_SIGMA2} * (a.x + r.x) / 2 as o from gm a join gm r on a.i = r.i and r.k = 0),
+z as (select row_id, e.dataset, e.label, b.k, ln(any_value(w.w)) + sum(e.x * b.b - b.o) as z, sum(e.x * e.x) as x2, sum(e.x * b.b) * {MULTI_SIGMA2} as xm, sum(b.b * b.b) * {MULTI_SIGMA2} ** 2 as m2, any_value(w.w) as w
+  from each e join b using (i) join w on w.k = b.k where e.label is not null group by all),
+g as (select *, exp(z - max(z) over (partition by row_id)) / sum(exp(z)) over (partition by row_id) * exp(max(z) over (partition by row_id)) as g from z)
+"""
+
 _MAPS = ["012", "021", "102", "120", "201", "210"]
 
 SQL = {
@@ -165,6 +231,10 @@ SQL = {
     "g6_contrasts": _EACH
     + f", m as (select dataset, label % {PARTS} as part, i, avg(x) as x from each where label is not null group by all) "
     f"select a.dataset, a.part, round(sqrt(sum(power((a.x - b.x) / {SIGMA2}, 2))), 6) as length from m a join m b on a.dataset = b.dataset and a.i = b.i and b.part = 0 where a.part > 0 group by all",
+    "g11_softmax": _MODEL + 'select dataset, k as "group", round(sum(g), 5) as n from g group by all',
+    "g15_classes": _MODEL + f'select label % {PARTS} as part, k as "class", count(*) as n from (select *, row_number() over (partition by row_id order by z desc, k) as rn from z) where rn = 1 group by all',
+    "g16_likelihood": _MODEL
+    + f"select dataset, round(sum(g * (ln(w) - 32 * ln(2 * pi() * {MULTI_SIGMA2}) - (x2 - 2 * xm + m2) / {2 * MULTI_SIGMA2})) / count(distinct row_id), 6) as likelihood from g group by dataset",
     "pre_quantile": _EACH
     + ", r as (select row_id, label, i, x, row_number() over (partition by row_id order by x) as place, rank() over (partition by row_id order by x) as low, count(*) over (partition by row_id, x) as same from each), "
     "q as (select place, avg(x) as v from r group by place), s as (select place, sum(v) over (order by place) as upto from q union all select 0, 0.0) "

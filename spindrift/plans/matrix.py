@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -70,37 +71,46 @@ def l14_centre(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def l15_std(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Deviation of the projections on the mean direction, per dataset."""
-    u = F.lit(1 / math.sqrt(DIM))
-    rows = observations(spark, sf_dir).select("dataset", F.aggregate("features", F.lit(0.0), lambda s, x: s + x * u).alias("p"))
-    return rows.groupBy("dataset").agg(F.round(F.stddev_pop("p"), 8).alias("std"), F.round(1 / F.stddev_pop("p"), 7).alias("scale"))
+    """Deviation of the projections on the mean direction, per dataset: what a direction is divided by."""
+    obs = cut(observations(spark, sf_dir), "obs")
+    total = feature_sums(obs, ["dataset"], d=DIM).select("dataset", "s")
+    even = np.full(DIM, 1 / math.sqrt(DIM))
+
+    def scaled(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        m = np.zeros((DIM, DIM))
+        m[pdf["i"], pdf["j"]] = m[pdf["j"], pdf["i"]] = pdf["v"]
+        scale = np.linalg.norm(linalg.std_scale(even, m, np.array(pdf["s"].iloc[0]), int(pdf["n"].iloc[0])))
+        return pd.DataFrame({"dataset": [key[0]], "std": [1 / scale], "scale": [scale]})
+
+    got = linalg.moments(obs, "dataset").join(total, "dataset").groupBy("dataset").applyInPandas(scaled, "dataset string, std double, scale double")
+    return got.select("dataset", F.round("std", 8).alias("std"), F.round("scale", 7).alias("scale"))
 
 
 def s1_statistic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """|mean of z x|^2 - d sigma2 / n for signs z from the label's parity, with its threshold."""
+    """The statistic of signs from the label's parity, with its threshold."""
     rows = observations(spark, sf_dir).where("label is not null")
     s = feature_sums(rows, ["dataset"], F.when(F.col("label") % 2 == 0, 1.0).otherwise(-1.0), DIM)
-    mean = F.transform("s", lambda x: x / F.col("n"))
-    s2, d = 0.05, float(DIM)
+    s2, n = 0.05, F.col("n")
     return s.select(
         "dataset",
-        F.round(dot(mean, mean) - d * s2 / F.col("n"), 9).alias("statistic"),
-        F.round(s2 * (1 + F.sqrt(d / F.col("n"))), 9).alias("threshold"),
-        F.round(F.greatest(F.lit(1.0), F.pow(d / F.col("n"), 0.25)) * math.sqrt(s2), 9).alias("recovery"),
+        F.round(transfer.sum_statistic(F.col("s"), n, DIM, s2), 9).alias("statistic"),
+        F.round(transfer.validation_threshold(s2, DIM, n), 9).alias("threshold"),
+        F.round(transfer.recovery_threshold(DIM, n, s2), 9).alias("recovery"),
     )
 
 
 def s4_statistic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Weighted squared gaps between the means of four groups of labels, per dataset."""
+    """The statistic of four groups of labels per dataset, with its threshold."""
     s2, k = 0.05, 4
     rows = observations(spark, sf_dir).where("label is not null").withColumn("k", F.col("label") % k)
-    m = cut(feature_sums(rows, ["dataset", "k"], d=DIM).select("dataset", "k", "n", F.transform("s", lambda x: x / F.col("n")).alias("mean")), "means")
-    a, b = m.toDF("dataset", "a", "na", "ma"), m.toDF("dataset", "b", "nb", "mb")
-    gap = F.zip_with("ma", "mb", lambda x, y: x - y)
-    total = m.groupBy("dataset").agg(F.sum("n").alias("n"))
-    pairs = a.join(b, "dataset").where("a <> b").groupBy("dataset").agg(F.sum(F.col("na") * F.col("nb") * dot(gap, gap)).alias("g"))
-    n = F.col("n")
-    return pairs.join(total, "dataset").select("dataset", F.round(F.col("g") / (2 * n * n) - s2 * DIM * (k - 1) / n, 9).alias("statistic"), F.round(k * s2 * (F.sqrt(F.lit(float(DIM * k)) / n) + 1), 9).alias("threshold"))
+    means = feature_sums(rows, ["dataset", "k"], d=DIM).select("dataset", "k", "n", F.transform("s", lambda x: x / F.col("n")).alias("mean"))
+
+    def told(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        m, n = np.stack(pdf["mean"].to_numpy()), pdf["n"].to_numpy(float)
+        return pd.DataFrame({"dataset": [key[0]], "statistic": [transfer.validation_statistic_groups(m, n, s2)], "threshold": [transfer.validation_threshold_groups(s2, DIM, k, int(n.sum()))]})
+
+    got = means.groupBy("dataset").applyInPandas(told, "dataset string, statistic double, threshold double")
+    return got.select("dataset", F.round("statistic", 9).alias("statistic"), F.round("threshold", 9).alias("threshold"))
 
 
 def _parity_means(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict]:
@@ -204,21 +214,8 @@ def q17_separation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def c3_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Euclidean distance, 1 - Pearson and 1 - Spearman between the labels' means."""
-    each = label_means(spark, sf_dir).select("label", F.posexplode("mean").alias("f", "x"))
-    w = Window.partitionBy("label")
-    ranked = each.withColumn("r", F.rank().over(w.orderBy("x")) + (F.count(F.lit(1)).over(Window.partitionBy("label", "x")) - 1) / 2)
-    lists = ranked.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("f", "x"))), lambda v: v["x"]).alias("x"), F.transform(F.array_sort(F.collect_list(F.struct("f", "r"))), lambda v: v["r"]).alias("r"))
-
-    def unit(c: str):
-        mean = F.aggregate(c, F.lit(0.0), lambda s, v: s + v) / DIM
-        low = F.transform(c, lambda v: v - mean)
-        return F.transform(low, lambda v: v / F.sqrt(dot(low, low)))
-
-    lists = cut(lists.select("label", "x", unit("x").alias("px"), unit("r").alias("sx")), "lists")
-    a, b = lists.toDF("i", "xa", "pa", "sa"), lists.toDF("j", "xb", "pb", "sb")
-    gap = F.zip_with("xa", "xb", lambda x, y: x - y)
-    pairs = a.join(F.broadcast(b)).where("i < j")
-    return pairs.select("i", "j", F.round(F.sqrt(dot(gap, gap)), 7).alias("euclidean"), F.round(1 - dot(F.col("pa"), F.col("pb")), 7).alias("pearson"), F.round(1 - dot(F.col("sa"), F.col("sb")), 7).alias("spearman"))
+    pairs = linalg.pair_distances(label_means(spark, sf_dir), "label", "mean")
+    return pairs.select("i", "j", *[F.round(c, 7).alias(c) for c in ("euclidean", "pearson", "spearman")])
 
 
 def c6_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:

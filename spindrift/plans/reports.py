@@ -18,15 +18,18 @@ METHODS = ["target", "source", "adaptive", "pooled", "tlgmm"]
 
 
 def results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Valid results of the sweep, each result_id once, the latest load first."""
+    """Valid results of the sweep, of each result_id the row loaded last."""
     raw = read_table(spark, sf_dir, "sweep_results").where("error >= 0 and error <= 1")
-    return raw.dropDuplicates(["result_id"]).withColumn("method", name_key(F.col("method")))
+    rest = [c for c in raw.columns if c not in ("result_id", "loaded_at")]
+    # One aggregate per column, so that columns a query doesn't use are never read.
+    last = raw.groupBy("result_id").agg(F.max("loaded_at").alias("loaded_at"), *[F.max_by(c, "loaded_at").alias(c) for c in rest])
+    return last.withColumn("method", name_key(F.col("method")))
 
 
 _RESULTS = r"""
 with results as (
   select * exclude (method, rn), lower(regexp_replace(method, '^\s+|\s+$', '', 'g')) as method
-  from (select *, row_number() over (partition by result_id order by loaded_at) as rn from sweep_results where error >= 0 and error <= 1)
+  from (select *, row_number() over (partition by result_id order by loaded_at desc) as rn from sweep_results where error >= 0 and error <= 1)
   where rn = 1)
 """
 
