@@ -125,6 +125,72 @@ def spectral_signs(side: Side, n_iter: int | None = None) -> Column:
     return _hollow_signs(steps)
 
 
+def _by_dataset_udf(f: Callable[[str, np.ndarray], np.ndarray], kind: str) -> Column:
+    """``f(dataset, x)``, one number per row, over the columns dataset and features."""
+
+    @F.pandas_udf(kind)
+    def run(dataset: pd.Series, features: pd.Series) -> pd.Series:
+        out = np.zeros(len(dataset), dtype="int32" if kind == "int" else "float64")
+        for name, at in dataset.groupby(dataset).indices.items():
+            out[at] = f(name, np.stack(features.iloc[at].to_numpy()))
+        return pd.Series(out)
+
+    return run(F.col("dataset"), F.col("features"))
+
+
+def spectral_signs_all(rows: DataFrame, found: Mapping[str, Side]) -> Column:
+    """``spectral_signs`` of the rows (dataset, features) of many datasets, which share their passes."""
+    d = next(iter(found.values())).d
+    start, least = {}, {}
+    for name, s in found.items():
+        v, s2 = top_directions(s.moment)
+        start[name], least[name] = v[:, 0], max(float(s2[0]) - np.trace(s.moment) / s.n, 0.0)
+    for _ in range(_START_STEPS):
+        w, m = dict(start), dict(least)
+        u = _by_dataset_udf(lambda name, x: x @ w[name] / np.maximum((x * x).sum(1) + m[name], 1e-12), "double")  # noqa: B023
+        placed = rows.select("dataset", "features", u.alias("_u"), dot(F.col("features"), F.col("features")).alias("_own"))
+        placed = placed.select("dataset", F.concat("features", F.array(F.col("_u"), F.col("_own") * F.col("_u"))).alias("features"), "_u")
+        moved = 0.0
+        for r in feature_sums(placed, ["dataset"], F.col("_u"), d + 2).collect():
+            got, name = np.array(r["s"]), r["dataset"]
+            if got[d] > 0:
+                new = got[:d] / np.linalg.norm(got[:d])
+                least[name] = max(float(got[:d] @ got[:d] - got[d + 1]) / got[d], 0.0)
+                moved, start[name] = max(moved, 1 - abs(float(new @ start[name]))), new
+        if moved <= 1e-10:
+            break
+    steps = {name: [w * (-1.0 if w[np.abs(w).argmax()] < 0 else 1.0)] for name, w in start.items()}
+
+    def signs(held: dict[str, list[np.ndarray]]) -> Column:
+        def turn(name: str, x: np.ndarray) -> np.ndarray:
+            own, z = (x * x).sum(1), np.where(x @ held[name][0] >= 0, 1.0, -1.0)
+            for w in held[name][1:]:
+                z = np.where(x @ w - own * z >= 0, 1.0, -1.0)
+            return z.astype("int32")
+
+        return _by_dataset_udf(turn, "int")
+
+    open_ = {name: math.floor(3 * math.log(s.n)) for name, s in found.items() if s.n > 1}
+    while open_:
+        left = {}
+        part = rows.where(F.col("dataset").isin(list(open_)))
+        for r in feature_sums(part, ["dataset"], signs({n: list(v) for n, v in steps.items()}), d).collect():
+            w, name = np.array(r["s"]), r["dataset"]
+            if len(steps[name]) > 1 and np.allclose(w, steps[name][-1], rtol=1e-9, atol=1e-9 * max(1.0, float(np.abs(w).max()))):
+                continue
+            steps[name].append(w)
+            if open_[name] > 1:
+                left[name] = open_[name] - 1
+        open_ = left
+    return signs(steps)
+
+
+def signs_along(vectors: Mapping[str, np.ndarray]) -> Column:
+    """Signs of the rows (dataset, features) along a vector of their dataset."""
+    held = dict(vectors)
+    return _by_dataset_udf(lambda name, x: np.where(x @ held[name] >= 0, 1, -1), "int")
+
+
 def direction(side: Side) -> np.ndarray:
     """Direction of the difference between the groups of one dataset.
 
@@ -151,6 +217,11 @@ def in_span(target: Side, basis: np.ndarray) -> Column:
     return sign_no_zero(_score(_in_subspace(target, basis)))
 
 
+def span_directions(found: Mapping[str, Side], directions: Mapping[str, Sequence[np.ndarray]]) -> dict[str, np.ndarray]:
+    """Of each dataset its best direction within the span of the given ones."""
+    return {k: _in_subspace(found[k], subspace_basis(v, normalize=True)) for k, v in directions.items()}
+
+
 def source_based(target: Side, sources: Sequence[Side]) -> Column:
     """Signs of the target along the best direction within the span of the sources' directions."""
     if not sources:

@@ -17,6 +17,9 @@ from spindrift.session import cut
 PARTS = 4
 SIGMA2 = 0.02
 
+#: Samples of each size.
+DRAWS = 30
+
 #: Variance of the model in the multi-task queries.
 MULTI_SIGMA2 = 0.05
 
@@ -194,6 +197,36 @@ def t7_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return error
 
 
+def t7_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Error and Rand index of the target's contrast over 30 samples of each of eight sizes: mean and deviation per size and method.
+
+    All samples are datasets of one table, so they share their passes.
+    """
+    rows = contrast(spark, sf_dir)
+    target = rows.where("dataset = 'target'").select("row_id", "features", "z")
+    n, samples = target.count(), None
+    runs = target.withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(DRAWS - 1)))).withColumn("row_id", F.col("row_id") * DRAWS + F.col("run"))
+    for size in splits.size_grid(n):
+        drawn = splits.draw(runs, ["run", "z"], size / n).where("drawn").drop("drawn").withColumn("size", F.lit(size))
+        samples = drawn if samples is None else samples.unionByName(drawn)
+    named = samples.withColumn("dataset", F.format_string("%09d-%02d", F.col("size"), F.col("run")))
+    samples = cut(linalg.centre(named, ["dataset"]), "samples")
+    found = transfer.sides(samples.select("dataset", "row_id", "features"))
+    source = transfer.direction(transfer.sides(rows.where("dataset = 'source'"))["source"])
+    alone = transfer.span_directions(found, {k: [source] for k in found})
+    both = transfer.span_directions(found, {k: [transfer.top_directions(s.moment)[0][:, 0], source] for k, s in found.items()})
+    labels = {"target": transfer.spectral_signs_all(samples, found), "source": transfer.signs_along(alone), "pooled": transfer.signs_along(both)}
+    out = None
+    for method, z in labels.items():
+        one = samples.select("size", "run", F.lit(method).alias("method"), "z", z.alias("z_hat"))
+        out = one if out is None else out.unionByName(one)
+    out = cut(out, "labels")
+    keys = ["size", "run", "method"]
+    each = metrics.sign_error(out, "z_hat", "z", keys).join(metrics.adjusted_rand(metrics.contingency(out, "z_hat", "z", keys), keys), keys)
+    spread = [f(c).alias(f"{name}_{c}") for c in ("error", "ari") for name, f in (("mean", F.avg), ("std", F.stddev_pop))]
+    return each.groupBy("size", "method").agg(F.count(F.lit(1)).alias("n_sub"), *spread)
+
+
 QUERIES = {
     "q3_permutation": q3_permutation,
     "g4_mixtures": g4_mixtures,
@@ -210,6 +243,7 @@ QUERIES = {
     "w13_modes": w13_modes,
     "w15_library": w15_library,
     "t7_sizes": t7_sizes,
+    "t7_sweep": t7_sweep,
 }
 
 #: Logits z of each row and group, and responsibilities g, under the model of the labels' remainders.

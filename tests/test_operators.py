@@ -151,6 +151,16 @@ def test_spectral_signs_are_those_of_the_hollow_gram(spark):
     assert (got == z).all() or (got == -z).all()
 
 
+def test_datasets_share_their_passes(spark):
+    df, _ = setup(spark, 60, 90, 10, strong=True)
+    found = transfer.sides(df)
+    rows = df.select("dataset", "row_id", "features", transfer.spectral_signs_all(df, found).alias("z_all")).cache()
+    for name, side in found.items():
+        alone = {r["row_id"]: r["z"] for r in side.rows.select("row_id", transfer.spectral_signs(side).alias("z")).collect()}
+        shared = {r["row_id"]: r["z_all"] for r in rows.where(F.col("dataset") == name).collect()}
+        assert shared == alone
+
+
 def test_sources_help_a_weak_target(spark):
     df, _ = setup(spark, 80, 600, 30)
     found = transfer.sides(df)
