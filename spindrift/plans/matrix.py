@@ -17,13 +17,22 @@ from spindrift.session import cut, read_table
 DIM = 64
 
 
+def _usable(raw: DataFrame) -> DataFrame:
+    raw = raw.where(F.size("express") == DIM)
+    return raw.where(F.forall("express", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf")))) & F.exists("express", lambda x: x > 0))
+
+
+def scaled_rows(raw: DataFrame) -> DataFrame:
+    """(dataset, row_id, label, features): rows of gene_data_set with a usable vector, divided by their largest value."""
+    top = F.array_max("express").cast("double")
+    return _usable(raw).select("dataset", F.col("cell_id").alias("row_id"), "label", F.transform("express", lambda x: x.cast("double") / top).alias("features"))
+
+
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(dataset, row_id, label, features): cells with a usable vector, each once, divided by their largest value."""
-    raw = read_table(spark, sf_dir, "gene_data_set").where(F.size("express") == DIM)
-    raw = raw.where(F.forall("express", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf")))) & F.exists("express", lambda x: x > 0))
-    once = raw.groupBy(F.col("cell_id").alias("row_id")).agg(F.min("dataset").alias("dataset"), F.min("label").alias("label"), F.min("express").alias("e"))
-    top = F.array_max("e").cast("double")
-    return once.select("dataset", "row_id", "label", F.transform("e", lambda x: x.cast("double") / top).alias("features"))
+    """The same of all cells, each once."""
+    raw = _usable(read_table(spark, sf_dir, "gene_data_set"))
+    once = raw.groupBy("cell_id").agg(F.min("dataset").alias("dataset"), F.min("label").alias("label"), F.min("express").alias("express"))
+    return scaled_rows(once)
 
 
 def l2_moments(spark: SparkSession, sf_dir: str) -> DataFrame:

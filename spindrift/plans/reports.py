@@ -362,6 +362,16 @@ edges as (select src, dst from m union select dst, src from m)
 )
 
 SQL = {
+    "pre_variable_genes": _EXPR
+    + """, s as (select cell, sum(value) as total from e group by cell),
+v as (select e.dataset, gene, e.cell, case when total > 0 then ln(1 + 1e4 * value / total) else 0.0 end as value from e join s using (cell)),
+n as (select dataset, count(distinct cell) as n from v group by 1),
+st as (select dataset, gene, sum(value) / any_value(n.n) as mean, sum(value * value) / any_value(n.n) as q from v join n using (dataset) group by 1, 2),
+d as (select dataset, gene, mean, case when mean > 0 then (q - mean * mean) / mean end as disp from st),
+b as (select *, ntile(20) over (partition by dataset order by mean, gene) as bin from d where disp is not null),
+z as (select *, (disp - avg(disp) over w) / nullif(stddev_samp(disp) over w, 0) as norm from b window w as (partition by dataset, bin)),
+r as (select *, row_number() over (partition by dataset order by norm desc nulls last, gene) as rank from z)
+select gene, count(*) as n_batches, quantile_cont(rank, 0.5) as median_rank from r where rank <= 200 group by gene order by n_batches desc, median_rank, gene limit 200""",
     "a1_mean_se": _RESULTS + "select regime, mu, method, round(avg(error), 8) as mean_error, round(stddev_samp(error) / sqrt(count(error)), 8) as se_error, count(error) as n from results group by all",
     "a2_many_columns": _RESULTS
     + "select regime, method, "
