@@ -87,11 +87,16 @@ def transfer_coefficients(obs: DataFrame, w: np.ndarray) -> DataFrame:
     return obs.select("row_id", "features").mapInPandas(apply, "row_id long, h array<double>, component int, error double")
 
 
-def mixed(obs: DataFrame, coded: DataFrame, w: np.ndarray, mix: float) -> DataFrame:
-    """Features moved towards the factor of their component: mix w[component] + (1 - mix) x; ``mix`` 0 changes nothing."""
+def mixed(obs: DataFrame, coded: DataFrame, w: np.ndarray, mix: float, rejected: Column | None = None) -> DataFrame:
+    """Features moved towards the factor of their component: mix w[component] + (1 - mix) x; ``mix`` 0 changes nothing.
+
+    Rows for which ``rejected``, a condition on the coded rows, holds stay as they are.
+    """
     table = F.array(*[literal_vector(r) for r in w])
-    both = obs.join(coded.select("row_id", "component"), "row_id")
-    return both.withColumn("features", F.zip_with("features", table[F.col("component")], lambda x, y: x * (1 - mix) + y * mix))
+    keep = F.lit(False) if rejected is None else F.coalesce(rejected, F.lit(False))
+    both = obs.join(coded.select("row_id", "component", keep.alias("_keep")), "row_id")
+    moved = F.zip_with("features", table[F.col("component")], lambda x, y: x * (1 - mix) + y * mix)
+    return both.withColumn("features", F.when(F.col("_keep"), F.col("features")).otherwise(moved)).drop("_keep")
 
 
 def log_odds(mu0: np.ndarray, mu1: np.ndarray, pi1: float, sigma2: float) -> tuple[np.ndarray, float]:

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spindrift.functions.text import name_key
-from spindrift.operators import factors, filters, linalg, metrics, mixtures, multitask, splits, transfer
+from spindrift.operators import factors, filters, linalg, metrics, mixtures, multitask, selection, splits, transfer
 from spindrift.operators.linalg import dot, feature_sums
 from spindrift.plans import reports
 from spindrift.plans.matrix import _EACH, _LABELLED, _OBS, DIM, contrast, labelled, observations
@@ -227,6 +227,36 @@ def t7_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.groupBy("size", "method").agg(F.count(F.lit(1)).alias("n_sub"), *spread)
 
 
+def _source_and_target(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    obs = cut(observations(spark, sf_dir), "obs")
+    return obs.where("dataset = 'source'"), obs.where("dataset = 'target'")
+
+
+def t10_mixtures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For 4 and 8 factors of the source and three shares of mixture: alignment of the target's mixed rows with their groups, Rand index
+    of the groups against the labels, and whether the share is the one of the greatest alignment for its number of factors."""
+    source, target = _source_and_target(spark, sf_dir)
+    w = {k: factors.fit_factors(source, k)[0] for k in (4, 8)}
+    fits = selection.fit_mixtures(target, w, (0.0, 0.3, 0.6))
+    groups = cut(selection.mixture_labels(target, w, fits).withColumn("run", F.format_string("%d/%.2f", "k", "mix")), "groups")
+    fit = selection.partition_alignment(groups.select("run", "component", "features"), "run", "component")
+    labels = groups.join(target.select("row_id", "label"), "row_id")
+    rand = metrics.adjusted_rand(metrics.contingency(labels, "component", "label", ["run"]), ["run"])
+    out = groups.select("run", "k", "mix").distinct().join(fit, "run").join(rand, "run")
+    best = F.max("alignment").over(Window.partitionBy("k"))
+    return out.select("k", "mix", "alignment", "ari", (F.col("alignment") == best).alias("chosen"))
+
+
+def n14_reject(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target cells per component, those rejected by the best threshold on their error, and the mean length of the mixed rows when these stay as they are."""
+    source, target = _source_and_target(spark, sf_dir)
+    w, _ = factors.fit_factors(source, 8)
+    coded = cut(factors.transfer_coefficients(target, w), "coded")
+    threshold, _, _ = selection.reject_threshold(coded.select("row_id", "error").join(target, "row_id"), "error")
+    moved = factors.mixed(target, coded, w, 0.5, F.col("error") > threshold).join(coded.select("row_id", (F.col("error") > threshold).alias("rejected")), "row_id")
+    return moved.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.count_if("rejected").alias("n_rejected"), F.round(F.avg(dot(F.col("features"), F.col("features"))), 6).alias("length2"))
+
+
 QUERIES = {
     "q3_permutation": q3_permutation,
     "g4_mixtures": g4_mixtures,
@@ -244,6 +274,8 @@ QUERIES = {
     "w15_library": w15_library,
     "t7_sizes": t7_sizes,
     "t7_sweep": t7_sweep,
+    "t10_mixtures": t10_mixtures,
+    "n14_reject": n14_reject,
 }
 
 #: Logits z of each row and group, and responsibilities g, under the model of the labels' remainders.
