@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator, Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -35,13 +35,14 @@ from spindrift.operators.linalg import (
 
 @dataclass(frozen=True)
 class Side:
-    """A dataset with its moment (d, d), its sum (d,) and number of rows."""
+    """A dataset with its moment (d, d), its sum (d,) and number of rows; ``known`` keeps vectors that several estimators need."""
 
     name: str
     rows: DataFrame
     moment: np.ndarray
     total: np.ndarray
     n: int
+    known: dict = field(default_factory=dict, compare=False, repr=False)
 
     @property
     def d(self) -> int:
@@ -99,7 +100,7 @@ def hollow_start(side: Side) -> np.ndarray:
             break
         m = max(float(new @ new - diagonal) / norm2, 0.0)
         new = new / np.linalg.norm(new)
-        close = abs(float(new @ w)) >= 1 - 1e-10
+        close = abs(float(new @ w)) >= 1 - 1e-9
         w = new
         if close:
             break
@@ -116,12 +117,15 @@ def spectral_signs(side: Side, n_iter: int | None = None) -> Column:
     """
     if side.n < 2:
         raise ValueError("at least two rows are needed")
+    if ("signs", n_iter) in side.known:
+        return _hollow_signs(side.known["signs", n_iter])
     steps = [hollow_start(side)]
     for _ in range(math.floor(3 * math.log(side.n)) if n_iter is None else n_iter):
         w = np.array(feature_sums(side.rows, [], _hollow_signs(steps), side.d).first()["s"])
         if len(steps) > 1 and np.allclose(w, steps[-1], rtol=1e-9, atol=1e-9 * max(1.0, float(np.abs(w).max()))):
             break
         steps.append(w)
+    side.known["signs", n_iter] = steps
     return _hollow_signs(steps)
 
 
