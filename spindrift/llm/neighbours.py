@@ -10,6 +10,11 @@ in ranks of border distances, is the same for all queries and worked out once.
 The candidates of all tables are merged and ranked by exact distance.
 
 The vectors have length one, so the squared distance is 2 - 2 cos.
+
+Where all near pairs are sought, a first layer brings near vectors together before
+they are hashed: cells around a few centres, each with the vectors that lie so close
+to its border that a partner may lie beyond it.  A vector is moved about once, and its
+tables, probes and candidates stay within the task that holds its cell.
 """
 
 from __future__ import annotations
@@ -24,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spindrift.llm.vectors import matrix
+from spindrift.llm.vectors import matrix, unit_rows
 from spindrift.session import cut
 
 #: Rows of one side that a task compares at once.
@@ -33,8 +38,15 @@ BLOCK_ROWS = 8192
 #: Vectors that meet a block of queries at once where these are compared with all vectors.
 SCAN_ROWS = 65_536
 
-#: Rows of a bucket that meet a part of its probes in one place while pairs are searched.
-PAIR_BLOCK_ROWS = 1024
+#: Rows of a cell that meet each other in one place while pairs are searched; a larger
+#: cell is cut into parts, each of which meets every other.
+PAIR_BLOCK_ROWS = 131_072
+
+#: Rows that the centres of the cells come from, about.
+SAMPLE_ROWS = 4096
+
+#: Cells at most, and rows that a vector may become on average (itself and its copies beyond borders).
+MOST_CELLS, MOST_COPIES = 512, 1.25
 
 
 @dataclass(frozen=True)
@@ -59,12 +71,15 @@ WIDE = HashParams(tables=6, hashes=8, slot=1.0, probes=24)
 #: Least cosine (distance 0.5) of a k-th neighbour that is taken from buckets alone.
 WITHIN_COS = 0.875
 
-#: A candidate pair is dropped unread if its sixteen sketched projections differ by
-#: more than all but one in a million pairs at the bound (chi-square with 16 degrees).
-_CHI2_16 = 59.2
+#: A candidate pair is dropped unread if the signs of 64 projections differ in more
+#: places than those of all but one in a million pairs at the bound.
+_LOST = 1e-6
+
+#: Candidate pairs whose signs are compared at once, and pairs found that are held at once.
+_PAIRS_AT_ONCE, _PAIRS_HELD = 1 << 18, 1 << 21
 
-#: Steps of a sketched projection per unit; each takes one byte.
-_STEPS = 28
+#: Candidates that cost as much as a comparison of all vectors of a block, per pair of it.
+_DENSE = 1 / 3
 
 
 def projections(dim: int, p: HashParams) -> tuple[np.ndarray, np.ndarray]:
@@ -129,15 +144,8 @@ def bucket_keys(x: np.ndarray, p: HashParams, probes: bool) -> np.ndarray:
     return np.stack(keys, axis=2)
 
 
-def sketches(x: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sixteen normal projections of each vector, a byte each, in two 64-bit integers."""
-    g = np.random.default_rng(seed + 1).normal(size=(x.shape[1], 16))
-    steps = np.clip(np.rint(x.astype(np.float64) @ g * _STEPS) + 128, 0, 255).astype(np.uint8)
-    return tuple(np.ascontiguousarray(steps[:, i : i + 8]).view("<i8").ravel() for i in (0, 8))
-
-
 def hashed(vectors: DataFrame, p: HashParams, probes: bool) -> DataFrame:
-    """(bucket, id, s0, s1): one row per table, and per probed bucket if ``probes``, with the sketch of the vector."""
+    """(bucket, id): one row per table, and per probed bucket if ``probes``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -145,113 +153,252 @@ def hashed(vectors: DataFrame, p: HashParams, probes: bool) -> DataFrame:
             for lo in range(0, len(ids), 2048):
                 x = matrix(b.column("vec").slice(lo, 2048))
                 keys = bucket_keys(x, p, probes).reshape(len(x), -1)
-                each = keys.shape[1]
-                s0, s1 = sketches(x, p.seed)
-                rows = {"bucket": keys.ravel()} | {n: np.repeat(v, each) for n, v in (("id", ids[lo : lo + 2048]), ("s0", s0), ("s1", s1))}
-                yield pa.record_batch({n: pa.array(v) for n, v in rows.items()})
+                yield pa.record_batch({"bucket": pa.array(keys.ravel()), "id": pa.array(np.repeat(ids[lo : lo + 2048], keys.shape[1]))})
 
-    return vectors.select("id", "vec").mapInArrow(run, "bucket long, id long, s0 long, s1 long")
+    return vectors.select("id", "vec").mapInArrow(run, "bucket long, id long")
 
 
-def distinct_vectors(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(representatives, members): equal vectors are hashed once; members are (rep, id), rep included.
+def one_vector(rows: DataFrame) -> tuple[DataFrame, int]:
+    """The rows (id, vec) with one vector for each id, still repeated where the same was delivered again, and their number.
 
-    Only vectors whose hash is not alone are moved and compared.
+    Only hashes are moved to tell which ids come with several vectors; of those the
+    first in the order of the arrays is taken.
     """
-    coded = vectors.select("id", F.xxhash64("vec").alias("h"), "vec")
-    shared = cut(coded.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), "shared")
-    alone = coded.join(shared, "h", "left_anti")
-    again = coded.join(shared, "h", "left_semi")
-    groups = again.groupBy("vec").agg(F.min("id").alias("rep"))
-    reps = alone.select("id", "vec").unionByName(groups.select(F.col("rep").alias("id"), "vec"))
-    members = again.join(groups, "vec").select("rep", "id").unionByName(alone.select(F.col("id").alias("rep"), "id"))
-    return reps, members
-
+    each = rows.select("id", F.xxhash64("vec").alias("h")).groupBy("id").agg(F.min("h").alias("low"), F.max("h").alias("high"), F.count(F.lit(1)).alias("n"))
+    told = each.agg(F.sum("n").alias("n"), F.count_if(F.col("low") != F.col("high")).alias("several")).first()
+    n = told["n"] or 0
+    if not told["several"]:
+        return rows, n
+    unclear = cut(each.where("low != high").select("id"), "unclear")
+    chosen = rows.join(unclear, "id", "left_semi").groupBy("id").agg(F.min("vec").alias("vec"))
+    return rows.join(unclear, "id", "left_anti").unionByName(chosen), n
+
+
+def cells_of(x: np.ndarray, centres: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
+    """(home, near): the cell of the nearest centre, and for each cell whether a vector belongs to it.
+
+    A vector belongs to the cells whose border with its own is at most half of
+    ``reach`` away.  The line between two vectors of different homes crosses the
+    border of these, so one of two that lie within ``reach`` belongs to the home of
+    the other: no pair is lost between cells.
+    """
+    if len(centres) == 1:
+        return np.zeros(len(x), np.int64), np.ones((len(x), 1), bool)
+    size = (centres**2).sum(axis=1)
+    far = size - 2 * x.astype(np.float64) @ centres.T
+    home = far.argmin(axis=1)
+    between = np.sqrt(np.maximum(size[:, None] + size[None, :] - 2 * centres @ centres.T, 0))
+    near = far - far[np.arange(len(x)), home][:, None] <= reach * between[home]
+    near[np.arange(len(x)), home] = True
+    return home, near
 
-#: Candidate pairs whose sketches are compared at once.
-_PAIRS_AT_ONCE = 1 << 19
 
+def cell_centres(x: np.ndarray, reach: float) -> np.ndarray:
+    """Centres of as many cells as keep the average vector of ``x`` in at most MOST_COPIES cells; one cell always does.
 
-def _sifted(rows: DataFrame, min_cos: float) -> DataFrame:
-    """(a, b), a < b: probes (kind 0) and kept rows (kind 1) of a block whose sketches lie near each other; pairs may repeat."""
-    most = (np.sqrt((2 - 2 * min_cos) * _CHI2_16) * _STEPS + np.sqrt(16 / 6)) ** 2
-    rows = rows.repartition("block").sortWithinPartitions("block", "kind")
+    For several least cosines to the first of a group: the means of the groups, moved once to the means of their cells.
+    """
+    best = x.mean(axis=0, keepdims=True)
+    for least in np.arange(0.1, 0.95, 0.05):
+        means, left = [], x
+        while len(left) and len(means) <= MOST_CELLS:
+            mine = left @ left[0] >= least
+            mine[0] = True
+            means.append(left[mine].mean(axis=0))
+            left = left[~mine]
+        if len(means) > MOST_CELLS:
+            break
+        home, _ = cells_of(x, np.stack(means), reach)
+        centres = np.stack([x[home == c].mean(axis=0) for c in np.unique(home)])
+        if len(centres) > len(best) and cells_of(x, centres, reach)[1].sum() <= MOST_COPIES * len(x):
+            best = centres
+    return best
+
+
+def _in_cells(rows: DataFrame, centres: np.ndarray, parts: np.ndarray, reach: float) -> DataFrame:
+    """(block, kind, id, vec): each row once for each block of a cell that it belongs to.
+
+    The block of the parts i < j of a cell holds i as kind 0 and j as kind 1, that of one part kind 0 only.
+    """
 
-    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if not b.num_rows:
-                continue
-            # The last block may go on in the next batch.
-            block = b.column("block").to_numpy(zero_copy_only=False)
-            last = int(np.flatnonzero(block != block[-1])[-1]) + 1 if (block != block[-1]).any() else 0
-            if last or (held and held[-1].column("block")[-1].as_py() != block[0]):
-                yield from compare(held + [b.slice(0, last)])
-                held = []
-            held.append(b.slice(last))
-        yield from compare(held)
-
-    def compare(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        whole = pa.Table.from_batches(parts) if parts else None
-        if whole is None or not whole.num_rows:
-            return
-        block, kind, ids, s0, s1 = (whole.column(c).to_numpy() for c in ("block", "kind", "id", "s0", "s1"))
-        steps = np.stack([s0, s1], axis=1).view(np.uint8).astype(np.int16)
-        starts = np.concatenate([[0], np.flatnonzero(block[1:] != block[:-1]) + 1, [len(block)]])
-        n_query = np.add.reduceat((kind == 0).astype(np.int64), starts[:-1])
-        group = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
-        query = np.flatnonzero(kind == 0)
-        first, n = (starts[:-1] + n_query)[group[query]], (np.diff(starts) - n_query)[group[query]]
-        upto = np.cumsum(n)
+            for lo in range(0, b.num_rows, 4096):
+                ids, vec = b.column("id").slice(lo, 4096), b.column("vec").slice(lo, 4096)
+                row, cell = np.nonzero(cells_of(unit_rows(matrix(vec)), centres, reach)[1])
+                mixed = ids.to_numpy(zero_copy_only=False)[row].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+                mine = ((mixed >> np.uint64(32)) % parts[cell].astype(np.uint64)).astype(np.int64)
+                for other in range(int(parts[cell].max(initial=0))):
+                    at = np.flatnonzero(other < parts[cell])
+                    i, j = np.minimum(mine[at], other), np.maximum(mine[at], other)
+                    block = (cell[at].astype(np.int64) << 40) | (i << 20) | j
+                    yield pa.record_batch({"block": pa.array(block), "kind": pa.array((mine[at] > other).astype(np.int32)), "id": ids.take(pa.array(row[at])), "vec": vec.take(pa.array(row[at]))})
+
+    return rows.select("id", "vec").mapInArrow(run, f"block long, kind int, id long, vec {rows.schema['vec'].dataType.simpleString()}")
+
+
+def _groups(kind: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first, order, starts): of the equal vectors of a kind one row, all rows group by group, and where each group starts."""
+    words = np.ascontiguousarray(x, np.float32).view(np.uint32).astype(np.uint64)
+    odd = np.random.default_rng(11).integers(1, 1 << 63, size=x.shape[1], dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    with np.errstate(over="ignore"):
+        key = (words * odd).sum(axis=1, dtype=np.uint64) * np.uint64(2) + kind.astype(np.uint64)
+    _, first, group = np.unique(key, return_index=True, return_inverse=True)
+    alike = (kind == kind[first[group]]) & (x == x[first[group]]).all(axis=1)
+    group[~alike] = len(first) + np.arange((~alike).sum())
+    order = np.argsort(group, kind="stable")
+    starts = np.flatnonzero(np.diff(group[order], prepend=-1))
+    return order[starts], order, np.append(starts, len(order))
+
+
+def most_signs(share: np.ndarray) -> np.ndarray:
+    """Of 64 signs, each differing with probability ``share``, as many differ at most but for one case in a million."""
+    grid = np.arange(257) / 256
+    below = np.cumsum([[math.comb(64, k) * q**k * (1 - q) ** (64 - k) for k in range(65)] for q in grid], axis=1)
+    return (below < 1 - _LOST).sum(axis=1).clip(max=64)[np.ceil(share * 256).astype(int)]
+
+
+def _signs(x: np.ndarray, min_cos: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """(signs, most): 64 signs of projections of each vector around the mean, and in how many those of a near vector may differ.
+
+    A vector within ``reach`` is seen from the mean under at most the angle whose sine is reach / distance.
+    """
+    g = np.random.default_rng(seed + 1).normal(size=(x.shape[1], 64))
+    y = x.astype(np.float64) - x.mean(axis=0, dtype=np.float64)
+    signs = np.packbits(y @ g > 0, axis=1).view(np.uint64).ravel()
+    sine = reach_of(min_cos) / np.maximum(np.linalg.norm(y, axis=1), 1e-12)
+    return signs, np.where(sine < 1, most_signs(np.arcsin(np.minimum(sine, 1)) / np.pi), 64).astype(np.uint8)
+
+
+def reach_of(min_cos: float) -> float:
+    """Distance of unit vectors at ``min_cos``, with room for single precision."""
+    return math.sqrt(max(0.0, 2 - 2 * min_cos)) + 1e-3
+
+
+def _meeting(x: np.ndarray, kind: np.ndarray, min_cos: float, p: HashParams) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(a, b, cos): rows of distinct unit vectors that meet in a bucket and lie near each other, a < b; between kinds if there are two.
+
+    If a block is so dense that most of it would meet in the buckets, all its vectors are compared.
+    """
+    n = len(x)
+    if n < 2:
+        return
+    two = bool(kind.any()) and not kind.all()
+    own = np.concatenate([bucket_keys(x[lo : lo + 2048], p, probes=False) for lo in range(0, n, 2048)])
+    order = np.argsort(own, axis=0, kind="stable")
+    buckets = [np.unique(own[order[:, t], t], return_index=True) for t in range(p.tables)]
+    begins = np.zeros((n, p.tables, 1 + p.probes), np.int32)
+    counts = np.zeros_like(begins)
+    for lo in range(0, n, 2048):
+        keys = bucket_keys(x[lo : lo + 2048], p, probes=True)
+        for t, (known, at) in enumerate(buckets):
+            place = np.minimum(np.searchsorted(known, keys[:, t]), len(known) - 1)
+            begins[lo : lo + 2048, t] = at[place]
+            counts[lo : lo + 2048, t] = np.where(known[place] == keys[:, t], np.append(at, n)[place + 1] - at[place], 0)
+
+    def exactly(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        cos = np.einsum("ij,ij->i", x[a].astype(np.float64), x[b].astype(np.float64))
+        near = cos >= min_cos
+        return a[near], b[near], cos[near]
+
+    if counts.sum(dtype=np.int64) > _DENSE * n * n:
+        for lo in range(0, n, 512):
+            for by in range(lo, n, 8192):
+                a, b = np.nonzero(x[lo : lo + 512] @ x[by : by + 8192].T >= min_cos - 1e-4)
+                a, b = a + lo, b + by
+                keep = (a < b) & ((not two) | (kind[a] != kind[b]))
+                yield exactly(a[keep], b[keep])
+        return
+    signs, most = _signs(x, min_cos, p.seed)
+    held: list[np.ndarray] = []
+
+    def once() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        code = np.unique(np.concatenate(held)) if held else np.zeros(0, np.int64)
+        held.clear()
+        return exactly(code // n, code % n)
+
+    for t in range(p.tables):
+        sorted_signs = signs[order[:, t]]
+        which = np.flatnonzero(counts[:, t].ravel())
+        each, begin, query = counts[:, t].ravel()[which], begins[:, t].ravel()[which], which // (1 + p.probes)
+        upto = np.cumsum(each, dtype=np.int64)
         lo = 0
-        while lo < len(query):
+        while lo < len(which):
             hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + _PAIRS_AT_ONCE, side="right")))
-            each = n[lo:hi]
-            left = np.repeat(query[lo:hi], each)
-            right = np.arange(len(left)) - np.repeat(np.cumsum(each) - each, each) + np.repeat(first[lo:hi], each)
-            gap = steps[left] - steps[right]
-            near = np.flatnonzero((np.einsum("ij,ij->i", gap, gap, dtype=np.int32) <= most) & (ids[left] != ids[right]))
-            a, b = ids[left[near]], ids[right[near]]
-            once = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
-            yield pa.record_batch({"a": pa.array(once[:, 0]), "b": pa.array(once[:, 1])})
+            c, q = each[lo:hi], query[lo:hi]
+            place = np.arange(c.sum()) + np.repeat(begin[lo:hi] - (np.cumsum(c) - c), c)
+            few = np.flatnonzero(np.bitwise_count(sorted_signs[place] ^ np.repeat(signs[q], c)) <= np.repeat(most[q], c))
+            left, right = np.repeat(q, c)[few], order[place[few], t]
+            keep = (left != right) & ((not two) | (kind[left] != kind[right]))
+            left, right = left[keep], right[keep]
+            for i in range(0, len(left), 16_384):
+                a, b = left[i : i + 16_384], right[i : i + 16_384]
+                near = np.einsum("ij,ij->i", x[a], x[b]) >= min_cos - 1e-4
+                a, b = a[near].astype(np.int64), b[near].astype(np.int64)
+                held.append(np.minimum(a, b) * n + np.maximum(a, b))
+            if sum(map(len, held)) > _PAIRS_HELD:
+                yield once()
+            lo = hi
+    yield once()
+
+
+def _pairs_in(kind: np.ndarray, ids: np.ndarray, x: np.ndarray, min_cos: float, p: HashParams) -> Iterator[pa.RecordBatch]:
+    """The near pairs of a block, as ids; of each id and of each vector one row is searched, its copies are added to what it meets."""
+
+    def batch(a: np.ndarray, b: np.ndarray, cos: np.ndarray) -> pa.RecordBatch:
+        return pa.record_batch({"id_a": pa.array(np.minimum(a, b)), "id_b": pa.array(np.maximum(a, b)), "cos": pa.array(cos)})
+
+    ids, at = np.unique(ids, return_index=True)
+    kind, x = kind[at], unit_rows(x[at])
+    first, order, starts = _groups(kind, x)
+    member, size = ids[order], np.diff(starts)
+    if not kind.any() or kind.all():  # copies of one vector
+        for n in np.unique(size[size > 1]):
+            of_size = member[starts[:-1][size == n][:, None] + np.arange(n)]
+            for i in range(1, n):
+                for lo in range(0, len(of_size), max(1, _PAIRS_HELD // n)):
+                    some = of_size[lo : lo + max(1, _PAIRS_HELD // n)]
+                    yield batch(np.repeat(some[:, i], i), some[:, :i].ravel(), np.ones(len(some) * i))
+    for a, b, cos in _meeting(x[first], kind[first], min_cos, p):
+        n = size[a] * size[b]
+        upto = np.cumsum(n)
+        lo = 0
+        while lo < len(a):
+            hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + _PAIRS_HELD, side="right")))
+            pair = np.repeat(np.arange(lo, hi), n[lo:hi])
+            k = np.arange(len(pair)) - np.repeat(upto[lo:hi] - n[lo:hi] - (upto[lo - 1] if lo else 0), n[lo:hi])
+            yield batch(member[starts[a[pair]] + k // size[b[pair]]], member[starts[b[pair]] + k % size[b[pair]]], cos[pair])
             lo = hi
-
-    return rows.mapInArrow(sift, "a long, b long")
 
 
 def near_pairs(vectors: DataFrame, min_cos: float, p: HashParams = NEAR) -> DataFrame:
-    """(id_a, id_b, cos), id_a < id_b: pairs of unit vectors (id, vec) with a cosine of at least ``min_cos``.
-
-    Equal vectors are one representative while buckets are searched, so a group of
-    copies, however large, is one row per table; their pairs are added at the end,
-    as they are part of the result.  Candidates are pairs of ids, sifted by their
-    sketches as they meet; the vectors join them for the exact check only once they
-    are distinct.  Empty tables give no pairs.
+    """(id_a, id_b, cos), id_a < id_b: pairs of vectors (id, vec) with a cosine of at least ``min_cos``.
+
+    Vectors of any length but 0; rows of an id may repeat.  A vector is moved to its
+    cell, and to those beyond a border close by; there it is scaled, hashed and
+    compared, so neither its buckets nor its candidates leave the task, and what is
+    moved afterwards are the pairs of the result.  Centres come from about
+    SAMPLE_ROWS rows; they decide where vectors meet, not whether.  Equal vectors are
+    searched as one.  Empty tables give no pairs.
     """
-    reps, members = distinct_vectors(vectors)
-    reps, members = cut(reps, "reps"), cut(members, "members")
-    index = cut(hashed(reps, p, probes=False), "index").toDF("bucket", "b", "b0", "b1")
-    query = hashed(reps, p, probes=True).toDF("bucket", "a", "a0", "a1")
-    # A large bucket is many places: its rows in blocks, each before every block of its probes.
-    parts = F.ceil(F.count(F.lit(1)) / F.lit(float(PAIR_BLOCK_ROWS))).cast("int")
-    large = cut(index.groupBy("bucket").agg(parts.alias("parts")).where("parts > 1"), "large")
-    parts, each = F.coalesce("parts", F.lit(1)), F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))
-    index = index.join(large, "bucket", "left").select("bucket", "b", "b0", "b1", F.pmod(F.xxhash64("b"), parts).cast("int").alias("i"), each.alias("j"), F.lit(1).alias("kind"))
-    query = query.join(large, "bucket", "left").select("bucket", "a", "a0", "a1", each.alias("i"), F.pmod(F.xxhash64("a"), parts).cast("int").alias("j"), F.lit(0).alias("kind"))
-    block = F.when((F.col("i") == 0) & (F.col("j") == 0), F.col("bucket")).otherwise(F.xxhash64("bucket", "i", "j"))
-    rows = query.toDF("bucket", "id", "s0", "s1", "i", "j", "kind").unionByName(index.toDF("bucket", "id", "s0", "s1", "i", "j", "kind"))
-    pairs = _sifted(rows.select(block.alias("block"), "kind", "id", "s0", "s1"), min_cos).distinct()
-    left = reps.select(F.col("id").alias("a"), F.col("vec").alias("va"))
-    right = reps.select(F.col("id").alias("b"), F.col("vec").alias("vb"))
-    both = pairs.join(left, "a").join(right, "b")
-    cos = F.aggregate(F.zip_with("va", "vb", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    near = both.select("a", "b", cos.alias("cos")).where(F.col("cos") >= min_cos)
-    near = near.unionByName(reps.select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("cos")))
-    ma = members.select(F.col("rep").alias("a"), F.col("id").alias("x"))
-    mb = members.select(F.col("rep").alias("b"), F.col("id").alias("y"))
-    # Within a group each pair is met once as (x, y) with x < y; between groups always.
-    out = near.join(ma, "a").join(mb, "b").where((F.col("a") != F.col("b")) | (F.col("x") < F.col("y")))
-    return out.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"), "cos")
+    rows, n = one_vector(vectors)
+    reach = reach_of(min_cos)
+    drawn = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 40)) < F.lit(min(1 << 40, (SAMPLE_ROWS << 40) // max(n, 1))))
+    drawn = drawn.groupBy("id").agg(F.first("vec").alias("vec")).limit(4 * SAMPLE_ROWS).toArrow().sort_by("id")
+    x = unit_rows(matrix(drawn.column("vec"))).astype(np.float64) if drawn.num_rows else np.zeros((1, 1))
+    centres = cell_centres(x, reach)
+    met = cells_of(x, centres, reach)[1].sum(axis=0)
+    share = np.minimum(1, (met + 2 * np.sqrt(met) + 4) / len(x))
+    parts = np.ceil(share * n / PAIR_BLOCK_ROWS).astype(np.int64).clip(1, (1 << 20) - 1)
+    blocks = _in_cells(rows, centres, parts, reach).repartition("block").sortWithinPartitions("block")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for kind, ids, x in _blocks(batches):
+            yield from _pairs_in(kind, ids, x, min_cos, p)
+
+    found = blocks.mapInArrow(search, "id_a long, id_b long, cos double")
+    # A pair of vectors beside a border may be found in both cells.
+    return found.groupBy("id_a", "id_b").agg(F.min("cos").alias("cos"))
 
 
 def _ranked(rows: DataFrame, k: int) -> DataFrame:

@@ -80,7 +80,8 @@ def p2_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = neighbours.near_pairs(cells(spark, sf_dir), NEAR_COS)
+    rows = vectors.usable_rows(read_table(spark, sf_dir, "gene_data_set"), "cell_id", "express", DIM)
+    pairs = neighbours.near_pairs(rows, NEAR_COS)
     return pairs.select(F.col("id_a").alias("cell_id_a"), F.col("id_b").alias("cell_id_b"))
 
 

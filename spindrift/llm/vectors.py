@@ -17,6 +17,11 @@ def usable(vec: Column, dim: int) -> Column:
     return F.coalesce((F.size(vec) == dim) & finite & F.exists(vec, lambda x: x != 0), F.lit(False))
 
 
+def usable_rows(df: DataFrame, row_id: str, vec: str, dim: int) -> DataFrame:
+    """(id, vec): all rows with an id and a usable vector, as delivered."""
+    return df.select(F.col(row_id).cast("long").alias("id"), F.col(vec).alias("vec")).where(F.col("id").isNotNull() & usable(F.col("vec"), dim))
+
+
 def unit_vectors(df: DataFrame, row_id: str, vec: str, dim: int) -> DataFrame:
     """(id, vec): one row for each id with a usable vector, scaled to length one.
 
@@ -24,8 +29,7 @@ def unit_vectors(df: DataFrame, row_id: str, vec: str, dim: int) -> DataFrame:
     the order of the arrays is taken.  Vectors that are not usable, and null ids,
     are left out.
     """
-    rows = df.select(F.col(row_id).cast("long").alias("id"), F.col(vec).alias("vec")).where(F.col("id").isNotNull() & usable(F.col("vec"), dim))
-    # Sums of squares of floats can leave the range of a float: scale by the largest magnitude first.
+    rows = usable_rows(df, row_id, vec, dim)
     rows = rows.groupBy("id").agg(F.min("vec").alias("vec"))
     return unit(rows)
 
@@ -36,14 +40,21 @@ def unit(rows: DataFrame) -> DataFrame:
 
     def scale(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = matrix(b.column("vec")).astype(np.float64)
-            x /= np.abs(x).max(axis=1, keepdims=True)
-            x /= np.linalg.norm(x, axis=1, keepdims=True)
-            yield pa.record_batch({"id": b.column("id"), "vec": arrow_vectors(x)})
+            yield pa.record_batch({"id": b.column("id"), "vec": arrow_vectors(unit_rows(matrix(b.column("vec"))))})
 
     return rows.select("id", "vec").mapInArrow(scale, schema)
 
 
+def unit_rows(x: np.ndarray) -> np.ndarray:
+    """The rows scaled to length one, in single precision."""
+    x = x.astype(np.float64)
+    if len(x):
+        # Sums of squares of floats can leave the range of a float: scale by the largest magnitude first.
+        x /= np.abs(x).max(axis=1, keepdims=True)
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+    return x.astype(np.float32)
+
+
 def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     """A list column of equal lengths as a matrix; no row gives an empty one."""
     if isinstance(column, pa.ChunkedArray):

@@ -210,6 +210,43 @@ def test_near_pairs_with_copies(spark):
     assert neighbours.near_pairs(frame(spark, x[:0]), 0.992).count() == 0
 
 
+def test_near_pairs_move_each_vector_about_once(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "SAMPLE_ROWS", 150, raising=False)
+
+    def written():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        return spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+
+    x = groups(16, [900, 700, 400], dim=64, noise=0.03).astype(np.float32)
+    before = written()
+    neighbours.near_pairs(frame(spark, x), 0.992).count()
+    assert written() - before < 4 * x.nbytes
+
+
+def test_no_pair_is_lost_between_cells():
+    rng = np.random.default_rng(17)
+    x = unit_rows(rng.normal(size=(2000, 16)))
+    y = unit_rows(x + 0.12 / 4 * rng.normal(size=x.shape))
+    reach = neighbours.reach_of(0.992)
+    close = (x * y).sum(axis=1) >= 0.992
+    centres = unit_rows(rng.normal(size=(40, 16)))
+    (home_x, near_x), (home_y, near_y) = (neighbours.cells_of(z[close], centres, reach) for z in (x, y))
+    assert (home_x != home_y).sum() > 50
+    assert (near_x & near_y).any(axis=1).all()
+    some = groups(18, [300, 200, 100], dim=64, noise=0.03)
+    chosen = neighbours.cell_centres(some, reach)
+    assert len(chosen) >= 3 and neighbours.cells_of(some, chosen, reach)[1].sum() <= neighbours.MOST_COPIES * len(some)
+
+
+def test_near_pairs_of_repeated_ids(spark):
+    rng = np.random.default_rng(19)
+    x = unit_rows(rng.normal(size=(3, 64))).astype(np.float32).tolist()
+    first, second = sorted([x[0], x[1]])
+    rows = [(1, second), (1, first), (2, first), (3, second), (3, second), (4, x[2]), (4, x[2])]
+    df = spark.createDataFrame(rows, "id long, vec array<float>")
+    assert [(r["id_a"], r["id_b"]) for r in neighbours.near_pairs(df, 0.992).collect()] == [(1, 2)]
+
+
 def test_nearest_has_high_recall(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "BLOCK_ROWS", 64)
     x = groups(7, [300, 200, 100], dim=64, noise=0.045).astype(np.float32)
